@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import lru_cache
 from itertools import chain
 
@@ -26,6 +27,7 @@ DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 400_000
 #: Windows up to so many bytes are encoded by merging in rank order.
 DIRECT_BYTES = 16
+NO_RANK = 1 << 60
 
 
 class TreeBPE:
@@ -34,18 +36,50 @@ class TreeBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks.keys()))
+        self.decimal = {i: str(i) for i in self.bytes_of}
         self._stable: dict[tuple[bytes, bytes], bool] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
-        """Encoding by repeatedly merging the leftmost pair of lowest rank: small inputs only."""
-        parts, rank = [raw[i : i + 1] for i in range(len(raw))], self.ranks
-        while len(parts) > 1:
-            ranked = [rank.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+        """Encoding by repeatedly merging the leftmost pair of lowest rank."""
+        if len(raw) > 64:
+            return self._merged_by_heap(raw)
+        parts, rank = [raw[i : i + 1] for i in range(len(raw))], self.ranks.get
+        ranked = [rank(raw[i : i + 2], NO_RANK) for i in range(len(raw) - 1)]
+        while ranked:
             best = min(ranked)
-            if best == 1 << 60:
+            if best == NO_RANK:
                 break
             i = ranked.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] += parts.pop(i + 1)
+            del ranked[i]
+            if i < len(ranked):
+                ranked[i] = rank(parts[i] + parts[i + 1], NO_RANK)
+            if i:
+                ranked[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+        return parts
+
+    def _merged_by_heap(self, raw: bytes) -> list[bytes]:
+        """The same for long windows, in n log n steps: parts are linked, pairs wait in a heap."""
+        n, rank = len(raw), self.ranks.get
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # by a part's first byte; end 0: merged away
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle == n or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (r := rank(raw[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if i and (r := rank(raw[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        parts, i = [], 0
+        while i < n:
+            parts.append(raw[i : end[i]])
+            i = end[i]
         return parts
 
     def stable(self, left: bytes, right: bytes) -> bool:
@@ -163,10 +197,10 @@ def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, decimal = [], _loaded(path, pattern)[1].decimal
             for text in batch["text"]:
                 ids = encode(text, path, pattern)
-                rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, path, pattern)).hexdigest()))
+                rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, path, pattern)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import byte_bpe, exact_dedup
+from tessella.llm import byte_bpe, byte_cnn, exact_dedup
 from tessella.llm.shared import importable
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_query,
+    "op8_byte_cnn_quality": byte_cnn.op8_query,
     "op10_byte_bpe": byte_bpe.op10_query,
 }
 
