@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import byte_bpe, byte_cnn, exact_dedup, matroska, mixing, warc
+from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, matroska, mixing, warc
 from tessella.llm.shared import importable
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_query,
     "op4_mixing": mixing.op4_query,
     "op6_warc_round_trip": warc.op6_query,
+    "op7_jaccard_join": jaccard_join.op7_query,
     "op8_byte_cnn_quality": byte_cnn.op8_query,
     "op9_matroska": matroska.op9_query,
     "op10_byte_bpe": byte_bpe.op10_query,
@@ -21,6 +22,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_warc_round_trip": warc.OP6_SQL,
+    "op7_jaccard_join": jaccard_join.OP7_SQL,
 }
 
 
