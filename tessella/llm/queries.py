@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, matroska, mixing, suffix_dedup, warc
+from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, matroska, mixing, pitman_yor, suffix_dedup, warc
 from tessella.llm.shared import importable
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_query,
     "op2_exact_dedup": exact_dedup.op2_query,
+    "op3_pitman_yor": pitman_yor.op3_query,
     "op4_mixing": mixing.op4_query,
     "op6_warc_round_trip": warc.op6_query,
     "op7_jaccard_join": jaccard_join.op7_query,
