@@ -492,7 +492,7 @@ def dtw_topk(spark, folder):
     return rounded(D.sequence_centers(ranked_, ["load"]).select(F.col("qid").cast("long").alias("qid"), "topk_count", "s_topk_mean", "path_cost", "n_candidates", "time_offset_days", "plan_load"))
 
 
-@query("""WITH e AS (SELECT event_id, ts, value FROM events) SELECT q.event_id AS qid, count(*) AS n_rows, round(avg(r.value), 6) AS mean_value FROM e q JOIN e r ON q.event_id % 20 = 0 AND r.ts >= q.ts - INTERVAL 3 HOUR AND r.ts <= q.ts GROUP BY q.event_id""")
+@query("""WITH e AS (SELECT event_id, ts, value FROM events) SELECT q.event_id AS qid, count(*) AS n_rows, round(sum(r.value), 4) AS sum_value FROM e q JOIN e r ON q.event_id % 20 = 0 AND r.ts >= q.ts - INTERVAL 3 HOUR AND r.ts <= q.ts GROUP BY q.event_id""")
 def trailing_range_join(spark, folder):
     """Rows of the three hours up to each query's time: both sides meet in hour buckets."""
     events = table(spark, folder, "events")
@@ -500,7 +500,7 @@ def trailing_range_join(spark, folder):
     asked = events.filter("event_id % 20 = 0").select(F.col("event_id").alias("qid"), F.col("ts").alias("q_ts"), F.explode(F.sequence(hour(F.col("ts")) - 3, hour(F.col("ts")))).alias("bucket"))
     rows = events.select("ts", "value", hour(F.col("ts")).alias("b"))
     hit = (F.col("bucket") == F.col("b")) & (F.col("ts") >= F.col("q_ts") - F.expr("interval 3 hours")) & (F.col("ts") <= F.col("q_ts"))
-    return rounded(asked.join(rows, hit).groupBy("qid").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mean_value")))
+    return rounded(asked.join(rows, hit).groupBy("qid").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("sum_value")), 4)
 
 
 @query("SELECT o_orderkey, round(abs(epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1995-06-17')) / 86400e6, 6) AS days FROM orders")
@@ -516,9 +516,9 @@ def window_midpoint(spark, folder):
 
 @query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), c AS (SELECT day FROM d ORDER BY md5(CAST(day AS VARCHAR) || '|42') LIMIT 10),
 r AS (SELECT event_id, day, row_number() OVER (PARTITION BY day ORDER BY md5(CAST(event_id AS VARCHAR) || '|42'), event_id) AS rank FROM events JOIN c ON CAST(ts AS DATE) = day)
-SELECT event_id, day, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+SELECT event_id, CAST(day AS VARCHAR) AS day, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def daily_sample(spark, folder):
-    return P.daily_sample(table(spark, folder, "events"), "ts", "event_id", 10, 10).select("event_id", "day", "rank")
+    return P.daily_sample(table(spark, folder, "events"), "ts", "event_id", 10, 10).select("event_id", F.col("day").cast("string").alias("day"), "rank")
 
 
 @query("""WITH c AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(hour) FROM c), (SELECT max(hour) FROM c), INTERVAL 1 HOUR)) AS hour),
@@ -528,9 +528,9 @@ def densest_window(spark, folder):
     return P.densest_window(table(spark, folder, "events"), "ts", 48)
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")
 def distinct_dates(spark, folder):
-    return table(spark, folder, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {H}, t AS (SELECT 'load' AS panel, load AS value FROM n UNION ALL SELECT 'types', unnest([click, view]) FROM n) SELECT panel, round(min(value) - 0.1 * (max(value) - min(value)), 6) AS axis_min, round(max(value) + 0.1 * (max(value) - min(value)), 6) AS axis_max FROM t GROUP BY panel")
