@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, matroska, mixing, pitman_yor, suffix_dedup, warc
+from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, line_dedup, matroska, mixing, pitman_yor, suffix_dedup, warc
 from tessella.llm.shared import importable
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_query,
     "op3_pitman_yor": pitman_yor.op3_query,
     "op4_mixing": mixing.op4_query,
+    "op5_line_dedup": line_dedup.op5_query,
     "op6_warc_round_trip": warc.op6_query,
     "op7_jaccard_join": jaccard_join.op7_query,
     "op8_byte_cnn_quality": byte_cnn.op8_query,
