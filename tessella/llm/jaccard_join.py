@@ -1,20 +1,21 @@
 """Exact Jaccard join of word shingle sets, with signature trees.
 
 Texts with equal sets are one class, of which one row goes on. Sets are ordered by (hot, hash),
-where hot marks shingles frequent in a bounded hashed sample: that only moves work. Two sets
-with a Jaccard similarity of 3/4 share a shingle among the first quarter of each (prefix
-filter), so rows meet under the shingles of their prefixes:
-
-1. Of each row the shared prefix shingle with most rows names a bucket, and all rows of a named
-   bucket bring their whole sets to it. In a bucket a signature tree is built: leaves hold a
-   bitmap of their set, nodes the OR of their children's and size ranges. A dual traversal drops
-   node pairs whose largest possible overlap is too small for their smallest sizes; pairs of
-   leaves that are left, and not yet connected, are compared exactly.
-2. Components of the links so far. Under every other shared shingle that rows of two or more
-   components have, the same tree over the bitmaps alone gives the pairs of different components
+where hot marks shingles frequent in a bounded hashed sample: that only moves work. Of two sets
+with a Jaccard similarity of 3/4, the one whose prefix ends first shares ``1 + n / 10`` shingles
+of its prefix with the other's, if prefixes are a tenth longer than the first quarter. So each
+row may leave out the ``3 n / 80`` shared shingles that most rows have, and rows still meet:
+
+1. Of each row the remaining shingle with most rows names its bucket, and the row brings its
+   whole set there. In a bucket a signature tree is built: leaves hold a bitmap of their set,
+   nodes the OR of their children's and size ranges. A dual traversal drops node pairs whose
+   largest possible overlap is too small for their smallest sizes; pairs of leaves that are
+   left, and not yet connected, are compared exactly.
+2. Components of the links so far. Under every remaining shingle that rows of two or more
+   components have, the same tree over bitmaps alone gives the pairs of different components
    that could still link; each distinct pair is compared exactly, and the components are final.
 
-A bucket of more than ``BUCKET_ROWS`` rows is dealt out to several tasks in step 1; step 2 then
+A bucket of more than about ``BUCKET_ROWS`` rows is dealt out to several tasks in step 1; step 2
 finds the links between them.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
@@ -35,6 +36,8 @@ from tessella.llm.shared import joined_bytes, keep, mixed, slices, table
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of whole numbers: 75 of 100.
 PART, WHOLE = 75, 100
+#: Of each set's size: what prefixes have beyond the first quarter, and what rows may leave out.
+LONGER, LEFT_OUT = 10, 3.75
 FAN, BUCKET_ROWS = 16, 4096
 SAMPLE_ROWS, HOT_IN_SAMPLE, HOT_AT_MOST = 10_000, 20, 200_000
 
@@ -98,7 +101,7 @@ def shingle_sets(texts, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-n * PART // WHOLE) + 1 if n else 0
+    return n - -(-n * PART // WHOLE) + 1 + n * LONGER // WHOLE if n else 0
 
 
 def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -257,20 +260,23 @@ def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
-def _hot_shingles(spark: SparkSession, docs: DataFrame) -> Broadcast:
-    """Shingles of many rows of a hashed sample of about ``SAMPLE_ROWS``: at most ``HOT_AT_MOST``."""
+def _hot_shingles(spark: SparkSession, docs: DataFrame) -> list[tuple[int, int]]:
+    """Shingles of many rows of a hashed sample of about ``SAMPLE_ROWS``, at most ``HOT_AT_MOST``
+    of them, with how many rows have each by that sample."""
     rows = docs.count()
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in shingle_sets(batch["text"].tolist()):
-                yield pd.DataFrame({"h": s.view(np.int64)})
+            texts = batch["text"].tolist()
+            for lo, hi in slices(texts):
+                if found := shingle_sets(texts[lo:hi]):
+                    h, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pd.DataFrame({"h": h.view(np.int64), "n": n})
 
-    counted = picked.mapInPandas(explode, "h long").groupBy("h").count().filter(F.col("count") >= HOT_IN_SAMPLE)
-    found = [r["h"] for r in counted.orderBy(F.desc("count"), "h").limit(HOT_AT_MOST).collect()]
-    return spark.sparkContext.broadcast(np.sort(np.array(found, np.int64).view(np.uint64)))
+    counted = picked.mapInPandas(explode, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_IN_SAMPLE)
+    return [(r["h"], math.ceil(r["n"] / share)) for r in counted.orderBy(F.desc("n"), "h").limit(HOT_AT_MOST).collect()]
 
 
 def _summaries(docs: DataFrame, hot: Broadcast) -> DataFrame:
@@ -290,14 +296,16 @@ def _summaries(docs: DataFrame, hot: Broadcast) -> DataFrame:
 
 def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = shingle_sets(batch["text"].tolist())
-        yield pd.DataFrame({"rep": batch["rep"], "n": [len(s) for s in sets], "buckets": batch["buckets"], "tokens": [s.tobytes() for s in sets]})
+        texts = batch["text"].tolist()
+        for lo, hi in slices(texts):
+            sets = shingle_sets(texts[lo:hi])
+            yield pd.DataFrame({"rep": batch["rep"].iloc[lo:hi].array, "tokens": [t.tobytes() for t in sets], **{k: batch[k].iloc[lo:hi].array for k in batch.columns if k not in ("rep", "text")}})
 
 
 def _bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _whole_sets(batches):
         sets = [np.frombuffer(t, np.uint64) for t in batch["tokens"]]
-        yield pd.DataFrame({"rep": batch["rep"], "n": batch["n"], "bitmap": [bitmap(s, bits_for(len(s))).tobytes() for s in sets]})
+        yield pd.DataFrame({"rep": batch["rep"], "n": [len(t) for t in sets], "bitmap": [bitmap(t, bits_for(len(t))).tobytes() for t in sets]})
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,35 +325,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hot = _hot_shingles(spark, own)
+    found_hot = _hot_shingles(spark, own)
+    hot = spark.sparkContext.broadcast(np.sort(np.array([h for h, _ in found_hot], np.int64).view(np.uint64)))
+    hot_rows = F.broadcast(spark.createDataFrame(found_hot, "hot_h long, hot_members long"))  # HOT_AT_MOST at most
     rows = keep(_summaries(own, hot), "sets")
     linkable = rows.filter("n > 0 and doc_id is not null")
     classes = linkable.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
-    entries = classes.select("rep", F.explode("prefix").alias("h"))
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").withColumnRenamed("h", "shared_h")
-    entries = keep(entries.join(shared, F.col("h") == F.col("shared_h")).select("rep", "h", "members"), "buckets")
-
-    named = entries.groupBy("rep").agg(F.max(F.struct("members", "h")).alias("best")).select(F.col("best.h").alias("named_h")).distinct()
-    ships = entries.join(named, F.col("h") == F.col("named_h"), "left").groupBy("rep").agg(
-        F.collect_list(F.when(F.col("named_h").isNotNull(), F.struct("h", F.expr(f"members div {BUCKET_ROWS} + 1").alias("parts")))).alias("buckets")
-    )  # at most the row's own prefix
-    texts = own.join(ships, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("rep", "text", F.to_json("buckets").alias("buckets"))
-    sets = keep(texts.mapInPandas(_whole_sets, "rep long, n long, buckets string, tokens binary"), "tokens")
+    entries = classes.select("rep", "n", F.explode("prefix").alias("h")).join(hot_rows, F.col("h") == F.col("hot_h"), "left")
+    # hot shingles have many rows anyway; of the others no task gets more than a few in a thousand rows
+    cold = entries.filter("hot_h is null").select("rep", "n", "h", F.count(F.lit(1)).over(Window.partitionBy("h")).alias("members")).filter("members > 1")
+    shared = cold.unionByName(entries.filter("hot_h is not null").select("rep", "n", "h", F.col("hot_members").alias("members")))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("members"), "h"))
+    left_out = F.floor(F.col("n") * LEFT_OUT / WHOLE)
+    meetings = keep(shared.withColumn("place", place - left_out).filter("place > 0").select("rep", "h", "members"), "meetings")
+    # shingles that exactly the same rows have are one bucket
+    alike = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("size > 1")
+    alike = alike.groupBy("size", "x", "y").agg(F.min("h").alias("bucket")).select("bucket")
+    buckets = keep(meetings.join(alike, F.col("h") == F.col("bucket"), "left_semi"), "buckets")
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shipped = sets.select("rep", "tokens", F.explode(F.from_json("buckets", "array<struct<h: long, parts: long>>")).alias("bucket"))
-    shipped = shipped.select("rep", "tokens", "bucket.h", F.pmod(F.xxhash64("rep"), F.col("bucket.parts")).alias("salt"))
+    named = buckets.groupBy("rep").agg(F.max(F.struct("members", "h")).alias("best")).select("rep", "best.h", F.pmod(F.xxhash64("rep"), F.expr(f"best.members div {BUCKET_ROWS} + 1")).alias("salt"))
+    named = named.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))).filter("rows > 1").select("rep", "h", "salt")
+    shipped = own.join(named, F.col("doc_id") == F.col("rep")).select("rep", "text", "h", "salt").mapInPandas(_whole_sets, "rep long, tokens binary, h long, salt long")
     links = keep(shipped.repartition(width, "h", "salt").sortWithinPartitions("h", "salt").mapInPandas(_link_buckets, "a long, b long").distinct(), "found")
     first = connected_components(links)
 
-    placed = entries.join(first, F.col("rep") == F.col("node"), "left").select("rep", "h", "members", F.coalesce("component", "rep").alias("component"))
-    done = named.join(shared.filter(F.col("members") < BUCKET_ROWS), F.col("named_h") == F.col("shared_h")).select(F.col("named_h").alias("done_h"))
+    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("rep", "h", F.coalesce("component", "rep").alias("component"))
     open_ = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("h").alias("open_h"))
-    left = placed.join(open_, F.col("h") == F.col("open_h")).drop("open_h").join(done, F.col("h") == F.col("done_h"), "left_anti")
-    marks = sets.select("rep", "n", "tokens").join(left.select("rep").distinct(), "rep", "left_semi").mapInPandas(_bitmaps, "rep long, n long, bitmap binary")
-    meeting = left.select("rep", "h", "component").join(marks, "rep")
-    pairs = meeting.repartition(width, "h").sortWithinPartitions("h").mapInPandas(_cross_pairs, "a long, b long").distinct()
-    tokens = sets.select("rep", "tokens")
+    left = keep(placed.join(open_, F.col("h") == F.col("open_h"), "left_semi"), "open")
+    marks = own.join(left.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_bitmaps, "rep long, n long, bitmap binary")
+    meeting = left.join(marks, "rep").repartition(width, "h").sortWithinPartitions("h")
+    pairs = keep(meeting.mapInPandas(_cross_pairs, "a long, b long").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    tokens = keep(own.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_whole_sets, "rep long, tokens binary"), "tokens")
     checked = pairs.join(tokens.withColumnsRenamed({"rep": "ra", "tokens": "tokens_a"}), F.col("a") == F.col("ra")).join(tokens.withColumnsRenamed({"rep": "rb", "tokens": "tokens_b"}), F.col("b") == F.col("rb"))
     more = checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified, "a long, b long")
     final = connected_components(links.unionByName(more))

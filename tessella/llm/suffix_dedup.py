@@ -245,8 +245,8 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = text.encode("utf-8", "surrogatepass")
             for w in wanted:
                 first = w["place"] >> 16
-                out.append((w["gram_hash"], w["context_hash"], w["big"], raw[first : first + (w["place"] >> 8 & 255) + LENGTH], key, first))
-        yield pd.DataFrame(out, columns=["gram_hash", "context_hash", "big", "raw", "key", "first"])
+                out.append((w["gram_hash"], w["context_hash"], raw[first : first + (w["place"] >> 8 & 255) + LENGTH], key, first))
+        yield pd.DataFrame(out, columns=["gram_hash", "context_hash", "raw", "key", "first"])
 
 
 def removed_spans(marks, n: int) -> list[tuple[int, int]]:
@@ -291,7 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.groupBy("key", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("text_id"))
 
     anchors = keep(own.select("key", "text").mapInPandas(_anchors, "gram_hash long, context_hash long, key long, place long"), "anchors")
-    twice = anchors.groupBy("gram_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("gram_hash").alias("twice"))
+    # kept, so that the join has a plain shuffle on either side, which Spark splits at frequent anchors
+    twice = keep(anchors.groupBy("gram_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("gram_hash").alias("twice")), "twice")
     shared = keep(anchors.join(twice, F.col("gram_hash") == F.col("twice"), "left_semi"), "shared")
     each = keep(shared.groupBy("gram_hash", "context_hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("copy")), "contexts")
 
@@ -301,23 +302,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     several = each.groupBy("gram_hash").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select(F.col("gram_hash").alias("g"), (F.col("different") > contexts_per_anchor).alias("big"))
     wanted = each.join(several, F.col("gram_hash") == F.col("g")).select(F.col("copy.key").alias("key"), F.struct("gram_hash", "context_hash", "big", F.col("copy.place").alias("place")).alias("wanted"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("wanted").alias("wanted"))  # a text's own anchors
     reps = texts.groupBy("key").agg(F.min("text_id").alias("text_id")).select(F.col("key").alias("text_key"), "text_id")
-    wanted = wanted.join(reps, F.col("key") == F.col("text_key")).select("text_key", "text_id", "wanted")
+    wanted = keep(wanted.groupBy("key").agg(F.collect_list("wanted").alias("wanted")).join(reps, F.col("key") == F.col("text_key")).select("text_key", "text_id", "wanted"), "wanted")  # a text's own anchors
+
+    # the texts are shuffled once: both joins below read the same exchange
     plain = own.filter(F.octet_length("text") >= LENGTH)
-    fetched = plain.join(wanted, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("text_id"))).select("key", "text", "wanted")
-    found = keep(fetched.mapInPandas(_fetch, "gram_hash long, context_hash long, big boolean, raw binary, key long, first long"), "fetched")
+
+    def of_texts(other: DataFrame) -> DataFrame:
+        return plain.join(other, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
+
+    def fetched(big: bool) -> DataFrame:
+        own_kind = F.filter("wanted", lambda w: w["big"] == F.lit(big))
+        some = wanted.withColumn("wanted", own_kind).filter(F.size("wanted") > 0)
+        return of_texts(some).select("key", "text", "wanted").mapInPandas(_fetch, "gram_hash long, context_hash long, raw binary, key long, first long")
+
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    matched = found.filter("not big").drop("big").repartition(width, "gram_hash").sortWithinPartitions("gram_hash").mapInPandas(_match, "key long, first long, last long")
-    counted = found.filter("big").select("raw", "key", "first").mapInPandas(_windows, "w1 long, w2 long, key long, first long")
+    matched = fetched(False).repartition(width, "gram_hash").sortWithinPartitions("gram_hash").mapInPandas(_match, "key long, first long, last long")
+    counted = fetched(True).select("raw", "key", "first").mapInPandas(_windows, "w1 long, w2 long, key long, first long")
     often = counted.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     marks_big = counted.join(often, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi").select("key", "first", F.col("first").alias("last"))
 
     single = texts.filter("copies = 1").select(F.col("key").alias("text_key"), "text_id", "n_bytes")
     marks = marks_whole.unionByName(matched).unionByName(marks_big).join(single.select("text_key"), F.col("key") == F.col("text_key"), "left_semi")
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("marks"))  # a text's own windows
-    marks = marks.join(single, F.col("key") == F.col("text_key")).select("text_key", "text_id", F.col("n_bytes").alias("size"), "marks")
-    cut = plain.join(marks, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.octet_length("text") == F.col("size"))).select("key", "text", "marks").mapInPandas(_cut, _CUT)
+    marks = marks.join(single, F.col("key") == F.col("text_key")).select("text_key", "text_id", "marks")
+    cut = of_texts(marks).select("key", "text", "marks").mapInPandas(_cut, _CUT)
 
     named = rows.join(texts.select(F.col("key").alias("k"), F.col("n_bytes").alias("b"), "copies"), (F.col("key") == F.col("k")) & (F.col("n_bytes") == F.col("b")))
     named = named.join(cut.withColumnRenamed("key", "cut_key"), (F.col("key") == F.col("cut_key")) & (F.col("n_bytes") == F.col("size")), "left")
