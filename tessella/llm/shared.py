@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: White space of every word rule here, as a Java/RE2/Python character class body.
 SPACE = r"\x20\x09-\x0D"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -40,10 +41,16 @@ def importable(spark: SparkSession) -> None:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared scratch folder and reads it back: recovery after a lost
-    executor starts from there, and what reads it twice isn't computed twice."""
+    executor starts from there, and what reads it twice isn't computed twice. The write's own
+    shuffle files go when it is done, not when the driver next collects its garbage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,8 @@ brought together and matched in four steps, none of which pairs up documents:
    anchor are consecutive, so each anchor gives one context: the bytes those windows cover. Rows
    hold hashes of the anchor and of the context. Anchors that occur once are dropped.
 2. Contexts that occur more than once are repeated as a whole: their windows are marked.
-3. Of each different context of an anchor one copy is fetched. Tasks take whole anchors, some MB
-   of contexts at a time, and build a run-length index: the Burrows-Wheeler transform of the
+3. Of each different context of an anchor one copy is fetched. Tasks take whole anchors, about
+   ``INDEX_BYTES`` of contexts at a time, and build a run-length index: the Burrows-Wheeler transform of the
    contexts, cut into runs, with the suffix position at both ends of each run and the length of
    its match with the suffix next to it outside. A stream over the text positions gives matching
    statistics: at a sampled position the sampled length, else one less than at the position
@@ -35,7 +35,7 @@ from tessella.llm.shared import keep, mixed, table, text_of
 
 LENGTH, GRAM = 200, 32
 WINDOW_GRAMS = LENGTH - GRAM + 1
-CONTEXTS_PER_ANCHOR, INDEX_BYTES = 20_000, 1 << 21
+CONTEXTS_PER_ANCHOR, INDEX_BYTES = 20_000, 1 << 18
 BUFFER, PLACE_BITS = 1 << 20, 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -148,7 +148,7 @@ def run_length_index(parts: list[bytes]) -> dict[str, np.ndarray]:
     for k in range(7):
         key = key << np.uint64(9) | np.where(left > k, symbols[k : n + k], np.uint64(0))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate(([False], ordered[1:] != ordered[:-1]))
         rank = np.empty(n, np.int32)
@@ -160,6 +160,9 @@ def run_length_index(parts: list[bytes]) -> dict[str, np.ndarray]:
         after[: n - span] = rank[span:] if n > span else 0
         key = rank.astype(np.uint64) << np.uint64(32) | np.where(left > span, after, np.uint64(0))
         span *= 2
+    # equal suffixes of different strings: in the order of their positions, at every length
+    order = np.argsort(rank.astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64))
+
     # two suffixes match no further than their strings go
     def match(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b, total = a.copy(), b.copy(), np.zeros(len(a), np.int64)
@@ -245,8 +248,8 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = text.encode("utf-8", "surrogatepass")
             for w in wanted:
                 first = w["place"] >> 16
-                out.append((w["gram_hash"], w["context_hash"], raw[first : first + (w["place"] >> 8 & 255) + LENGTH], key, first))
-        yield pd.DataFrame(out, columns=["gram_hash", "context_hash", "raw", "key", "first"])
+                out.append((w["gram_hash"], w["context_hash"], raw[first : first + (w["place"] >> 8 & 255) + LENGTH], key, first, w["big"]))
+        yield pd.DataFrame(out, columns=["gram_hash", "context_hash", "raw", "key", "first", "big"])
 
 
 def removed_spans(marks, n: int) -> list[tuple[int, int]]:
@@ -305,20 +308,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = texts.groupBy("key").agg(F.min("text_id").alias("text_id")).select(F.col("key").alias("text_key"), "text_id")
     wanted = keep(wanted.groupBy("key").agg(F.collect_list("wanted").alias("wanted")).join(reps, F.col("key") == F.col("text_key")).select("text_key", "text_id", "wanted"), "wanted")  # a text's own anchors
 
-    # the texts are shuffled once: both joins below read the same exchange
     plain = own.filter(F.octet_length("text") >= LENGTH)
 
     def of_texts(other: DataFrame) -> DataFrame:
         return plain.join(other, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("text_id")))
 
-    def fetched(big: bool) -> DataFrame:
-        own_kind = F.filter("wanted", lambda w: w["big"] == F.lit(big))
-        some = wanted.withColumn("wanted", own_kind).filter(F.size("wanted") > 0)
-        return of_texts(some).select("key", "text", "wanted").mapInPandas(_fetch, "gram_hash long, context_hash long, raw binary, key long, first long")
-
+    fetched = keep(of_texts(wanted).select("key", "text", "wanted").mapInPandas(_fetch, "gram_hash long, context_hash long, raw binary, key long, first long, big boolean"), "fetched")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    matched = fetched(False).repartition(width, "gram_hash").sortWithinPartitions("gram_hash").mapInPandas(_match, "key long, first long, last long")
-    counted = fetched(True).select("raw", "key", "first").mapInPandas(_windows, "w1 long, w2 long, key long, first long")
+    matched = fetched.filter("not big").repartition(width, "gram_hash").sortWithinPartitions("gram_hash").mapInPandas(_match, "key long, first long, last long")
+    counted = fetched.filter("big").select("raw", "key", "first").mapInPandas(_windows, "w1 long, w2 long, key long, first long")
     often = counted.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("w1").alias("v1"), F.col("w2").alias("v2"))
     marks_big = counted.join(often, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")), "left_semi").select("key", "first", F.col("first").alias("last"))
 
