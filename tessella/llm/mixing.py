@@ -73,10 +73,10 @@ def _sized(docs: DataFrame) -> DataFrame:
 def _targets(sized: DataFrame, weights, budget: float, most: float, block_words: int) -> DataFrame:
     """With each source's number of blocks and slots, and the number of slots before its own."""
     targets = source_targets(sized, weights, budget, most).withColumn("blocks", F.ceil(F.col("source_size") / block_words))
-    slots = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.floor(F.col("blocks") * F.lit(float(most))))
+    slots = F.least(F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))).cast("long"), F.floor(F.col("blocks") * F.lit(float(most))))
     before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return targets.withColumn("slots", F.coalesce(slots, F.lit(0))).withColumn("slots_before", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("slots").over(every))
+    return targets.withColumn("slots", F.when(F.col("source_size") > 0, slots).otherwise(F.lit(0).cast("long"))).withColumn("slots_before", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn("all_slots", F.sum("slots").over(every))
 
 
 def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
