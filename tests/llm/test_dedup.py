@@ -220,6 +220,17 @@ def test_fuzzy_lines(documents):
     assert set(got) == set(want) and off <= 0.02 * sum(want.values())  # the banding's recall
 
 
+def test_fuzzy_lines_of_a_large_bucket_are_all_compared(documents, monkeypatch):
+    """All lines meet in one bucket of over 32: near copies unlike its first line are still found."""
+    monkeypatch.setattr(line_dedup, "line_bands", lambda lines: lines.selectExpr("line_id", "1L AS band"))
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(7)
+    texts = [passage(rng, 14) for _ in range(60)]
+    texts += [t[:-2] + "#" for t in texts[20:60]]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(documents(texts)).collect()}
+    assert got == {d: int(d < 60) for d in range(100)}
+
+
 def test_lines_run_without_python(documents):
     plan = line_dedup.line_bands(documents(["a"]).selectExpr("doc_id AS line_id", "text AS key"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
