@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import keep
+from tessella.llm.shared import keep, release
 
 
-def _stars(both: DataFrame, smaller: bool) -> DataFrame:
-    """Links each node's larger (or not larger) neighbours to the smallest node it sees. ``both``
-    has a row (u, v) for either direction of each link."""
-    lows = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("at"), F.least("u", "low").alias("low"))
-    joined = both.join(lows, F.col("u") == F.col("at"))
-    if smaller:
-        near = joined.filter("v < u").select(F.col("v").alias("a"), "low")
-        out = near.unionByName(lows.select(F.col("at").alias("a"), "low"))
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """``links`` has rows (a, low), a > low. Large star: each a is linked to the smallest node that
+    its ``low`` is linked to, or to ``low``. Small star: all lows of an a, and a, are linked to
+    the smallest of them. The minima are a table of their own, so that both sides of the join are
+    plain shuffles, which Spark splits at a node with many links."""
+    lows = keep(links.groupBy(F.col("a").alias("at")).agg(F.min("low").alias("least")), "lows")
+    if large:
+        out = links.join(lows, F.col("low") == F.col("at"), "left").select("a", F.coalesce("least", "low").alias("low"))
     else:
-        out = joined.filter("v > u").select(F.col("v").alias("a"), "low")
-    return out.filter("a <> low").distinct()
-
-
-def _either(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").alias("u"), F.col("low").alias("v")).unionByName(links.select(F.col("low").alias("u"), F.col("a").alias("v")))
+        met = links.join(lows, F.col("a") == F.col("at"))
+        out = met.select(F.col("low").alias("a"), F.col("least").alias("low")).filter("a <> low").unionByName(lows.select(F.col("at").alias("a"), F.col("least").alias("low")))
+    out = keep(out.distinct(), "links")
+    release(lows)
+    return out
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -36,5 +35,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if (new["n"], new["x"]) == state or not new["n"]:
             return now.select(F.col("a").alias("node"), F.col("low").alias("component")).unionByName(now.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct())
         state = (new["n"], new["x"])
-        now = keep(_stars(_either(_stars(_either(now), False)), True), "links")
+        far = _star(now, True)
+        near = _star(far, False)
+        release(now, far)
+        now = near
     raise RuntimeError(f"the components need more than {rounds} rounds")

@@ -7,16 +7,18 @@ of its prefix with the other's, if prefixes are a tenth longer than the first qu
 row may leave out the ``3 n / 80`` shared shingles that most rows have, and rows still meet:
 
 1. Of each row the remaining shingle with most rows names its bucket, and the row brings its
-   whole set there. In a bucket a signature tree is built: leaves hold a bitmap of their set,
-   nodes the OR of their children's and size ranges. A dual traversal drops node pairs whose
-   largest possible overlap is too small for their smallest sizes; pairs of leaves that are
-   left, and not yet connected, are compared exactly.
-2. Components of the links so far. Under every remaining shingle that rows of two or more
-   components have, the same tree over bitmaps alone gives the pairs of different components
-   that could still link; each distinct pair is compared exactly, and the components are final.
-
-A bucket of more than about ``BUCKET_ROWS`` rows is dealt out to several tasks in step 1; step 2
-finds the links between them.
+   whole set there. In a bucket signature trees are built, one for each two neighbouring bands of
+   sizes: leaves hold a bitmap of their set, nodes the OR of their children's and size ranges. A
+   dual traversal drops node pairs whose largest possible overlap is too small for their smallest
+   sizes; pairs of leaves that are left, and not yet connected, are compared exactly. A bucket
+   with many rows is dealt out to several tasks.
+2. Components of the links so far. Under every remaining shingle that ``MANY`` rows have, of two
+   or more components, ``PICKED`` rows of each component meet; the same trees give the most similar
+   pairs that would join them, fewer than there are components. Those are compared exactly, and
+   the components joined, in ``TURNS`` turns. This only saves work.
+3. Under the shingles that still have rows of two or more components, the trees give all pairs of
+   rows of different components that could link, by blocks of rows, so that no task has a whole
+   large bucket. Each is compared exactly, and the components are final.
 """
 
 from __future__ import annotations
@@ -26,20 +28,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.shared import joined_bytes, keep, mixed, slices, table
+from tessella.llm.shared import arrow_map, joined_bytes, keep, mixed, release, slices, table
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of whole numbers: 75 of 100.
 PART, WHOLE = 75, 100
 #: Of each set's size: what prefixes have beyond the first quarter, and what rows may leave out.
 LONGER, LEFT_OUT = 10, 3.75
-FAN, BUCKET_ROWS = 16, 4096
-SAMPLE_ROWS, HOT_IN_SAMPLE, HOT_AT_MOST = 10_000, 20, 200_000
+FAN, BUCKET_ROWS = 16, 2048
+#: Step 2: its turns, rows of each component, and rows of the buckets it is for; ratio of sizes of a band.
+TURNS, PICKED, MANY, BAND = 2, 6, 64, 3.2
+SAMPLE_ROWS, HOT_IN_SAMPLE, HOT_AT_MOST = 5_000, 10, 200_000
+
+#: Buckets of fewer rows than triangles, with so many pairs at most, are compared without a tree.
+DIRECT_PAIRS, _TRIANGLES = 48, [np.triu_indices(n, 1) for n in range(48)]
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,47 +129,62 @@ def links_of(overlap, n, m):
 
 
 class SignatureTree:
-    """Bitmaps of sets, and OR-combined bitmaps with size ranges of groups of ``FAN`` of them."""
+    """Bitmaps of sets, and OR-combined bitmaps with size ranges of groups of ``FAN`` of them.
+    ``labels`` are the sets' components, which ``relabel`` may lower: node pairs within one
+    component are of no interest."""
 
-    def __init__(self, sets: list[np.ndarray] | None = None, bitmaps: np.ndarray | None = None, sizes: np.ndarray | None = None):
-        if sets is not None:
-            sizes = np.array([len(s) for s in sets], np.int64)
-            bitmaps = np.stack([bitmap(s, bits_for(int(sizes.max()))) for s in sets])
-        self.sizes, self.bitmaps = sizes, bitmaps
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.sizes = sizes
         #: More shingles than bits: so many may hide behind bits that two sets share.
-        self.hidden = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
-        self.levels = [(bitmaps, sizes, sizes, self.hidden)]
+        hidden = sizes - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
+        self.levels = [(bitmaps, sizes, sizes, hidden)]
         while len(self.levels[-1][0]) > FAN:
             b, lo, hi, hid = self.levels[-1]
             edges = np.arange(0, len(b), FAN)
             self.levels.append((np.bitwise_or.reduceat(b, edges), np.minimum.reduceat(lo, edges), np.maximum.reduceat(hi, edges), np.maximum.reduceat(hid, edges)))
-
-    def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which node pairs may hold similar sets, by sizes and the largest possible overlap."""
-        bits, lo, hi, hidden = self.levels[level]
+        self.relabel(labels)
+
+    def relabel(self, labels: np.ndarray) -> None:
+        self.labels = [(labels, labels)]
+        for b, *_ in self.levels[1:]:
+            lo, hi = self.labels[-1]
+            edges = np.arange(0, len(lo), FAN)
+            self.labels.append((np.minimum.reduceat(lo, edges), np.maximum.reduceat(hi, edges)))
+
+    def overlap(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The largest possible overlap of sets under the nodes."""
+        bits, _, hi, hidden = self.levels[level]
         overlap = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64) + np.minimum(hidden[a], hidden[b])
-        overlap = np.minimum(overlap, np.minimum(hi[a], hi[b]))
-        sizes = (hi[a] * WHOLE >= lo[b] * PART) & (hi[b] * WHOLE >= lo[a] * PART)
-        return sizes & (WHOLE * overlap >= PART * (lo[a] + lo[b] - overlap))
-
-    def pairs(self, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return np.minimum(overlap, np.minimum(hi[a], hi[b]))
+
+    def possible(self, level: int, a: np.ndarray, b: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """The node pairs that may hold similar sets of different components."""
+        _, lo, hi, _ = self.levels[level]
+        least, most = self.labels[level]
+        ok = (hi[a] * WHOLE >= lo[b] * part) & (hi[b] * WHOLE >= lo[a] * part)
+        ok &= (least[a] != most[a]) | (least[b] != most[b]) | (least[a] != least[b])
+        a, b = a[ok], b[ok]
+        overlap = self.overlap(level, a, b)
+        ok = WHOLE * overlap >= part * (lo[a] + lo[b] - overlap)
+        return a[ok], b[ok]
+
+    def pairs(self, part: int = PART, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of leaves a < b that the bounds leave, a chunk of node pairs at a time."""
         top = len(self.levels) - 1
         a, b = np.triu_indices(len(self.levels[top][0]))
-        stack = [(top, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)]
+        stack = [(top, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)][::-1]
         while stack:
             level, a, b = stack.pop()
-            keep_ = self.possible(level, a, b) if level or len(a) else np.zeros(0, bool)
-            a, b = a[keep_], b[keep_]
+            a, b = self.possible(level, a, b, part)
             if not level:
                 own = a < b
                 yield a[own], b[own]
                 continue
             below = len(self.levels[level - 1][0])
-            child = np.arange(FAN)
-            for i in range(0, len(a), chunk // (FAN * FAN)):
-                x = (a[i : i + chunk // (FAN * FAN), None, None] * FAN + child[None, :, None]).repeat(FAN, 2).ravel()
-                y = (b[i : i + chunk // (FAN * FAN), None, None] * FAN + child[None, None, :]).repeat(FAN, 1).ravel()
+            child, step = np.arange(FAN), chunk // (FAN * FAN)
+            for i in reversed(range(0, len(a), step)):
+                x = (a[i : i + step, None, None] * FAN + child[None, :, None]).repeat(FAN, 2).ravel()
+                y = (b[i : i + step, None, None] * FAN + child[None, None, :]).repeat(FAN, 1).ravel()
                 fine = (x < below) & (y < below) & (x <= y)
                 stack.append((level - 1, x[fine], y[fine]))
 
@@ -186,86 +209,173 @@ def folded(raw: bytes, bits: int) -> np.ndarray:
     return x
 
 
-class _Sets:
-    """Union-find over the rows of one bucket."""
+def trees(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray) -> Iterator[tuple[SignatureTree, np.ndarray]]:
+    """Trees that together hold all pairs of sets whose sizes allow the similarity: one for each
+    two neighbouring bands of sizes, with bitmaps for sets of that size. With each tree come the
+    places of its leaves; a component's sets stand together, and sets with equal first bits."""
+    band = bands(sizes)
+    for k in np.unique(band):
+        own = np.flatnonzero((band == k) | (band == k + 1))
+        if len(own) > 1 and labels[own].min() != labels[own].max():
+            bits = bits_for(int(sizes[own].min()))
+            maps = np.stack([folded(bitmaps[i], bits) for i in own])
+            _, of, count = np.unique(labels[own], return_inverse=True, return_counts=True)
+            order = np.lexsort((*maps.T[3::-1], np.where(count[of] > 1, labels[own], -1)))
+            yield SignatureTree(maps[order], sizes[own][order], labels[own][order]), own[order]
+
+
+def bands(sizes: np.ndarray, step: float = WHOLE / PART) -> np.ndarray:
+    """Sets of similar size are in the same band or in neighbouring ones."""
+    return np.floor(np.log(sizes) / np.log(step) + 1e-9).astype(np.int64)
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+
+class _Labels:
+    """Components of rows 0 to n - 1, given some already."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[of].tolist()
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
+    def join(self, i: int, j: int) -> bool:
+        x, y = self.root(i), self.root(j)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+    def all(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.up))])
+
 
 def _in_bucket(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the links of one bucket."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), sets[i][:4].tolist()))
-    ids, sets = ids[order], [sets[i] for i in order]
-    found, joined = [], _Sets(len(ids))
-    for a, b in SignatureTree(sets).pairs():
-        for i, j in zip(a.tolist(), b.tolist()):
-            x, y = joined.root(i), joined.root(j)
-            if x != y and links_of(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
-                joined.up[max(x, y)] = min(x, y)
-                found.append((int(ids[i]), int(ids[j])))
+    sizes, found, joined = np.array([len(s) for s in sets], np.int64), [], _Labels(np.arange(len(ids)))
+    for tree, place in trees(sizes, [bitmap(s, bits_for(len(s))) for s in sets], joined.all()):
+        tree.relabel(joined.all()[place])
+        for a, b in tree.pairs():
+            apart = tree.labels[0][0][a] != tree.labels[0][0][b]
+            for i, j in zip(place[a[apart]].tolist(), place[b[apart]].tolist()):
+                if joined.root(i) != joined.root(j) and links_of(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
+                    joined.join(i, j)
+                    found.append((int(ids[i]), int(ids[j])))
+            if apart.any():
+                tree.relabel(joined.all()[place])
     return found
 
 
-def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of consecutive rows with equal keys, of batches sorted by them."""
-    rest: list[pd.DataFrame] = []
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole groups of consecutive rows with equal keys, of batches sorted by them, as columns."""
+    rest: list[dict[str, np.ndarray]] = []
+    whole = lambda parts: parts[0] if len(parts) == 1 else {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
     for batch in batches:
         if not len(batch):
             continue
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
         changes = np.zeros(len(batch), bool)
         for k in keys:
-            v = batch[k].to_numpy()
+            v = columns[k]
             changes[1:] |= v[1:] != v[:-1]
-            changes[0] |= bool(rest) and rest[-1][k].iloc[-1] != v[0]
+            changes[0] |= bool(rest) and rest[-1][k][-1] != v[0]
         if rest and changes[0]:
-            yield pd.concat(rest)
+            yield whole(rest)
             rest = []
         edges = [0, *np.flatnonzero(changes[1:]) + 1, len(batch)]
-        parts = [batch.iloc[a:b] for a, b in zip(edges, edges[1:])]
-        for i, part in enumerate(parts):
-            rest.append(part)
-            if i < len(parts) - 1:
-                yield pd.concat(rest) if len(rest) > 1 else rest[0]
+        for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            rest.append({c: v[lo:hi] for c, v in columns.items()})
+            if i < len(edges) - 2:
+                yield whole(rest)
                 rest = []
     if rest:
-        yield pd.concat(rest)
+        yield whole(rest)
 
 
 def _link_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in _grouped(batches, ["h", "salt"]):
-        if len(group) > 1:
-            found = _in_bucket(group["rep"].to_numpy(), [np.frombuffer(t, np.uint64) for t in group["tokens"]])
+        if len(group["rep"]) > 1:
+            found = _in_bucket(group["rep"], [np.frombuffer(t, np.uint64) for t in group["tokens"]])
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
 
-def _cross_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for group in _grouped(batches, ["h"]):
-        sizes = group["n"].to_numpy(np.int64)
-        order = np.argsort(sizes, kind="stable")
-        ids, comps, sizes = group["rep"].to_numpy()[order], group["component"].to_numpy()[order], sizes[order]
-        raw = group["bitmap"].tolist()
-        bits = bits_for(int(sizes.min()))
-        tree = SignatureTree(bitmaps=np.stack([folded(raw[i], bits) for i in order]), sizes=sizes)
-        for a, b in tree.pairs():
-            other = comps[a] != comps[b]
-            if other.any():
-                x, y = ids[a[other]], ids[b[other]]
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+def few_pairs(sizes: np.ndarray, raw: np.ndarray, apart: np.ndarray) -> list[tuple[float, int, int]] | None:
+    """Candidates (likeness, i, j) of a small bucket, pair by pair; None if there are many pairs
+    to look at. ``apart`` (i, j) tells which pairs are of interest."""
+    i, j = _TRIANGLES[len(sizes)]
+    ok = apart[i, j] & (sizes[i] * WHOLE >= sizes[j] * PART) & (sizes[j] * WHOLE >= sizes[i] * PART)
+    if np.count_nonzero(ok) > DIRECT_PAIRS:
+        return None
+    out = []
+    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+        x, y, n, m = np.frombuffer(raw[a], np.uint64), np.frombuffer(raw[b], np.uint64), int(sizes[a]), int(sizes[b])
+        bits = 64 * min(len(x), len(y))
+        x, y = folded(raw[a], bits), folded(raw[b], bits)
+        both = int(np.bitwise_count(x & y).sum(dtype=np.int64))
+        both += min(n - int(np.bitwise_count(x).sum(dtype=np.int64)), m - int(np.bitwise_count(y).sum(dtype=np.int64)))
+        both = min(both, n, m)
+        if links_of(both, n, m):
+            out.append((both / (n + m), a, b))
+    return out
+
+
+def _spanning_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each bucket, candidates that would join its components if they all were links: at most
+    one fewer than there are components, the most similar by their bitmaps first."""
+    found = []
+    for group in _grouped(batches, ["h", "band", "salt"]):
+        sizes, ids, comps, raw = group["n"], group["rep"], group["component"], group["bitmap"]
+        joined = _Labels(comps)
+        few = few_pairs(sizes, raw, comps[:, None] != comps[None, :]) if len(ids) < len(_TRIANGLES) else None
+        if few is not None:
+            found += [(ids[i], ids[j]) for _, i, j in sorted(few, key=lambda t: -t[0]) if joined.join(i, j)]
+            continue
+        maps = [np.frombuffer(m, np.uint64) for m in raw]
+        for part in (92, 84, PART):
+            for tree, place in trees(sizes, maps, joined.all()):
+                tree.relabel(joined.all()[place])
+                for a, b in tree.pairs(part):
+                    order = np.argsort(-tree.overlap(0, a, b) / (tree.sizes[a] + tree.sizes[b]), kind="stable")
+                    new = [(i, j) for i, j in zip(place[a[order]].tolist(), place[b[order]].tolist()) if joined.join(i, j)]
+                    if new:
+                        found += [(ids[i], ids[j]) for i, j in new]
+                        tree.relabel(joined.all()[place])
+    yield _both_ways(found)
+
+
+def _both_ways(found: list[tuple[int, int]]) -> pd.DataFrame:
+    out = np.array(found, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": out.min(1), "b": out.max(1)})
+
+
+def _all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of two blocks of a bucket, or one with itself, all candidates of different components."""
+    found = []
+    for group in _grouped(batches, ["h", "band", "i", "j"]):
+        sizes, ids, comps, sides, raw = group["n"], group["rep"], group["component"], group["side"], group["bitmap"]
+        alone = group["i"][0] == group["j"][0]
+        few = None
+        if len(ids) < len(_TRIANGLES):
+            few = few_pairs(sizes, raw, (comps[:, None] != comps[None, :]) & (alone | (sides[:, None] != sides[None, :])))
+        if few is not None:
+            found += [(ids[i], ids[j]) for _, i, j in few]
+            continue
+        for tree, place in trees(sizes, [np.frombuffer(m, np.uint64) for m in raw], comps):
+            for a, b in tree.pairs():
+                x, y = place[a], place[b]
+                other = (comps[x] != comps[y]) & (alone | (sides[x] != sides[y]))
+                if other.any():
+                    yield pd.DataFrame({"a": np.minimum(ids[x[other]], ids[y[other]]), "b": np.maximum(ids[x[other]], ids[y[other]])})
+    yield _both_ways(found)
 
 
 def _hot_shingles(spark: SparkSession, docs: DataFrame) -> list[tuple[int, int]]:
     """Shingles of many rows of a hashed sample of about ``SAMPLE_ROWS``, at most ``HOT_AT_MOST``
     of them, with how many rows have each by that sample."""
-    rows = docs.count()
+    rows, parts = docs.count(), 1 << 40
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < math.ceil(share * parts))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -280,18 +390,17 @@ def _hot_shingles(spark: SparkSession, docs: DataFrame) -> list[tuple[int, int]]
 
 
 def _summaries(docs: DataFrame, hot: Broadcast) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for lo, hi in slices(texts, 1 << 22):
-                sets = shingle_sets(texts[lo:hi])
-                key = [(np.bitwise_xor.reduce(mixed(s)).view(np.int64), np.add.reduce(mixed(s ^ _BASE)).view(np.int64)) if len(s) else (0, 0) for s in sets]
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[lo:hi].astype("Int64").array, "n": [len(s) for s in sets], "key1": [int(k[0]) for k in key], "key2": [int(k[1]) for k in key],
-                    "prefix": [prefix(s, hot.value).view(np.int64) for s in sets],
-                })
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        texts = batch["text"].to_pylist()
+        for lo, hi in slices(texts, 1 << 22):
+            sets = shingle_sets(texts[lo:hi])
+            key = [(np.bitwise_xor.reduce(mixed(s)).view(np.int64), np.add.reduce(mixed(s ^ _BASE)).view(np.int64)) if len(s) else (0, 0) for s in sets]
+            yield {
+                "doc_id": batch["doc_id"][lo:hi], "n": [len(s) for s in sets], "key1": [int(k[0]) for k in key], "key2": [int(k[1]) for k in key],
+                "prefix": [prefix(s, hot.value).view(np.int64) for s in sets],
+            }
 
-    return docs.mapInPandas(run, "doc_id long, n long, key1 long, key2 long, prefix array<long>")
+    return arrow_map(docs, run, "doc_id long, n long, key1 long, key2 long, prefix array<long>")
 
 
 def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,6 +423,63 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["a", "b"]][np.array(hit, bool)]
 
 
+def _with_bitmaps(own: DataFrame, placed: DataFrame) -> DataFrame:
+    marks = own.join(placed.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_bitmaps, "rep long, n long, bitmap binary")
+    return placed.join(marks, "rep")
+
+
+def _open(buckets: DataFrame, components: DataFrame, least: int) -> DataFrame:
+    """(rep, h, band, component, components) of the buckets' bands of sizes that have ``least`` or
+    more rows, of two or more components. Rows at a band's edge are in the next band too. Of bands with the same
+    rows under several shingles one stays."""
+    edge = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
+    banded = F.explode(F.array_distinct(F.array(edge(F.col("n")), edge(F.col("n") * (WHOLE / PART + 0.01))))).alias("band")
+    placed = buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", "h", banded, F.coalesce("component", "rep").alias("component"))
+    rows = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    several = placed.groupBy("h", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("components"), *rows).filter((F.col("m") >= least) & (F.col("low") != F.col("high")))
+    one = several.groupBy("band", "m", "x", "y").agg(F.min("h").alias("of"), F.min("components").alias("components")).withColumnRenamed("band", "in")
+    return placed.join(one, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("rep", "h", "band", "component", "components")
+
+
+def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int) -> DataFrame:
+    """(a, b): per bucket pairs that would join its components, of a few rows of each."""
+    picks = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PICKED + i)).alias("x"), "rep"))["rep"] for i in range(PICKED)]
+    salt = F.pmod(F.xxhash64("component", F.lit(turn)), F.expr(f"components div {BUCKET_ROWS} + 1")).alias("salt")
+    few = left.groupBy("h", "band", "component", "components").agg(F.array_distinct(F.array(*picks)).alias("reps")).select("h", "band", "component", salt, F.explode("reps").alias("rep"))
+    few = keep(few, "picked")
+    met = _with_bitmaps(own, few).repartition(width, "h", "band", "salt").sortWithinPartitions("h", "band", "salt")
+    out = keep(met.mapInPandas(_spanning_pairs, "a long, b long").distinct(), "likely")
+    release(few)
+    return out
+
+
+def _all_candidates(own: DataFrame, left: DataFrame, width: int) -> DataFrame:
+    """(a, b): per bucket all pairs of rows of different components that the bitmaps leave.
+
+    The rows of a bucket's largest component and all others are dealt to blocks; a block of others
+    meets every block, blocks of the largest component don't meet each other.
+    """
+    per = left.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("m"))
+    per = per.groupBy("h", "band").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"))
+    per = keep(per.select(F.col("h").alias("of"), F.col("band").alias("in"), F.col("top.component").alias("top"), F.expr(f"(all - top.m) div {BUCKET_ROWS} + 1").alias("others"), F.expr(f"top.m div {BUCKET_ROWS} + 1").alias("tops")), "bands")
+    rows = left.join(per, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).withColumn("major", F.col("component") == F.col("top"))
+    rows = rows.withColumn("block", F.when(F.col("major"), F.col("others") + F.pmod(F.xxhash64("rep"), "tops")).otherwise(F.pmod(F.xxhash64("rep"), "others")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("major"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))))
+    rows = rows.select("rep", "h", "band", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("other") < F.col("block")).cast("int").alias("side"))
+    met = _with_bitmaps(own, rows).repartition(width, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
+    out = keep(met.mapInPandas(_all_pairs, "a long, b long").distinct(), "candidates")
+    release(per)
+    return out
+
+
+def _verify(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    tokens = keep(own.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_whole_sets, "rep long, tokens binary"), "tokens")
+    checked = pairs.join(tokens.withColumnsRenamed({"rep": "ra", "tokens": "tokens_a"}), F.col("a") == F.col("ra")).join(tokens.withColumnsRenamed({"rep": "rb", "tokens": "tokens_b"}), F.col("b") == F.col("rb"))
+    return checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links of a
     Jaccard similarity of 3/4 or more, its own included).
@@ -337,7 +503,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = cold.unionByName(entries.filter("hot_h is not null").select("rep", "n", "h", F.col("hot_members").alias("members")))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("members"), "h"))
     left_out = F.floor(F.col("n") * LEFT_OUT / WHOLE)
-    meetings = keep(shared.withColumn("place", place - left_out).filter("place > 0").select("rep", "h", "members"), "meetings")
+    meetings = keep(shared.withColumn("place", place - left_out).filter("place > 0").select("rep", "n", "h", "members"), "meetings")
     # shingles that exactly the same rows have are one bucket
     alike = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("size > 1")
     alike = alike.groupBy("size", "x", "y").agg(F.min("h").alias("bucket")).select("bucket")
@@ -348,19 +514,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))).filter("rows > 1").select("rep", "h", "salt")
     shipped = own.join(named, F.col("doc_id") == F.col("rep")).select("rep", "text", "h", "salt").mapInPandas(_whole_sets, "rep long, tokens binary, h long, salt long")
     links = keep(shipped.repartition(width, "h", "salt").sortWithinPartitions("h", "salt").mapInPandas(_link_buckets, "a long, b long").distinct(), "found")
-    first = connected_components(links)
-
-    placed = buckets.join(first, F.col("rep") == F.col("node"), "left").select("rep", "h", F.coalesce("component", "rep").alias("component"))
-    open_ = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select(F.col("h").alias("open_h"))
-    left = keep(placed.join(open_, F.col("h") == F.col("open_h"), "left_semi"), "open")
-    marks = own.join(left.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_bitmaps, "rep long, n long, bitmap binary")
-    meeting = left.join(marks, "rep").repartition(width, "h").sortWithinPartitions("h")
-    pairs = keep(meeting.mapInPandas(_cross_pairs, "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    tokens = keep(own.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_whole_sets, "rep long, tokens binary"), "tokens")
-    checked = pairs.join(tokens.withColumnsRenamed({"rep": "ra", "tokens": "tokens_a"}), F.col("a") == F.col("ra")).join(tokens.withColumnsRenamed({"rep": "rb", "tokens": "tokens_b"}), F.col("b") == F.col("rb"))
-    more = checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified, "a long, b long")
-    final = connected_components(links.unionByName(more))
+    release(meetings)
+    components = keep(connected_components(links), "components")
+    for turn in range(TURNS + 1):
+        left = keep(_open(buckets, components, 2 if turn == TURNS else MANY), "open")
+        if not left.head(1):
+            continue
+        tried = _all_candidates(own, left, width) if turn == TURNS else _likely_candidates(own, left, width, turn)
+        more = keep(_verify(own, tried), "found")
+        release(left, tried)
+        if more.head(1):
+            links = links.unionByName(more)
+            components = keep(connected_components(links), "components")
+    final = components
 
     members = linkable.select("doc_id", "n", "key1", "key2").join(classes.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("n").alias("size"), "rep"), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") == F.col("size")))
     named_rows = members.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

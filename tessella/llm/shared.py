@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 #: White space of every word rule here, as a Java/RE2/Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -22,21 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a temporary one if
+    all tasks run in the driver's process; on a cluster that is an error."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         sc.setCheckpointDir(folder)
     return folder
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this repository, wherever the driver was started."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = ":".join([ROOT, *paths])
+    """Ships this package to Python workers, once per application."""
+    sc = spark.sparkContext
+    if any("tessella-package" in f for f in sc.listFiles):
+        return
+    archive = f"{tempfile.mkdtemp()}/tessella-package.zip"  # the driver serves it to executors from here
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(Path(ROOT, "tessella").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    sc.addPyFile(archive)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +62,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``keep`` that nothing will read again: what was made of them is kept."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(column: str | Column) -> Column:
@@ -68,6 +88,20 @@ def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), offsets
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with a function of one record batch that gives tables, or dicts of columns,
+    of ``schema``. Ids pass as Arrow columns: pandas would round long ids beside nulls."""
+    types = to_arrow_schema(DataType.fromDDL(schema))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in run(batch):
+                arrays = [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in types]
+                yield from pa.table(arrays, schema=types).to_batches()
+
+    return df.mapInArrow(each, schema)
+
+
 def slices(texts, limit: int = 1 << 21):
     """(first, last) positions of consecutive texts that hold about ``limit`` characters
     together, at least one text each: bounds what is expanded at once."""

@@ -171,13 +171,17 @@ def test_jaccard_edge_cases(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6]
 
 
-def test_signature_tree_keeps_similar_pairs():
+def test_signature_trees_keep_similar_pairs():
     rng = np.random.default_rng(4)
     pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
-    sets = [np.unique(rng.choice(pool[k : k + 60], 50, replace=False)) for k in rng.integers(0, 800, 200)]
-    want = {(i, j) for i, j in itertools.combinations(range(200), 2) if jaccard_join.links_of(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
-    got = {(min(i, j), max(i, j)) for a, b in jaccard_join.SignatureTree(sets).pairs() for i, j in zip(a.tolist(), b.tolist())}
-    assert want <= got and len(got) < 200 * 199 // 4
+    sets = [np.unique(rng.choice(pool[k : k + 52], int(rng.integers(44, 52)), replace=False)) for k in rng.integers(0, 800, 300)]
+    labels = rng.integers(0, 150, 300)
+    maps = [jaccard_join.bitmap(s, jaccard_join.bits_for(len(s))) for s in sets]
+    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if labels[i] != labels[j] and jaccard_join.links_of(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    got = set()
+    for tree, place in jaccard_join.trees(np.array([len(s) for s in sets]), maps, labels):
+        got |= {(min(i, j), max(i, j)) for a, b in tree.pairs() for i, j in zip(place[a].tolist(), place[b].tolist())}
+    assert len(want) > 30 and want <= got and len(got) < 300 * 299 // 4
 
 
 # --- op5 ---------------------------------------------------------------------------------------
