@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.components import connected_components
+from tessella.llm.components import connected_components, joined_components
 from tessella.llm.shared import arrow_map, joined_bytes, keep, mixed, release, slices, table
 
 SHINGLE_WORDS = 5
@@ -524,8 +524,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = keep(_verify(own, tried), "found")
         release(left, tried)
         if more.head(1):
-            links = links.unionByName(more)
-            components = keep(connected_components(links), "components")
+            components = keep(joined_components(components, more), "components")
     final = components
 
     members = linkable.select("doc_id", "n", "key1", "key2").join(classes.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("n").alias("size"), "rep"), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") == F.col("size")))
