@@ -16,17 +16,16 @@ import heapq
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import table
+from tessella.llm.shared import arrow_map, table
 
 DEFAULT_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces remembered by a Python worker; the table is emptied when full, which changes no result.
 REMEMBERED = 400_000
-#: Windows up to so many bytes are encoded by merging in rank order.
-DIRECT_BYTES = 16
+#: Subtrees of so many bytes are remembered: most pieces share theirs with other pieces.
+REMEMBERED_BYTES = 16
 NO_RANK = 1 << 60
 
 
@@ -38,6 +37,7 @@ class TreeBPE:
         self.bytes_of = dict(zip(ranks.values(), ranks.keys()))
         self.decimal = {i: str(i) for i in self.bytes_of}
         self._stable: dict[tuple[bytes, bytes], bool] = {}
+        self._halves: dict[bytes, list[bytes]] = {}
 
     def merged(self, raw: bytes) -> list[bytes]:
         """Encoding by repeatedly merging the leftmost pair of lowest rank."""
@@ -107,10 +107,17 @@ class TreeBPE:
             j = min(len(right), j + step) if grow_right else j
 
     def tree(self, raw: bytes) -> list[bytes]:
-        if len(raw) <= DIRECT_BYTES:
-            return self.merged(raw)
-        half = len(raw) // 2
-        return self.joined(self.tree(raw[:half]), self.tree(raw[half:]))
+        if len(raw) == 1:
+            return [raw]
+        found = self._halves.get(raw)
+        if found is None:
+            half = len(raw) // 2
+            found = self.joined(self.tree(raw[:half]), self.tree(raw[half:]))
+            if len(raw) <= REMEMBERED_BYTES:
+                if len(self._halves) >= REMEMBERED:
+                    self._halves.clear()
+                self._halves[raw] = found
+        return found
 
     def encode_piece(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one piece; a piece that is a token by itself is that token."""
@@ -169,22 +176,20 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = N
     vocabulary file must be readable on every worker."""
     path, pattern = (path, pattern) if path and pattern else default_vocabulary()
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [encode(t, path, pattern) for t in batch["text"]]})
+    def run(batch):
+        yield {"doc_id": batch["doc_id"], "ids": [encode(t, path, pattern) for t in batch["text"].to_pylist()]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(coded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and the decoded bytes of rows (doc_id, ids); null ids give no bytes."""
     path, pattern = (path, pattern) if path and pattern else default_vocabulary()
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "decoded": [b"" if ids is None else decode(ids, path, pattern) for ids in batch["ids"]]})
+    def run(batch):
+        yield {"doc_id": batch["doc_id"], "decoded": [b"" if ids is None else decode(ids, path, pattern) for ids in batch["ids"].to_pylist()]}
 
-    return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded binary")
+    return arrow_map(coded.select("doc_id", "ids"), run, "doc_id long, decoded binary")
 
 
 def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,18 +200,17 @@ def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = N
     """
     path, pattern = (path, pattern) if path and pattern else default_vocabulary()
 
-    def run(batches):
-        for batch in batches:
-            rows, decimal = [], _loaded(path, pattern)[1].decimal
-            for text in batch["text"]:
-                ids = encode(text, path, pattern)
-                rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, path, pattern)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+    def run(batch):
+        n, ids_sha256, decoded_sha256, decimal = [], [], [], _loaded(path, pattern)[1].decimal
+        for text in batch["text"]:  # one text at a time: a long one's ids are gone before the next
+            ids = encode(text.as_py(), path, pattern)
+            n.append(len(ids))
+            ids_sha256.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+            decoded_sha256.append(hashlib.sha256(decode(ids, path, pattern)).hexdigest())
+        yield {"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": ids_sha256, "decoded_sha256": decoded_sha256}
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(own, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

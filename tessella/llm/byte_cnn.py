@@ -7,9 +7,9 @@ byte position and one for the lag, so no one-hot input is formed. Chunks of ``CH
 overlap by one block; responses are max-pooled in each chunk, and the mean of the chunks' pooled
 responses gives one probability.
 
-Fitting is on the driver, on a bounded sample: of each label class the ``SAMPLE_PER_CLASS`` rows
-with the smallest hash, of each of those up to ``SAMPLE_CHUNKS`` chunks spread over the text.
-Class weights restore the label shares of all training rows, so scores are probabilities.
+Fitting is on the driver, on all chunks of a bounded sample of rows: of each label class the
+``SAMPLE_PER_CLASS`` rows with the smallest hash, fewer if their texts together pass
+``SAMPLE_BYTES``. Class weights restore the label shares of all training rows, so scores are probabilities.
 """
 
 from __future__ import annotations
@@ -17,18 +17,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import joined_bytes, slices, table, text_of
+from tessella.llm.shared import arrow_map, joined_bytes, slices, table, text_of
 
 WIDTH, STRIDE, FILTERS = 8, 2, 16
 BLOCK, CHUNK_BLOCKS = 64, 8
 CHUNK = BLOCK * CHUNK_BLOCKS
 LAGS = tuple(range(1, 17))
-SAMPLE_PER_CLASS, SAMPLE_CHUNKS = 2500, 4
-EPOCHS, RATE, SEED = 12, 0.004, 7
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 8 << 20
+EPOCHS, RATE, SEED = 10, 0.005, 7
 THRESHOLD = 0.3
 FOLDS, HELD_OUT_FOLD = 5, 0
 
@@ -168,12 +168,11 @@ def fit(samples: list[list[bytes]], labels: np.ndarray, weights: np.ndarray, epo
     return ByteCNN(p["table"], p["lag"].astype(np.float32), p["bias"].astype(np.float32), p["head"], float(p["head_bias"][0]))
 
 
-def sample_chunks(text: str | None, count: int = SAMPLE_CHUNKS) -> list[bytes]:
-    """Up to ``count`` chunks spread evenly over the whole text."""
+def chunks_of(text: str | None) -> list[bytes]:
+    """The overlapping chunks over which ``pooled`` pools."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    last = max(0, len(raw) - CHUNK)
-    n = min(count, 1 + -(-last // CHUNK))
-    return [raw[at : at + CHUNK] for at in (last * i // max(1, n - 1) for i in range(n))]
+    step, blocks = BLOCK * (CHUNK_BLOCKS - 1), max(1, -(-len(raw) // BLOCK))
+    return [raw[i * step : i * step + CHUNK] for i in range(max(1, -(-(blocks - 1) // (CHUNK_BLOCKS - 1))))]
 
 
 def held_out(id_col: str = "doc_id"):
@@ -181,56 +180,65 @@ def held_out(id_col: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS) == HELD_OUT_FOLD
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, label_col: str = "quality", epochs: int = EPOCHS) -> ByteCNN:
-    """Fits on at most ``2 * per_class`` labelled rows outside the held-out fold. Rows with a
-    null id or label are not used. With labels of one class only, or none, the network scores
-    that class's share (0.5 without labels)."""
+def _constant(share: float) -> ByteCNN:
+    zeros = lambda *shape: np.zeros(shape, np.float32)
+    return ByteCNN(zeros(WIDTH, 256, FILTERS), zeros(len(LAGS) + 1, FILTERS), zeros(FILTERS), np.zeros(FILTERS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, label_col: str = "quality", epochs: int = EPOCHS, sample_bytes: int = SAMPLE_BYTES) -> ByteCNN:
+    """Fits on whole texts of at most ``2 * per_class`` labelled rows outside the held-out fold,
+    and of each class on no more than ``sample_bytes``. Rows with a null id or label are not used,
+    nor are ids that are labelled both ways. With labels of one class only, or none, the network
+    scores that class's share (0.5 without labels)."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1) & ~held_out()).select(F.col("doc_id").cast("long").alias("label_id"), F.col(label_col).cast("int").alias("label"))
+    own = own.groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
     totals = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    if not totals:
+        return _constant(0.5)
     ranked = F.xxhash64(F.col("label_id"), F.lit(SEED))
     chosen = own.filter("label = 0").orderBy(ranked, "label_id").limit(per_class).unionByName(own.filter("label = 1").orderBy(ranked, "label_id").limit(per_class))
-    ids = chosen.dropDuplicates(["label_id"]).collect()  # bounded by 2 * per_class rows
-    if not totals:
-        return ByteCNN(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros((len(LAGS) + 1, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), 0.0)
-
-    def cut(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "chunks": [sample_chunks(t) for t in batch["text"]]})
-
-    bounded = docs.sparkSession.createDataFrame([(r["label_id"], r["label"]) for r in ids], "label_id long, label int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).join(F.broadcast(bounded), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text").mapInPandas(cut, "doc_id long, label int, chunks array<binary>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["chunks"]))
+    session, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    ids = [(r["label_id"], r["label"]) for r in chosen.collect()]  # 2 * per_class rows
+    found = texts.join(F.broadcast(session.createDataFrame(ids, "label_id long, label int")), F.col("doc_id") == F.col("label_id"))
+    sizes = {(r["label"], r["doc_id"]): r["size"] for r in found.groupBy("label", "doc_id").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    taken, used = [], {0: 0, 1: 0}
+    for doc_id, label in ids:
+        size = sizes.get((label, doc_id))
+        if size is not None and used[label] + size <= sample_bytes:
+            used[label] += size
+            taken.append((doc_id, label))
+    rows = found.join(F.broadcast(session.createDataFrame([t[:1] for t in taken], "taken long")), F.col("doc_id") == F.col("taken"), "left_semi").select("doc_id", "label", "text").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:
-        share = sum(k * n for k, n in totals.items()) / sum(totals.values())
-        return ByteCNN(np.zeros((WIDTH, 256, FILTERS), np.float32), np.zeros((len(LAGS) + 1, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    w = np.array([totals[int(k)] / taken[int(k)] for k in y])
-    return fit([[bytes(c) for c in r["chunks"]] for r in rows], y, w, epochs)
+        return _constant(sum(k * n for k, n in totals.items()) / sum(totals.values()))
+    count = {k: max(1, int((y == k).sum())) for k in (0, 1)}
+    return fit([chunks_of(r["text"]) for r in rows], y, np.array([totals[int(k)] / count[int(k)] for k in y]), epochs)
 
 
 def score(docs: DataFrame, net: ByteCNN, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. Scores depend on the text alone; null text
-    is empty. Null ids stay null, repeated rows repeat, other columns are ignored."""
+    is empty. Null ids stay null, repeated rows repeat, other columns are ignored, and an empty
+    table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed size
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": score_texts(shared.value, list(batch["text"]))})
+    def run(batch):
+        yield {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score_texts(shared.value, batch["text"].to_pylist())}
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text"))
-    return own.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return arrow_map(own, run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_rejected(docs: DataFrame, net: ByteCNN, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the network accepts, all columns."""
+    """The rows of ``docs`` that the network accepts, all columns as they are, nulls and long ids
+    included. Null text is judged as empty; repeated rows are judged alike; no rows give none."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         for batch in batches:
-            yield batch[score_texts(shared.value, list(batch["text"])) >= threshold]
+            yield batch.filter(pa.array(score_texts(shared.value, batch["text"].to_pylist()) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:

@@ -1,28 +1,33 @@
 """Exact document dedup by an exchange of Golomb-coded fingerprints.
 
-1. Each scan partition (block) hashes its normalised texts. Fingerprints and digests are kept
-   as a small table, so that a block means the same rows in every later step.
-2. Each block sends, to the owner of each hash range, its sorted distinct fingerprints as one
-   Golomb code of the gaps (parameter a power of two near 0.69 times the mean gap).
-3. Each owner decodes what all blocks sent and returns one bitmap per block: bit i is set if
-   the i-th fingerprint that this block sent came from another block too.
-4. Rows under a set bit, or whose fingerprint repeats in their own block, are suspects. Only
-   their texts are shuffled, and grouped by the text itself: that is the byte verification.
-   Partial aggregation sends one row per text and task, however many copies there are.
+1. Each task hashes its normalised texts. Fingerprints and digests are kept as a small table.
+2. Each task over that table sends, to the owner of each hash range, its sorted distinct
+   fingerprints as one Golomb code of the gaps (parameter a power of two near 0.69 times the mean
+   gap), with a bitmap of those that it has twice itself. Messages are coded where the hashes are,
+   so only codes are shuffled.
+3. Each owner decodes what all tasks sent and returns one bitmap per message: bit i is set if the
+   i-th fingerprint of the message is in another one too.
+4. Fingerprints under a set bit are suspects. Texts with a suspect's fingerprint are grouped by the
+   text itself: that is the byte verification. Partial aggregation sends one row per text and
+   task, however many copies there are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import SPACE, keep, text_of
+from tessella.llm.shared import SPACE, keep, release, table, text_of
 
-FINGERPRINTS_PER_OWNER = 1_000_000
+FINGERPRINTS_PER_OWNER = PER_MESSAGE = 1_000_000
+RUN = 64
 
 
 def normalised(text: str | Column) -> Column:
@@ -30,10 +35,11 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(text_of(text), f"[{SPACE}]+", " ")
 
 
-def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
-    """Sorted distinct unsigned 64-bit values as (parameter exponent, coded gaps)."""
+def golomb_encode(values: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Sorted distinct unsigned 64-bit values as parameter exponent, coded gaps, and the first bit
+    of every ``RUN``-th code, from where runs are decoded side by side."""
     if not len(values):
-        return 0, b""
+        return 0, b"", b""
     gaps = np.diff(values, prepend=np.uint64(0))
     mean = max(1.0, float(values[-1]) / len(values))
     b = max(0, min(63, round(math.log2(max(1.0, 0.69 * mean)))))
@@ -45,27 +51,27 @@ def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
     bits[ones] = 1
     for k in range(b):
         bits[ends - 1 - k] = ((gaps >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)
-    return b, np.packbits(bits).tobytes()
+    return b, np.packbits(bits).tobytes(), starts[::RUN].tobytes()
 
 
-def golomb_decode(n: int, b: int, code: bytes) -> np.ndarray:
+def golomb_decode(n: int, b: int, code: bytes, runs: bytes) -> np.ndarray:
     """The ``n`` values of ``golomb_encode``."""
     if not n:
         return np.zeros(0, np.uint64)
     bits = np.unpackbits(np.frombuffer(code, np.uint8))
     at = np.where(bits == 0, np.arange(len(bits)), len(bits))
-    next_zero = np.minimum.accumulate(at[::-1])[::-1].tolist()
-    stops, pos = [], 0
-    for _ in range(n):
+    next_zero = np.minimum.accumulate(at[::-1])[::-1]
+    pos = np.frombuffer(runs, np.int64)
+    gaps = np.zeros((RUN, len(pos)), np.uint64)
+    for i in range(RUN):
+        pos = pos[: (n - i + RUN - 1) // RUN]  # the last run may be shorter
         stop = next_zero[pos]
-        stops.append(stop)
+        gap = (stop - pos).astype(np.uint64) << np.uint64(b)
+        for k in range(b):
+            gap |= bits[stop + b - k].astype(np.uint64) << np.uint64(k)
+        gaps[i, : len(pos)] = gap
         pos = stop + 1 + b
-    stops = np.array(stops, np.int64)
-    quotient = stops - np.concatenate(([0], stops[:-1] + 1 + b))
-    gaps = quotient.astype(np.uint64) << np.uint64(b)
-    for k in range(b):
-        gaps |= bits[stops + b - k].astype(np.uint64) << np.uint64(k)
-    return np.cumsum(gaps, dtype=np.uint64)
+    return np.cumsum(gaps.T.ravel()[:n], dtype=np.uint64)
 
 
 def owner_of(values: np.ndarray, owners: int) -> np.ndarray:
@@ -77,35 +83,53 @@ def range_start(owner: int, owners: int) -> int:
     return -(-(owner << 32) // owners) << 32
 
 
+_MESSAGE = "message long, owner long, n long, b int, code binary, runs binary, twice binary"
+
+
 def _send(owners: int):
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(rows["h"].to_numpy(np.int64).view(np.uint64))
+    """Messages of all rows of a task, ``PER_MESSAGE`` rows at a time."""
+
+    def message(number: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(parts).view(np.uint64), return_counts=True)
         owner = owner_of(values, owners)
         edges = np.flatnonzero(np.diff(owner, prepend=-1))
-        out = []
+        rows = []
         for lo, hi in zip(edges, [*edges[1:], len(values)]):
-            base = np.uint64(range_start(int(owner[lo]), owners))
-            b, code = golomb_encode(values[lo:hi] - base)
-            out.append((int(rows["block"].iloc[0]), int(owner[lo]), int(hi - lo), b, code))
-        return pd.DataFrame(out, columns=["block", "owner", "n", "b", "code"])
+            b, code, runs = golomb_encode(values[lo:hi] - np.uint64(range_start(int(owner[lo]), owners)))
+            rows.append((TaskContext.get().partitionId() << 32 | number, int(owner[lo]), int(hi - lo), b, code, runs, np.packbits(counts[lo:hi] > 1).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=[c.split()[0] for c in _MESSAGE.split(", ")])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, number = [], 0, 0
+        for batch in batches:
+            parts.append(batch["h"].to_numpy())
+            size += batch.num_rows
+            if size >= PER_MESSAGE:
+                yield message(number, parts)
+                parts, size, number = [], 0, number + 1
+        if size:
+            yield message(number, parts)
 
     return send
 
 
 def _answer(messages: pd.DataFrame) -> pd.DataFrame:
-    values = [golomb_decode(n, b, c) for n, b, c in zip(messages["n"], messages["b"], messages["code"])]
+    values = [golomb_decode(*m) for m in zip(messages["n"], messages["b"], messages["code"], messages["runs"])]
     _, inverse, counts = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     flags = np.split(counts[inverse] > 1, np.cumsum([len(v) for v in values])[:-1])
-    return pd.DataFrame({"block": messages["block"], "owner": messages["owner"], "n": messages["n"], "bitmap": [np.packbits(f).tobytes() for f in flags]})
+    return pd.DataFrame({"message": messages["message"], "owner": messages["owner"], "bitmap": [np.packbits(f).tobytes() for f in flags]})
 
 
-def _suspects(rows: pd.DataFrame, bitmaps: pd.DataFrame) -> pd.DataFrame:
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-    bitmaps = bitmaps.sort_values("owner")
-    flags = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:n] for n, m in zip(bitmaps["n"], bitmaps["bitmap"])]).astype(bool)
-    hit = (flags | (counts > 1))[inverse]
-    return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64")[hit]})
+def _suspects(owners: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for owner, n, b, code, runs, twice, bitmap in zip(*(batch[c] for c in ("owner", "n", "b", "code", "runs", "twice", "bitmap"))):
+                hit = np.unpackbits(np.frombuffer(twice, np.uint8) | np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
+                if hit.any():
+                    values = golomb_decode(n, b, code, runs)[hit] + np.uint64(range_start(owner, owners))
+                    yield pd.DataFrame({"suspect": values.view(np.int64)})
+
+    return run
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints_per_owner: int = FINGERPRINTS_PER_OWNER) -> DataFrame:
@@ -117,26 +141,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows that share doc_id and text one stays. Other columns of ``docs`` are ignored; an empty
     table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"))
-    prints = keep(own.select("doc_id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"), F.spark_partition_id().alias("block")), "fingerprints")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    prints = keep(own.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")), "fingerprints")
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owners = max(shuffles, math.ceil(prints.count() / fingerprints_per_owner))
 
-    small = prints.select("block", "h")
-    messages = small.groupBy("block").applyInPandas(_send(owners), "block long, owner long, n long, b int, code binary")
-    bitmaps = messages.groupBy("owner").applyInPandas(_answer, "block long, owner long, n long, bitmap binary")
-    suspects = (
-        prints.select("block", "h", "doc_id").groupBy("block")
-        .cogroup(bitmaps.withColumn("block", F.col("block").cast("int")).groupBy("block"))
-        .applyInPandas(_suspects, "doc_id long").distinct().withColumnRenamed("doc_id", "suspect_id")
-    )
+    messages = keep(prints.select("h").mapInArrow(_send(owners), _MESSAGE), "messages")
+    bitmaps = messages.groupBy("owner").applyInPandas(_answer, "message long, owner long, bitmap binary")
+    suspects = keep(messages.join(bitmaps, ["message", "owner"]).mapInPandas(_suspects(owners), "suspect long").distinct(), "suspects")
+    release(messages)
 
-    texts = own.join(suspects, own["doc_id"].eqNullSafe(suspects["suspect_id"]), "left_semi")
+    texts = own.join(suspects, F.col("h") == F.col("suspect"), "left_semi")
     groups = (
         texts.groupBy("norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1").select(F.sha2("norm", 256).alias("group_sha256"), "keep_id", "group_size")
     )
-    again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("block"))
+    again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("h"))
     return (
         prints.withColumn("copy", again)
         .join(groups, F.col("text_sha256") == F.col("group_sha256"), "left")
@@ -158,8 +178,6 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
-    from tessella.llm.shared import table
-
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import table
+from tessella.llm.shared import arrow_map, table
 
 #: Fixed values of the format: element ids.
 EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
@@ -107,6 +107,13 @@ def laced(data, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
 
 def parse(data: bytes) -> Parsed:
     """All packets and cues of a file. Raises ValueError if an element is cut short."""
+    try:
+        return _parsed(data)
+    except IndexError as end:
+        raise ValueError("the file ends inside an element") from end
+
+
+def _parsed(data: bytes) -> Parsed:
     out, scale, segment_at, cluster_time, track, cue = Parsed(), 1_000_000, 0, 0, 0, [0, 0]
 
     def walk(at: int, end: int, inside: int) -> int:
@@ -211,29 +218,26 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     """One row per packet of a column of Matroska files: doc_id, packet, track, timestamp_ns,
     first_byte, n_bytes, keyframe, lacing. Null and empty files have no packets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, data in zip(batch["doc_id"].astype("Int64"), batch["media"]):
-                packets = parse(bytes(data)).packets if data is not None else []
-                out = pd.DataFrame(packets, columns=["track", "timestamp_ns", "first_byte", "n_bytes", "keyframe", "lacing"])
-                out.insert(0, "packet", range(len(out)))
-                out.insert(0, "doc_id", pd.array([doc_id] * len(out), "Int64"))
-                yield out
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for doc_id, data in zip(batch["doc_id"].to_pylist(), batch["media"]):
+            packets = parse(data.as_py()).packets if data.is_valid else []
+            if packets:
+                track, timestamp, first, n, key, lacing = zip(*packets)
+                yield {"doc_id": [doc_id] * len(packets), "packet": range(len(packets)), "track": track, "timestamp_ns": timestamp, "first_byte": first, "n_bytes": n, "keyframe": key, "lacing": lacing}
 
     own = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return own.mapInPandas(run, "doc_id long, packet long, track long, timestamp_ns long, first_byte long, n_bytes long, keyframe boolean, lacing int")
+    return arrow_map(own, run, "doc_id long, packet long, track long, timestamp_ns long, first_byte long, n_bytes long, keyframe boolean, lacing int")
 
 
 def mux_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media (binary): each text as a file; null text is empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pairs = [text_payload(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in pairs], "media": [mux(p) for _, p in pairs]})
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        pairs = [text_payload(t) for t in batch["text"].to_pylist()]
+        yield {"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in pairs], "media": [mux(p) for _, p in pairs]}
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return arrow_map(own, run, "doc_id long, n_bytes long, media binary")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
@@ -241,23 +245,22 @@ def media_digest(media: DataFrame) -> DataFrame:
     payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256,
     feature. Null media gives nulls; repeated rows repeat; no rows give none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for data in batch["media"]:
-                if data is None:
-                    rows.append((None,) * 6)
-                    continue
-                data = bytes(data)
-                parsed = parse(data)
-                payload = b"".join(data[first : first + n] for _, _, first, n, _, _ in parsed.packets)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(parsed, payload)))
-            out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
-            out.insert(0, "n_bytes", batch["n_bytes"].astype("Int64").array)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
-
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        rows = []
+        for value in batch["media"]:
+            if not value.is_valid:
+                rows.append((None,) * 6)
+                continue
+            data = value.as_py()
+            parsed = parse(data)
+            payload = b"".join(data[first : first + n] for _, _, first, n, _, _ in parsed.packets)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature(parsed, payload)))
+        if rows:
+            yield {"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], **dict(zip(names, map(list, zip(*rows))))}
+
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import keep, table, text_of
+from tessella.llm.shared import arrow_map, keep, table, text_of
 
 ARCHIVE_BYTES = 16 << 20
 REVISIT_BYTES = 1000
@@ -97,37 +97,32 @@ def _parsed(chunks: Iterable[bytes]) -> Iterator[tuple]:
         yield number(fields.get("page-id")), kind, fields.get("warc-target-uri"), number(fields.get("refers-to-page-id")), size, base64.b32decode(digest[5:]).hex(), payload if kind == "response" else None, valid
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batch: pa.RecordBatch) -> Iterator[dict]:
     columns = [c.split()[0] for c in RECORD.split(", ")]
-    for batch in batches:
-        for data in batch["data"]:
-            rows, size = [], 0
-            for row in _parsed(data[i : i + 65536] for i in range(0, len(data), 65536)):
-                rows.append(row)
-                size += len(row[6] or b"")
-                if size > ARCHIVE_BYTES:
-                    yield _frame(rows, columns)
-                    rows, size = [], 0
-            if rows:
-                yield _frame(rows, columns)
-
-
-def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
-
-
-def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for data in batch["data"].to_pylist():
+        rows, size = [], 0
+        for row in _parsed(data[i : i + 65536] for i in range(0, len(data), 65536)):
+            rows.append(row)
+            size += len(row[6] or b"")
+            if size > ARCHIVE_BYTES:
+                yield dict(zip(columns, map(list, zip(*rows))))
+                rows, size = [], 0
+        if rows:
+            yield dict(zip(columns, map(list, zip(*rows))))
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, size = [_info()], 0
+    archive = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["data"])
     for batch in batches:
-        for page_id, url, payload, refers_to in zip(batch["page_id"].astype("Int64"), batch["url"], batch["payload"], batch["refers_to"].astype("Int64")):
-            page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
-            parts.append(record(page_id, url, bytes(payload), refers_to))
+        for page_id, url, payload, refers_to in zip(*(batch[c] for c in ("page_id", "url", "payload", "refers_to"))):
+            parts.append(record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py()))
             size += len(parts[-1])
             if size >= ARCHIVE_BYTES:
-                yield pd.DataFrame({"data": [b"".join(parts)]})
+                yield archive()
                 parts, size = [_info()], 0
     if len(parts) > 1:
-        yield pd.DataFrame({"data": [b"".join(parts)]})
+        yield archive()
 
 
 def _info() -> bytes:
@@ -144,13 +139,14 @@ def write_warc(pages: DataFrame) -> DataFrame:
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text_of("html"), "UTF-8").alias("payload")).withColumn("same", F.sha2("payload", 256))
     latest = own.filter(F.length("payload") >= REVISIT_BYTES).groupBy("same").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("same").alias("latest_same"), "latest")
+    latest = keep(latest, "latest")  # a table, so that Spark can split the join at a payload with many copies
     revisits = own.join(latest, F.col("same") == F.col("latest_same"), "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")))
-    return revisits.select("page_id", "url", "payload", "refers_to").mapInPandas(_write, "data binary")
+    return revisits.select("page_id", "url", "payload", "refers_to").mapInArrow(_write, "data binary")
 
 
 def read_warc(archives: DataFrame, data_col: str = "data") -> DataFrame:
     """Response and revisit records of archives held as rows; see ``RECORD`` for the columns."""
-    return archives.select(F.col(data_col).alias("data")).mapInPandas(_read, RECORD)
+    return arrow_map(archives.select(F.col(data_col).alias("data")), _read, RECORD)
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
