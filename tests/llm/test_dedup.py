@@ -234,7 +234,24 @@ def test_fuzzy_lines_of_a_large_bucket_are_all_compared(documents, monkeypatch):
     assert got == {d: int(d < 60) for d in range(100)}
 
 
+def test_recall_of_links_under_a_shared_header(documents):
+    """Pairs of a similarity just over 3/4 whose lines all begin alike."""
+    rng, header = np.random.default_rng(8), passage(np.random.default_rng(1), 8)[:40]
+    texts = []
+    for _ in range(150):
+        line = header + passage(rng, 40)
+        at = int(rng.integers(60, len(line) - 30))
+        texts += [line, line[:at] + passage(rng, 6)[: len(line) // 9] + line[at:]]
+    sets = [{t.encode()[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    similar = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    linked = [k for k in range(150) if similar(sets[2 * k], sets[2 * k + 1])]
+    assert len(linked) > 100 and not any(similar(sets[2 * i], sets[2 * j]) for i, j in itertools.combinations(range(150), 2))
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(documents(texts)).collect()}
+    assert sum(got[2 * k + 1] == 0 for k in linked) >= 0.95 * len(linked)
+    assert all(got[2 * k + 1] == 1 for k in range(150) if k not in linked)
+
+
 def test_lines_run_without_python(documents):
-    plan = line_dedup.line_bands(documents(["a"]).selectExpr("doc_id AS line_id", "text AS key"))._jdf.queryExecution().toString()
+    plan = line_dedup.line_bands(line_dedup.signatures(documents(["a"]).selectExpr("doc_id AS line_id", "text AS key")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert line_dedup.line_dedup(documents([])).count() == 0
