@@ -9,28 +9,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average rank over count of the rows with a value; null without value.
+VALUES_PER_PART = 500_000
+
+
+def running_sums(counts: DataFrame, value: str, n: str) -> DataFrame:
+    """Adds __before (the sum of ``n`` over smaller values) and __all to rows of distinct values.
+    Ranges of values are summed first, as many as the values need, so that no task has them all."""
+    parts = max(1, min(10_000, -(-counts.count() // VALUES_PER_PART)))
+    edges = sorted({float(q) for q in counts.approxQuantile(value, [i / parts for i in range(1, parts)], 0.5 / parts)}) if parts > 1 else []
+    cut = F.array(*[F.lit(e) for e in edges]) if edges else None
+    placed = counts.withColumn("__part", F.expr("0") if cut is None else F.size(F.filter(cut, lambda e: e < F.col(value))))
+    sums = placed.groupBy("__part").agg(F.sum(n).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    sums = sums.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__first"), F.sum("__size").over(Window.partitionBy()).alias("__all"))
+    inside = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.join(F.broadcast(sums), F.col("__part") == F.col("__p"))
+    return rows.withColumn("__before", F.col("__first") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__part", "__p", "__first")
+
 
-    Ranks come from the distinct values' counts: ranges of values are summed first, so that rows
-    themselves are never sorted in one task.
-    """
+def with_percentile_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Average rank over count of the rows with a value; null without value. Ranks come from the
+    distinct values' counts, rows themselves are never sorted."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    edges = [float(q) for q in (counts.approxQuantile("__v", [i / 64 for i in range(1, 64)], 0.01) if counts.head(1) else [])]
-    part = sum([(F.col("__v") > e).cast("int") for e in sorted(set(edges))], F.lit(0))
-    counts = counts.withColumn("__part", part)
-    sums = counts.groupBy("__part").agg(F.sum("__n").alias("__size"))
-    ordered = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows
-    sums = sums.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__size").over(ordered), F.lit(0)).alias("__before"), F.sum("__size").over(Window.partitionBy()).alias("__all"))
-    inside = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.join(F.broadcast(sums), F.col("__part") == F.col("__p")).select(
-        "__v", ((F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name)
-    )
+    ranks = running_sums(counts, "__v", "__n").select("__v", ((F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")).alias(name))
     return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
+def quantiles(df: DataFrame, column: str, probabilities: Iterable[float], name: str = "q") -> DataFrame:
+    """One row with the exact interpolated quantiles of all rows' values as an array ``name``, null
+    without values. By running sums over the distinct values' counts: no task gathers them."""
+    probabilities = list(probabilities)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = running_sums(counts, "__v", "__n")
+    place = lambda p: F.lit(float(p)) * (F.col("__all") - 1)
+    wanted = F.array_distinct(F.array(*[f(place(p)) for p in probabilities for f in (F.floor, F.ceil)]))
+    picked = ranks.select("__v", "__all", F.explode(F.filter(wanted, lambda i: (i >= F.col("__before")) & (i < F.col("__before") + F.col("__n")))).alias("__i"))
+    table = picked.agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("at"), F.max("__all").alias("__all"))  # two entries a probability
+    low, high = lambda p: F.element_at("at", F.floor(place(p))), lambda p: F.element_at("at", F.ceil(place(p)))
+    values = [low(p) + (high(p) - low(p)) * (place(p) - F.floor(place(p))) for p in probabilities]
+    return table.select(F.when(F.col("__all").isNotNull(), F.array(*values)).alias(name))
+
+
 def quantile_edges(df: DataFrame, column: str, bins: int, keys: Iterable[str] = ()) -> DataFrame:
     """One row (per key) with the distinct edges of equally filled bins, as an array."""
+    if not keys:
+        return quantiles(df, column, [i / bins for i in range(bins + 1)]).select(F.array_sort(F.array_distinct(F.coalesce("q", F.array().cast("array<double>")))).alias(f"{column}_edges"))
     edges = F.percentile(F.col(column), [i / bins for i in range(bins + 1)])
     return df.groupBy(*keys).agg(F.array_sort(F.array_distinct(edges)).alias(f"{column}_edges"))
 
@@ -53,7 +76,9 @@ def robust_stats(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     are 1."""
     columns = list(columns)
     floor = lambda x: F.when(x < 1e-12, F.lit(1.0)).otherwise(x)
-    one = df.agg(*[a for c in columns for a in (F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
+    one = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))])
+    for c in columns:
+        one = one.crossJoin(quantiles(df, c, [0.25, 0.5, 0.75], f"{c}__q"))  # one row each
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__q")[1].alias("median"), floor(F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0]).alias("iqr"), F.col(f"{c}__m").alias("mean"), floor(F.col(f"{c}__s")).alias("std")) for c in columns]))
     return one.select(rows.alias("r")).select("r.*")
 
@@ -61,7 +86,10 @@ def robust_stats(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def robust_normalized(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Columns as (x - median) / iqr of all rows."""
     columns = list(columns)
-    q = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q") for c in columns])
+    q = None
+    for c in columns:
+        own = quantiles(df, c, [0.25, 0.5, 0.75], f"{c}__q")
+        q = own if q is None else q.crossJoin(own)  # one row each
     scaled = {c: (F.col(c) - F.col(f"{c}__q")[1]) / F.when(F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0] < 1e-12, F.lit(1.0)).otherwise(F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0]) for c in columns}
     return df.crossJoin(F.broadcast(q)).withColumns(scaled).drop(*[f"{c}__q" for c in columns])  # one row
 
@@ -97,5 +125,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: Iterabl
 
 
 def residual_report(df: DataFrame, residual: str) -> DataFrame:
-    q = F.percentile(residual, [0.25, 0.5, 0.75])
-    return df.agg(F.avg(residual).alias("mean"), q[1].alias("median"), F.stddev_pop(residual).alias("std"), (q[2] - q[0]).alias("iqr"), F.avg(F.abs(residual)).alias("mean_abs"), F.percentile(F.abs(residual), 0.9).alias("p90_abs"))
+    """One row: mean, median, std (of the population), iqr, mean_abs and p90_abs."""
+    one = df.agg(F.avg(residual).alias("mean"), F.stddev_pop(residual).alias("std"), F.avg(F.abs(residual)).alias("mean_abs"))
+    one = one.crossJoin(quantiles(df, residual, [0.25, 0.5, 0.75])).crossJoin(quantiles(df.select(F.abs(residual).alias("__abs")), "__abs", [0.9], "far"))  # one row each
+    return one.select("mean", F.col("q")[1].alias("median"), "std", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "mean_abs", F.col("far")[0].alias("p90_abs"))

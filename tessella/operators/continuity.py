@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessella.config import Continuity
 
@@ -28,38 +30,42 @@ def apply_continuity(df: DataFrame, time: str, columns: Sequence[str], config: C
     values pass. Otherwise a value that is further than its limit from the last final value moves
     by the limit only. The recurrence is on final values, so it is a fold over time.
 
-    A series is cut at its gaps first: nothing passes a gap, so its pieces run in parallel, and
-    a piece is bounded by the longest stretch without a gap. Rows that share a time keep the
-    order of their values.
+    A series is cut at its gaps first: nothing passes a gap, so its pieces run in parallel. A
+    piece is a stream of sorted rows in one task, of which only the last final values are kept.
+    Rows that share a time keep the order of their values.
     """
     valid = F.coalesce(*columns).isNotNull()
+    others = [c for c in df.columns if c not in (time, *columns, *keys)]
     marked = with_gap_reset(df, time, valid, config.max_gap_minutes, keys)
     if not config.reset_on_time_gap:
         marked = marked.withColumn("reset", F.lit(False))
     ordered = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("stretch", F.sum((F.col("reset") & valid).cast("int")).over(ordered))
-    item = F.struct(time, "reset", *columns, *[c for c in df.columns if c not in (time, *columns, *keys)])
-    series = marked.groupBy(*keys, "stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    marked = marked.select(*keys, "stretch", time, "reset", *[F.col(c).cast("double").alias(c) for c in columns], *others)
+    sorted_ = marked.repartition(*keys, "stretch").sortWithinPartitions(*keys, "stretch", time, *columns)
+    limits = [config.rate_limits.get(c) if config.enable_rate_limit else None for c in columns]
+    names = [f"final_{c}" for c in columns]
 
-    final = lambda c, acc, x: F.when(
-        F.lit(config.enable_rate_limit and c in config.rate_limits) & acc["seen"] & ~x["reset"] & x[c].isNotNull() & acc[c].isNotNull() & (F.abs(x[c] - acc[c]) > float(config.rate_limits.get(c, 0.0))),
-        acc[c] + F.signum(x[c] - acc[c]) * float(config.rate_limits.get(c, 0.0)),
-    ).otherwise(x[c])
-    zero = F.struct(F.lit(False).alias("seen"), *[F.lit(None).cast("double").alias(c) for c in columns])
-    kinds = {f.name: f.dataType.simpleString() for f in marked.schema.fields}
-    done = "array<struct<" + ",".join([f"{f}:{kinds[f]}" for f in [time, "reset", *columns, *[c for c in df.columns if c not in (time, *columns, *keys)]]] + [f"final_{c}:double" for c in columns] + ["continuity_status:string", "limited_count:int"]) + ">>"
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, last = None, None
+        for batch in batches:
+            final, status, limited = [], [], []
+            for here, reset, values in zip(zip(*(batch[c].to_pylist() for c in [*keys, "stretch"])), batch["reset"].to_pylist(), zip(*(batch[c].to_pylist() for c in columns))):
+                if here != piece:
+                    piece, last = here, None
+                now, changed = list(values), 0
+                if last is not None and not reset:
+                    for i, (v, p, limit) in enumerate(zip(values, last, limits)):
+                        if limit is not None and v is not None and p is not None and abs(v - p) > limit:
+                            now[i], changed = p + (limit if v > p else -limit), changed + 1
+                has = any(v is not None for v in values)
+                status.append(NO_CENTER if not has else RESET if reset else FIRST if last is None else LIMITED if changed else UNCHANGED)
+                last = now if has else last
+                final.append(now)
+                limited.append(changed)
+            kept = batch.drop_columns(["stretch"])
+            added = [pa.array(c, pa.float64()) for c in zip(*final)] if final else [pa.array([], pa.float64())] * len(columns)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added, pa.array(status, pa.string()), pa.array(limited, pa.int32())], names=[*kept.schema.names, *names, "continuity_status", "limited_count"])
 
-    def step(acc, x):
-        values = [final(c, acc["state"], x) for c in columns]
-        has = F.coalesce(*[x[c] for c in columns]).isNotNull()
-        changed = sum([(F.coalesce(v != x[c], F.lit(False))).cast("int") for v, c in zip(values, columns)], F.lit(0))
-        status = F.when(~has, NO_CENTER).when(x["reset"], RESET).when(~acc["state"]["seen"], FIRST).when(changed > 0, LIMITED).otherwise(UNCHANGED)
-        others = [x[c].alias(c) for c in [time, "reset", *columns, *[c for c in df.columns if c not in (time, *columns, *keys)]]]
-        row = F.struct(*others, *[v.alias(f"final_{c}") for v, c in zip(values, columns)], status.alias("continuity_status"), changed.alias("limited_count"))
-        state = F.when(has, F.struct(F.lit(True).alias("seen"), *[v.alias(c) for v, c in zip(values, columns)])).otherwise(acc["state"])
-        return F.struct(state.alias("state"), F.concat(acc["done"], F.array(row)).alias("done"))
-
-    start = F.struct(zero.alias("state"), F.expr(f"cast(array() as {done})").alias("done"))
-    # the previous stretch only matters to whether a row is the first of its series
-    folded = series.withColumn("row", F.explode(F.aggregate("items", start, step)["done"]))
-    return folded.select(*keys, "row.*")
+    schema = StructType([*marked.drop("stretch").schema.fields, *[StructField(n, DoubleType()) for n in names], StructField("continuity_status", StringType()), StructField("limited_count", IntegerType())])
+    return sorted_.mapInArrow(fold, schema)

@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.config import Gate, Matching
+from tessella.functions.columns import zero_filled
 from tessella.functions.similarity import cauchy, squared_distance
+from tessella.functions.stats import running_sums
 
 #: Status texts of results.
 MATCHED, NEAREST_LOAD, NO_GATE_HIT, LOW_SIMILARITY = "matched", "nearest_load", "no_gate_hit", "low_similarity_fallback"
 
+#: Of samples, one in so many is looked at first; groups that samples are dealt to.
+LOOK, DEAL = 32, 8
+
 
 def gate_condition(query_load: Column, load: Column, gate: Gate) -> Column:
     """Whether a sample's load is near enough; relative deviations are of the sample's load."""
@@ -38,14 +43,16 @@ def _zones(load: Column, gate: Gate) -> tuple[Column, Column]:
     return F.when(F.abs(load) <= 2e-9, 0).otherwise(F.signum(load).cast("int")), F.floor(F.log(size) / width)
 
 
-def gate_join(queries: DataFrame, store: DataFrame, gate: Gate, query_load: str = "q_load", load: str = "load") -> DataFrame:
+def gate_join(queries: DataFrame, store: DataFrame, gate: Gate, query_load: str = "q_load", load: str = "load", extra: tuple[str, str] | None = None) -> DataFrame:
     """All pairs that pass the load gate, by an equi-join on load buckets: each query goes to its
-    own bucket and the two next to it. Null and NaN loads pass nothing. A gate that is off, or a
-    relative one of 1 or more, has no buckets: then the store must be small enough to broadcast,
-    which Spark decides by its size."""
+    own bucket and the two next to it. Null and NaN loads pass nothing. ``extra`` names a column
+    of each side that must be equal too. A gate that is off, or a relative one of 1 or more, has
+    no buckets: a stated set of queries then meets all rows, by ``extra`` where there is one."""
     queries = queries.filter(F.col(query_load).isNotNull() & ~F.isnan(query_load))
     store = store.filter(F.col(load).isNotNull() & ~F.isnan(load))
     condition = gate_condition(F.col(query_load), F.col(load), gate)
+    if extra:
+        condition &= F.col(extra[0]) == F.col(extra[1])
     if not gate.enable or (gate.mode == "relative" and gate.rel_threshold >= 0.999999):
         return queries.join(store, condition)
     q_side, q_bucket = _zones(F.col(query_load), gate)
@@ -61,36 +68,82 @@ def gate_join(queries: DataFrame, store: DataFrame, gate: Gate, query_load: str
 def scored(pairs: DataFrame, features: Sequence[str], metric: np.ndarray, matching: Matching, eff_score: str | None = "eff_score") -> DataFrame:
     """Adds s (similarity), e and d (blended) to pairs that hold ``q_<feature>`` and ``<feature>``."""
     s = cauchy(squared_distance([F.col(f"q_{c}") for c in features], [F.col(c) for c in features], metric))
+    return blended(pairs.withColumn("s", s), matching, eff_score)
+
+
+def blended(pairs: DataFrame, matching: Matching, eff_score: str | None = "eff_score") -> DataFrame:
+    """Adds e and d to pairs that hold s."""
     e = F.col(eff_score) if eff_score else F.lit(None).cast("double")
     blend = F.lit(matching.d_weight_s) * F.col("s")
     if matching.d_weight_e:
         blend = blend + F.lit(matching.d_weight_e) * F.col("e")
-    return pairs.withColumn("s", s).withColumn("e", e).withColumn("d", blend)
+    return pairs.withColumn("e", e).withColumn("d", blend)
 
 
-def top_k(pairs: DataFrame, k: int, query: str = "qid", score: str = "d", tie: str = "pos") -> DataFrame:
+def top_k(pairs: DataFrame, k: int, query: str | Sequence[str] = "qid", score: str = "d", tie: str = "pos") -> DataFrame:
     """The ``k`` best rows of each query with their rank from 1; null scores last, ties by ``tie``."""
-    order = Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), F.col(tie))
+    order = Window.partitionBy(*([query] if isinstance(query, str) else query)).orderBy(F.col(score).desc_nulls_last(), F.col(tie))
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def best_pairs(queries: DataFrame, store: DataFrame, features: Sequence[str], metric: np.ndarray | dict[str, np.ndarray], gate: Gate, matching: Matching, k: int | None = None) -> DataFrame:
+    """The ``k`` best samples inside the gate of each query, ranked: qid, q_load, ``q_<feature>``,
+    pos, load, the features, eff_score, s, e, d and rank. With a dict of metrics the queries have
+    a column preset, which names theirs.
+
+    Only these columns go through the join, and the features without value as 0. A first look at
+    one in ``LOOK`` samples gives each query a score that its k-th best reaches; of all pairs only
+    those at least as good are ranked, a few hundred a query instead of the whole gate. Samples are
+    dealt to ``DEAL`` groups, so that a load that many have isn't one task.
+    """
+    k = k or matching.top_k
+    several = isinstance(metric, dict)
+    keys, size = ["qid", "preset"] if several else ["qid"], range(len(features))
+    cells = [(i, j) for i in size for j in size if i <= j and any(m[i, j] or m[j, i] for m in (metric.values() if several else [metric]))]
+    weight = lambda m, i, j: F.lit(float(m[i, j] if i == j else m[i, j] + m[j, i]))
+    asked = queries.select(*keys, "q_load", *[zero_filled(F.col(f"q_{c}")).alias(f"q_{c}") for c in features])
+    if several:
+        for i, j in cells:
+            asked = asked.withColumn(f"__w{i}_{j}", F.coalesce(*[F.when(F.col("preset") == n, weight(m, i, j)) for n, m in metric.items()]))
+    asked = asked.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    held = store.select("pos", "load", *[zero_filled(F.col(c)).alias(f"__{c}") for c in features], "eff_score", F.pmod(F.xxhash64("pos"), F.lit(DEAL)).cast("int").alias("__of"))
+    apart = [F.col(f"q_{c}") - F.col(f"__{c}") for c in features]
+    terms = [(F.col(f"__w{i}_{j}") if several else weight(metric, i, j)) * apart[i] * apart[j] for i, j in cells]
+    s = cauchy(F.greatest(sum(terms[1:], terms[0]) if terms else F.lit(0.0), F.lit(0.0)))
+
+    def pairs(some: DataFrame, asked: DataFrame) -> DataFrame:
+        return blended(gate_join(asked, some, gate, extra=("__deal", "__of")).withColumn("s", s), matching).drop("__deal", "__of", *[f"__w{i}_{j}" for i, j in cells])
+
+    look = top_k(pairs(held.filter(F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(LOOK)) == 0), asked), k, keys)
+    bar = look.filter(F.col("d").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("__bar")).filter(F.col("n") >= k).drop("n")
+    whole = pairs(held, asked.join(bar, keys, "left"))
+    best = top_k(whole.filter(F.col("__bar").isNull() | (F.col("d") >= F.col("__bar"))).drop("__bar"), k, keys)
+    return best.withColumnsRenamed({f"__{c}": c for c in features})
+
+
 def nearest_by_load(queries: DataFrame, store: DataFrame, k: int, query_load: str = "q_load", load: str = "load", near_rows: int = 512) -> DataFrame:
     """The ``k`` samples of each query with the smallest load distance, then pos.
 
-    Samples get ranks by load, and blocks of ``near_rows`` of them get their load range. A query
-    meets the blocks around its place: the one its load falls in and those next to it hold its k
-    nearest if k is at most ``near_rows`` and no more equal loads meet at the edge.
+    Samples are counted by load. Runs of loads with about ``near_rows`` samples together are a
+    block. The blocks' loads and counts, as running sums, give each query the blocks that hold
+    its k nearest from below and from above, ties included; it meets those blocks only.
     """
-    if k > near_rows:
-        raise ValueError("k is larger than near_rows")
-    ordered = store.filter(F.col(load).isNotNull() & ~F.isnan(load))
-    n = max(1, -(-ordered.count() // near_rows))
-    edges = [float(x) for x in ordered.approxQuantile(load, [i / n for i in range(1, n)], 0.0)] if 1 < n <= 10_000 else []
-    edges = sorted(set(edges))
-    cut = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<double>")
-    place = lambda value: F.size(F.filter(cut, lambda x: x < value))
-    spread = queries.filter(F.col(query_load).isNotNull() & ~F.isnan(query_load)).withColumn("__near", F.explode(F.sequence(place(F.col(query_load)) - 1, place(F.col(query_load)) + 1)))
-    pairs = spread.join(ordered.withColumn("__block", place(F.col(load))), F.col("__near") == F.col("__block")).drop("__near", "__block")
+    held = store.filter(F.col(load).isNotNull() & ~F.isnan(load))
+    asked = queries.filter(F.col(query_load).isNotNull() & ~F.isnan(query_load))
+    loads = held.groupBy(F.col(load).alias("__load")).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running_sums(loads, "__load", "__n").withColumn("__block", F.expr(f"__before div {near_rows}"))
+    blocks = ranked.groupBy("__block").agg(F.min("__before").alias("first"), F.max(F.col("__before") + F.col("__n")).alias("end"))
+    placed = held.join(ranked.select(F.col("__load").alias("__l"), "__block"), F.col(load) == F.col("__l")).drop("__l")
+
+    # where each query's load stands among the samples: an as-of lookup, by a union sorted within ranges of loads
+    spots = asked.select(F.col(query_load).alias("__load")).distinct().withColumn("__n", F.lit(0).cast("long"))
+    spots = running_sums(spots.unionByName(loads).groupBy("__load").agg(F.sum("__n").alias("__n")), "__load", "__n").select(F.col("__load").alias("at"), F.col("__before").alias("below"), (F.col("__before") + F.col("__n")).alias("to"))
+    wide = asked.join(spots, F.col(query_load) == F.col("at")).withColumn("low", F.col("below") - k).withColumn("high", F.col("to") + k)
+    # block numbers grow with the running sums; a load with more samples than a block skips numbers
+    numbers = F.explode(F.sequence(F.expr(f"greatest(low, 0) div {near_rows}"), F.expr(f"high div {near_rows}"))).alias("__want")
+    starts = blocks.select(F.explode(F.sequence(F.expr(f"first div {near_rows}"), F.expr(f"(end - 1) div {near_rows}"))).alias("__cell"), F.col("__block").alias("__b"))
+    met = wide.select(*asked.columns, numbers).join(starts, F.col("__want") == F.col("__cell")).drop("__want", "__cell").distinct()
+    pairs = met.join(placed, F.col("__b") == F.col("__block")).drop("__b", "__block")
     order = Window.partitionBy("qid").orderBy(F.abs(F.col(query_load) - F.col(load)), "pos")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -126,8 +179,9 @@ def plan_points(queries: DataFrame, store: DataFrame, features: Sequence[str], m
     otherwise have no plan. If the mean similarity of a plan is below the threshold, the plan is
     the query's own values.
     """
-    hits = scored(gate_join(queries, store, gate), features, metric, matching)
-    ranked = top_k(hits, matching.top_k).withColumn("source", F.lit(MATCHED))
+    more = list(dict.fromkeys(c for c in ["eff", *center] if c not in ("load", "pos")))
+    ranked = best_pairs(queries, store, features, metric, gate, matching).drop(*features).join(store.select(F.col("pos").alias("__pos"), *more), F.col("pos") == F.col("__pos")).drop("__pos")
+    ranked = ranked.withColumn("source", F.lit(MATCHED))
     if matching.allow_fallback_nearest_load:
         missed = queries.join(ranked.select("qid").distinct(), "qid", "left_anti")
         near = nearest_by_load(missed, store, matching.top_k).withColumn("s", F.lit(0.0)).withColumn("e", F.col("eff_score")).withColumn("d", F.lit(matching.d_weight_e) * F.col("eff_score"))

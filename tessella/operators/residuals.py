@@ -55,7 +55,7 @@ def with_fold_residuals(df: DataFrame, inputs: Sequence[str], target: str, folds
     return df.withColumn(f"pred_{target}", prediction).withColumn(f"resid_{target}", F.col(target) - F.col(f"pred_{target}"))
 
 
-def with_tree_residuals(df: DataFrame, inputs: Sequence[str], target: str, train: Column, max_iter: int = 20, step: float = 0.05, depth: int = 4, min_leaf: int = 20, seed: int = 42) -> DataFrame:
+def with_tree_residuals(df: DataFrame, inputs: Sequence[str], target: str, train: Column, max_iter: int = 200, step: float = 0.05, depth: int = 6, min_leaf: int = 20, seed: int = 42) -> DataFrame:
     """The same by gradient-boosted trees fitted on the rows that ``train`` marks; rows with a null
     input go."""
     from pyspark.ml.feature import VectorAssembler

@@ -21,7 +21,7 @@ from tessella.operators import residuals as R
 from tessella.operators import sampling as P
 from tessella.operators import sequences as D
 from tessella.plans import report
-from tessella.sources.tables import hourly_grid, order_store, table
+from tessella.sources.tables import hourly_grid, order_store, scratch_path, settled, table
 
 FEATURES = ["f1", "f2", "f3", "f4", "f5"]
 METRIC = np.diag([2e-4, 5e-9, 800.0, 1000.0, 0.1])
@@ -69,16 +69,21 @@ def hits_sql(a: float = 1.0, b: float = 0.0, metric: np.ndarray = METRIC, gate:
 r{name} AS (SELECT *, {score} AS d, row_number() OVER (PARTITION BY qid ORDER BY {score} DESC, pos) AS rank FROM p{name} QUALIFY rank <= 5)"""
 
 
+def samples(spark: SparkSession, folder: str) -> DataFrame:
+    return settled(order_store(spark, folder), "samples")
+
+
 def points(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, store) of the orders' samples."""
-    store = S.with_percentile_rank(order_store(spark, folder), "eff", "eff_score")
-    queries = order_store(spark, folder).filter("pos % 20 = 0").select(F.col("pos").alias("qid"), F.col("load").alias("q_load"), *[F.col(c).alias(f"q_{c}") for c in FEATURES])
+    """(queries, store) of the orders' samples; the store is built once."""
+    store = settled(S.with_percentile_rank(samples(spark, folder), "eff", "eff_score"), "store")
+    queries = store.filter("pos % 20 = 0").select(F.col("pos").alias("qid"), F.col("load").alias("q_load"), *[F.col(c).alias(f"q_{c}") for c in FEATURES])
     return queries, store
 
 
-def ranked(spark: SparkSession, folder: str, matching: Matching = Matching(), metric: np.ndarray = METRIC) -> DataFrame:
+def ranked(spark: SparkSession, folder: str, matching: Matching = Matching(), metric: np.ndarray = METRIC, more: tuple[str, ...] = ()) -> DataFrame:
     queries, store = points(spark, folder)
-    return M.top_k(M.scored(M.gate_join(queries, store, GATE), FEATURES, metric, matching), matching.top_k)
+    best = M.best_pairs(queries, store, FEATURES, metric, GATE, matching)
+    return best.join(store.select("pos", *more), "pos") if more else best
 
 
 # --- scans, projections, filters -----------------------------------------------------------------
@@ -133,7 +138,7 @@ def load_gate_relative(spark, folder):
 
 @query(f"WITH {V}, {E} SELECT pos, round(eff_score, 9) AS eff_score FROM e")
 def pct_rank_eff(spark, folder):
-    return rounded(S.with_percentile_rank(order_store(spark, folder), "eff", "eff_score").select("pos", "eff_score"), 9)
+    return rounded(S.with_percentile_rank(samples(spark, folder), "eff", "eff_score").select("pos", "eff_score"), 9)
 
 
 EDGES = "list_sort(list_distinct(quantile_cont({c}, [i / {n}::DOUBLE for i in range(0, {n} + 1)])))"
@@ -204,8 +209,7 @@ SELECT qid, pos, round(s, 6) AS s, CAST(row_number() OVER (PARTITION BY qid ORDE
 def mahalanobis_2d_full(spark, folder):
     queries, store = points(spark, folder)
     metric = S.weighted_inverse(S.covariance(store, FEATURES[:2]), [0.6, 0.4])
-    hits = M.scored(M.gate_join(queries, store, GATE), FEATURES[:2], metric, Matching())
-    return rounded(M.top_k(hits, 3).select("qid", "pos", "s", "rank"))
+    return rounded(M.best_pairs(queries, store, FEATURES[:2], metric, GATE, Matching(), 3).select("qid", "pos", "s", "rank"))
 
 
 def center_sql(f1: str, f2: str) -> str:
@@ -214,8 +218,9 @@ def center_sql(f1: str, f2: str) -> str:
 
 def centers(spark, folder, **how) -> DataFrame:
     matching = Matching(d_weight_s=0.8, d_weight_e=0.2, **how)
-    rows = M.plan_center(ranked(spark, folder, matching).withColumn("source", F.lit(M.MATCHED)), ["f1", "f2"], matching)
-    return rounded(rounded(rows.select("qid", "topk_count", "s_topk_mean", "d_topk_mean", "eff_topk_mean"), 6).join(rounded(rows.select("qid", "raw_plan_f1", "raw_plan_f2"), 4), "qid"), 6)
+    rows = M.plan_center(ranked(spark, folder, matching, more=("eff",)).withColumn("source", F.lit(M.MATCHED)), ["f1", "f2"], matching)
+    digits = {"s_topk_mean": 6, "d_topk_mean": 6, "eff_topk_mean": 6, "raw_plan_f1": 4, "raw_plan_f2": 4}
+    return rows.select("qid", "topk_count", *[F.round(c, n).alias(c) for c, n in digits.items()])
 
 
 @query(center_sql("max(CASE WHEN rank = 1 THEN f1 END)", "max(CASE WHEN rank = 1 THEN f2 END)"))
@@ -278,14 +283,11 @@ def weighted(w: list[float]) -> np.ndarray:
 
 @query(f"WITH {V}, {E}, " + ", ".join(hits_sql(metric=weighted(w), name=f"_{n}") for n, w in PRESETS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS preset, qid, round(avg(s), 6) AS s_topk_mean, min(pos) AS least_pos FROM r_{n} GROUP BY qid" for n in PRESETS))
 def preset_sweep(spark, folder):
-    """Three weightings of the same metric: the pairs are joined once, each preset ranks them."""
+    """Three weightings of the same metric in one plan: each query is asked once per preset."""
     queries, store = points(spark, folder)
-    pairs = M.gate_join(queries, store, GATE)
-    out = None
-    for name, w in PRESETS.items():
-        best = M.top_k(M.scored(pairs, FEATURES, weighted(w), Matching()), 5).groupBy("qid").agg(F.round(F.avg("s"), 6).alias("s_topk_mean"), F.min("pos").alias("least_pos")).withColumn("preset", F.lit(name))
-        out = best if out is None else out.unionByName(best)
-    return out
+    asked = queries.withColumn("preset", F.explode(F.array(*[F.lit(n) for n in PRESETS])))
+    best = M.best_pairs(asked, store, FEATURES, {n: weighted(w) for n, w in PRESETS.items()}, GATE, Matching(), 5)
+    return best.groupBy("preset", "qid").agg(F.round(F.avg("s"), 6).alias("s_topk_mean"), F.min("pos").alias("least_pos"))
 
 
 @query(f"""WITH {V}, {E}, {hits_sql()}, a AS (SELECT qid, CASE WHEN avg(s) < 0.75 THEN 'matched;low_similarity_fallback' ELSE 'matched' END AS match_status FROM r GROUP BY qid)
@@ -315,7 +317,7 @@ REGR = "regr_intercept({t}, f1) + regr_slope({t}, f1) * f1"
 
 @query(f"WITH {V}, m AS (SELECT regr_intercept(f2, f1) AS a, regr_slope(f2, f1) AS b FROM v) SELECT pos, round(a + b * f1, 4) AS pred_f2, round(f2 - a - b * f1, 4) AS resid_f2 FROM v, m")
 def residual_ols(spark, folder):
-    return rounded(R.with_residuals(order_store(spark, folder), ["f1"], ["f2"]).select("pos", "pred_f2", "resid_f2"), 4)
+    return rounded(R.with_residuals(samples(spark, folder), ["f1"], ["f2"]).select("pos", "pred_f2", "resid_f2"), 4)
 
 
 STRATA = f"""{V}, g AS (SELECT {edges_sql('load', 4)} AS g1, {edges_sql('f5', 3)} AS g2 FROM v), s AS (SELECT v.*, CAST({bin_sql('load', 'g1')} AS VARCHAR) || '|' || CAST({bin_sql('f5', 'g2')} AS VARCHAR) AS strata FROM v, g),
@@ -327,7 +329,7 @@ x AS (SELECT *, CASE WHEN place <= t THEN 'train' WHEN place <= t + u THEN 'vali
 
 
 def stratified(spark, folder) -> DataFrame:
-    return P.with_strata(order_store(spark, folder), {"load": 4, "f5": 3})
+    return P.with_strata(samples(spark, folder), {"load": 4, "f5": 3})
 
 
 @query(f"WITH {STRATA} SELECT pos, strata FROM s")
@@ -375,9 +377,10 @@ def residual_report(spark, folder):
 
 @query()
 def residual_gbt(spark, folder):
-    """Boosted trees instead of a linear model; metrics of each split."""
+    """Boosted trees instead of a linear model; metrics of each split. Fewer and flatter trees than
+    the operator's defaults keep the query short."""
     split = P.with_split(stratified(spark, folder), "pos")
-    out = R.with_tree_residuals(split, ["f1", "f5", "load"], "f2", F.col("split") == "train")
+    out = R.with_tree_residuals(split, ["f1", "f5", "load"], "f2", F.col("split") == "train", max_iter=20, depth=4)
     return rounded(S.regression_metrics(out, "f2", "pred_f2", ["split"]))
 
 
@@ -409,22 +412,23 @@ def rate_limit(spark, folder):
     return rounded(K.apply_continuity(hourly_grid(spark, folder).select("ts", "load", "click"), "ts", ["load", "click"], how).select("ts", "final_load", "final_click"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS rn FROM events),
+r AS (SELECT user_id, rn, ts, value, value AS final_value, 'first_valid_point' AS continuity_status FROM n WHERE rn = 1 UNION ALL
+SELECT n.user_id, n.rn, n.ts, n.value, CASE WHEN n.ts - r.ts <= INTERVAL 45 MINUTE AND abs(n.value - r.final_value) > {LIMIT} THEN r.final_value + sign(n.value - r.final_value) * {LIMIT} ELSE n.value END,
+       CASE WHEN n.ts - r.ts > INTERVAL 45 MINUTE THEN 'time_gap_reset' WHEN abs(n.value - r.final_value) > {LIMIT} THEN 'limited' ELSE 'not_limited' END FROM n JOIN r ON n.user_id = r.user_id AND n.rn = r.rn + 1)
+SELECT user_id, ts, round(value, 6) AS value, round(final_value, 6) AS final_value, continuity_status FROM r""")
 def stream_continuity(spark, folder):
-    """The rate limit on a stream of each user group's events, kept in memory and read back."""
-    import uuid
-
+    """The rate limit on a stream of each user's events, written as Parquet with a checkpoint."""
     from tessella.streaming.continuity import stream_continuity as on_stream
 
     source = f"{folder}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source if spark.read.parquet(source).inputFiles()[0].rsplit("/", 1)[0].endswith(".parquet") else f"{folder}/events*.parquet")
-    stream = stream.selectExpr("user_id % 10 as series", "ts", "value")
+    files = spark.read.parquet(source)
+    stream = spark.readStream.schema(files.schema).parquet(source if files.inputFiles()[0].rsplit("/", 1)[0].endswith(".parquet") else f"{folder}/events*.parquet")
     how = Continuity(enable_rate_limit=True, rate_limits={"value": LIMIT}, max_gap_minutes=45.0)
-    name = f"stream_{uuid.uuid4().hex}"
-    running = on_stream(stream, "series", "ts", ["value"], how).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return rounded(spark.table(name))
+    limited = on_stream(stream.select("user_id", "ts", "value"), "user_id", "ts", ["value"], how)
+    out = scratch_path(spark, "stream")
+    limited.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(limited.schema).parquet(out))
 
 
 @query(f"WITH {H}, i AS (SELECT *, rn - row_number() OVER (ORDER BY rn) AS island FROM n WHERE abs(load - 50) <= 15) SELECT min(rn) AS first_rn, max(rn) AS last_rn, count(*) AS length, round(avg(load), 6) AS mean_load FROM i GROUP BY island HAVING count(*) >= 3")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -49,6 +51,8 @@ def read_covariance(spark: SparkSession, path: str, columns: Sequence[str]) -> n
     row = spark.read.schema("feature_cols array<string>, cov_reg_inverse array<array<double>>, reg_lambda double, fingerprint string").json(path).first()
     if list(row["feature_cols"]) != list(columns):
         raise ValueError(f"the covariance is of {row['feature_cols']}, not of {list(columns)}")
+    if row["fingerprint"] != fingerprint(list(columns), row["cov_reg_inverse"], row["reg_lambda"]):
+        raise ValueError("the covariance doesn't match its fingerprint")
     return np.array(row["cov_reg_inverse"])
 
 
@@ -61,6 +65,26 @@ def cached_view(spark: SparkSession, path: str, key: str, build) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        sc.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table written to a scratch path and read again: what reads it several times doesn't
+    compute it several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def order_store(spark: SparkSession, folder: str) -> DataFrame:
     """A sample per order: pos, load, f1 to f5 and eff, of its line items."""
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
