@@ -49,6 +49,52 @@ def test_order_of_words_counts(documents):
     assert ordered > shuffled + 1
 
 
+def test_probabilities_sum_to_one_in_every_context(documents):
+    rng = np.random.default_rng(3)
+    docs = documents([" ".join(f"w{int(k)}" for k in rng.zipf(1.4, 60) % 300) for _ in range(50)])
+    model = pitman_yor.fit(docs.select("text"))
+    words = model.parents().collect()
+    assert len(words) == model.vocabulary
+    for s in range(pitman_yor.SAMPLES):
+        sums = np.zeros(pitman_yor.CONTEXTS)
+        for r in words:
+            p = model.opened[s] * r[f"parent{s}"]
+            p[r["contexts"]] += np.array(r["counts"]) - pitman_yor.DISCOUNT * np.array(r[f"tables{s}"])
+            sums += p / model.below
+        assert np.allclose(sums + model.opened[s] * model.unknown[s] / model.below, 1)
+
+
+def test_seating_agrees_with_a_customer_by_customer_sampler():
+    rng, discount = np.random.default_rng(4), 0.8
+    for n, a in ((2, 0.5), (7, 1.0), (30, 4.0), (60, 0.2)):
+        sizes, seen = [n], []
+        for sweep in range(3000):
+            for _ in range(n):  # one customer leaves and comes back
+                k = rng.choice(len(sizes), p=np.array(sizes) / n)
+                sizes[k] -= 1
+                sizes = [x for x in sizes if x]
+                weights = np.array([*(x - discount for x in sizes), a])
+                k = rng.choice(len(weights), p=weights / weights.sum())
+                if k == len(sizes):
+                    sizes.append(1)
+                else:
+                    sizes[k] += 1
+                if len(seen) > 40_000:
+                    break
+            seen.append(len(sizes))
+        at_once = pitman_yor.seating(discount).draw(np.full(20_000, n), np.full(20_000, a), rng)
+        assert abs(np.mean(seen) - at_once.mean()) < 0.05 * np.mean(seen) + 0.03, (n, a)
+
+
+def test_seating_of_many_customers_follows_the_recurrence():
+    short, long = pitman_yor.Seating(0.8, 256), pitman_yor.Seating(0.8, 1024)
+    rng = np.random.default_rng(5)
+    for n, a in ((600, 0.5), (1000, 5.0), (1000, 60.0)):
+        one, other = (s.draw(np.full(20_000, n), np.full(20_000, a), rng) for s in (short, long))
+        assert abs(one.mean() - other.mean()) < 0.02 * other.mean() + 0.02, (n, a)
+    assert long.draw(np.array([10_000_000]), np.array([50.0]), rng)[0] > 20
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 
