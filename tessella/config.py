@@ -73,6 +73,12 @@ class Training:
     oof_n_splits: int = 5
     seed: int = 42
     reg_lambda: float = 1e-6
+    #: linear, or trees with the parameters after it.
+    model: str = "linear"
+    max_iter: int = 200
+    learning_rate: float = 0.05
+    max_depth: int = 6
+    min_samples_leaf: int = 20
 
 
 @dataclass(frozen=True)

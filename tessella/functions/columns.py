@@ -82,14 +82,17 @@ def time_bound(value: str | datetime | None, is_end: bool) -> datetime | None:
     return value
 
 
-def in_range(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
-    """Rows from ``start`` to before ``end``; rows without time go."""
+def in_range(df: DataFrame, column: str, start=None, end=None, required: bool = False) -> DataFrame:
+    """Rows from ``start`` to before ``end``; rows without time go. An empty range is an error if
+    ``required``."""
     low, high = time_bound(start, False), time_bound(end, True)
     keep = F.col(column).isNotNull()
     if low is not None:
         keep &= F.col(column) >= F.lit(low).cast("timestamp_ntz")
     if high is not None:
         keep &= F.col(column) < F.lit(high).cast("timestamp_ntz")
+    if required and not df.filter(keep).head(1):
+        raise ValueError(f"no rows from {low} to {high}")
     return df.filter(keep)
 
 

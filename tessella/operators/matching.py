@@ -106,8 +106,8 @@ def best_pairs(queries: DataFrame, store: DataFrame, features: Sequence[str], me
         for i, j in cells:
             asked = asked.withColumn(f"__w{i}_{j}", F.coalesce(*[F.when(F.col("preset") == n, weight(m, i, j)) for n, m in metric.items()]))
     asked = asked.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-    held = store.select("pos", "load", *[zero_filled(F.col(c)).alias(f"__{c}") for c in features], "eff_score", F.pmod(F.xxhash64("pos"), F.lit(DEAL)).cast("int").alias("__of"))
-    apart = [F.col(f"q_{c}") - F.col(f"__{c}") for c in features]
+    held = store.select("pos", "load", *[zero_filled(F.col(c)).alias(f"__x_{c}") for c in features], "eff_score", F.pmod(F.xxhash64("pos"), F.lit(DEAL)).cast("int").alias("__of"))
+    apart = [F.col(f"q_{c}") - F.col(f"__x_{c}") for c in features]
     terms = [(F.col(f"__w{i}_{j}") if several else weight(metric, i, j)) * apart[i] * apart[j] for i, j in cells]
     s = cauchy(F.greatest(sum(terms[1:], terms[0]) if terms else F.lit(0.0), F.lit(0.0)))
 
@@ -118,7 +118,7 @@ def best_pairs(queries: DataFrame, store: DataFrame, features: Sequence[str], me
     bar = look.filter(F.col("d").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("__bar")).filter(F.col("n") >= k).drop("n")
     whole = pairs(held, asked.join(bar, keys, "left"))
     best = top_k(whole.filter(F.col("__bar").isNull() | (F.col("d") >= F.col("__bar"))).drop("__bar"), k, keys)
-    return best.withColumnsRenamed({f"__{c}": c for c in features})
+    return best.withColumnsRenamed({f"__x_{c}": c for c in features})
 
 
 def nearest_by_load(queries: DataFrame, store: DataFrame, k: int, query_load: str = "q_load", load: str = "load", near_rows: int = 512) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import bin_of, quantile_edges, with_quantile_bins
+from tessella.sources.tables import settled
 
 
 def shuffled(key: Column, seed: int) -> Column:
@@ -83,3 +84,49 @@ def densest_window(df: DataFrame, time: str, hours: int) -> DataFrame:
     ahead = Window.orderBy("hour").rowsBetween(0, hours - 1)
     rolled = grid.select("hour", F.sum(F.coalesce("n", F.lit(0))).over(ahead).alias("n_rows"), F.count(F.lit(1)).over(ahead).alias("n_hours"))
     return rolled.filter(F.col("n_hours") == F.least(F.lit(hours), F.lit(hours))).orderBy(F.desc("n_rows"), "hour").limit(1).select(F.col("hour").cast("timestamp_ntz").alias("start_ts"), "n_rows")
+
+
+def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Adds positions from 0 in the order of columns, the same in every run (rows that agree in all
+    of them are alike). Rows are sorted in ranges, whose sizes are summed first; never in one task."""
+    placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()), "ordered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__low"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = sizes.select(F.col("__part").alias("__p"), "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    out = placed.join(F.broadcast(sizes), F.col("__part") == F.col("__p"))
+    return out.withColumn(name, F.col("__first") + F.col("__in") - F.col("__low")).drop("__part", "__p", "__in", "__low", "__first")
+
+
+def row_at(df: DataFrame, time: str, index: int) -> DataFrame:
+    """The row at ``index`` from 0 in the order of time; raises ValueError if there is none."""
+    row = with_position(df.filter(F.col(time).isNotNull()), [time, *[c for c in df.columns if c != time]], "__pos").filter(F.col("__pos") == index).drop("__pos")
+    if not row.head(1):
+        raise ValueError(f"no row {index}")
+    return row
+
+
+def stepped(df: DataFrame, time: str, step: int, wanted: Column | None = None) -> DataFrame:
+    """Every ``step``-th row, from the first, of the rows that ``wanted`` marks, by time."""
+    rows = df if wanted is None else df.filter(wanted)
+    return with_position(rows, [time, *[c for c in df.columns if c != time]], "__pos").filter(F.col("__pos") % step == 0).drop("__pos")
+
+
+def random_window(df: DataFrame, time: str, days: int, seed: int = 42, tries: int = 20) -> DataFrame:
+    """Rows of ``days`` dates in a row: of up to ``tries`` first dates drawn by hash the first whose
+    window has a row on every date, else the densest window. Half-open: the last date is whole.
+    Only dates and their counts are looked at to choose."""
+    counts = df.filter(F.col(time).isNotNull()).groupBy(F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    last = counts.agg(F.max("day").alias("last"))
+    ahead = Window.orderBy(F.unix_date("day")).rangeBetween(0, days - 1)  # a row per date
+    windows = counts.select("day", F.count(F.lit(1)).over(ahead).alias("filled"), F.sum("n").over(ahead).alias("rows")).crossJoin(F.broadcast(last))
+    windows = windows.filter(F.date_add("day", days - 1) <= F.col("last"))
+    draws = windows.orderBy(shuffled(F.col("day"), seed)).limit(tries).filter(F.col("filled") == days).orderBy(shuffled(F.col("day"), seed)).limit(1).select("day", F.lit(0).alias("rank"))
+    dense = windows.orderBy(F.desc("rows"), "day").limit(1).select("day", F.lit(1).alias("rank"))
+    whole = counts.agg(F.min("day").alias("day")).select("day", F.lit(2).alias("rank"))
+    chosen = F.broadcast(draws.unionByName(dense).unionByName(whole).orderBy("rank").limit(1).select(F.col("day").alias("__day")))  # one row
+    return df.crossJoin(chosen).filter((F.to_date(time) >= F.col("__day")) & (F.to_date(time) < F.date_add("__day", days))).drop("__day")
+
+
+def date_batches(df: DataFrame, time: str, dates: Sequence[str]) -> DataFrame:
+    """The rows of each listed date, told apart by the column batch, in one plan."""
+    return df.withColumn("batch", F.to_date(time).cast("string")).filter(F.col("batch").isin(list(dates)))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from tessella.functions.columns import features, in_range, numeric, renamed, req
 from tessella.functions.stats import covariance, weighted_inverse, with_percentile_rank
 from tessella.operators.continuity import apply_continuity
 from tessella.operators.matching import gate_join, match_details, plan_points, scored, top_k
+from tessella.operators.models import Model, with_models
+from tessella.operators.sampling import daily_sample, random_window, row_at, with_position
 from tessella.operators.sequences import numbered, query_sequences, sequence_centers
 
 
@@ -22,8 +25,8 @@ class PlanningEngine:
     The covariance's inverse is kept without weights, so presets of weights take effect.
     """
 
-    def __init__(self, spark: SparkSession, config: Config, samples: DataFrame, cov_reg_inverse: np.ndarray | None = None):
-        self.spark, self.config, self._samples, self._inverse = spark, config, samples, cov_reg_inverse
+    def __init__(self, spark: SparkSession, config: Config, samples: DataFrame, cov_reg_inverse: np.ndarray | None = None, models: Mapping[str, Model] | None = None):
+        self.spark, self.config, self._samples, self._inverse, self.models = spark, config, samples, cov_reg_inverse, dict(models or {})
         self.reload()
 
     def __repr__(self) -> str:
@@ -36,7 +39,7 @@ class PlanningEngine:
         own = list(dict.fromkeys([f.load_col, *f.similarity, f.eff_col, *f.plan_center_cols]))
         df = numeric(require(renamed(self._samples, f.column_aliases), own, "the store"), own).dropna(subset=own)
         if "pos" not in df.columns:
-            df = df.withColumn("pos", F.monotonically_increasing_id())
+            df = with_position(df, own)
         df = df.withColumn("load", F.col(f.load_col)).withColumn("eff", F.col(f.eff_col))
         self.store = with_percentile_rank(df, "eff", "eff_score").select("pos", "load", "eff", "eff_score", *dict.fromkeys([*f.similarity, *[c for c in f.plan_center_cols if c != "load"]]))
         if self._inverse is None:
@@ -48,19 +51,56 @@ class PlanningEngine:
         return weighted_inverse(np.linalg.pinv(self._inverse), w)
 
     def queries_of(self, minutes: DataFrame, qid: str | Column, lenient: bool = False) -> DataFrame:
-        """Query rows of a table that has the features; a missing column is an error unless ``lenient``."""
+        """Query rows of a table that has the features; residuals that it lacks come from the
+        engine's models. A missing column is an error unless ``lenient``."""
         f = self.config.features
         df = renamed(minutes, f.column_aliases)
+        df = with_models(df, {t: m for t, m in self.models.items() if f"resid_{t}" not in df.columns})
         wanted = list(dict.fromkeys([*f.similarity, *f.plan_center_cols]))
         cols = features(df, wanted, lenient)
         key = F.col(qid) if isinstance(qid, str) else qid
-        return df.select(key.alias("qid"), F.col(f.load_col).cast("double").alias("q_load"), *[c.alias(f"q_{n}") for c, n in zip(cols, wanted)])
+        return df.select(key.alias("qid"), F.col(f.load_col).cast("double").alias("q_load"), *[c.alias(f"q_{n}") for c, n in zip(cols, wanted) if n != "load"])
 
     def plan(self, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
         """A plan row for each query, without continuity."""
         f, c = self.config.features, self.config
         return plan_points(queries, self.store, f.similarity, self.metric(weights), c.gate, c.matching, f.plan_center_cols)
 
+    def plan_one(self, values: Mapping[str, float | None], previous: Mapping[str, float | None] | None = None) -> DataFrame:
+        """The plan of one row of features, as one row. With ``previous``, the last final centre
+        values, the plan's values move by their rate limits at most (final_<column>)."""
+        own = self.spark.createDataFrame([tuple(None if v is None else float(v) for v in values.values())], ", ".join(f"`{c}` double" for c in values))
+        one = self.plan(self.queries_of(own.withColumn("row", F.lit(0)), "row"))
+        limits = self.config.continuity.rate_limits if self.config.continuity.enable_rate_limit else {}
+        for c in self.config.features.plan_center_cols:
+            value, last, limit = F.col(f"plan_{c}"), (previous or {}).get(c), limits.get(c)
+            if last is not None and limit is not None:
+                value = F.when(F.abs(value - last) > limit, F.lit(float(last)) + F.signum(value - last) * F.lit(float(limit))).otherwise(value)
+            one = one.withColumn(f"final_{c}", value)
+        return one
+
+    def plan_row(self, minutes: DataFrame, index: int) -> DataFrame:
+        """The plan of the row at ``index`` (from 0, by time), with the samples nearest by load if
+        no sample passes the gate."""
+        time = time_column(minutes, self.config.time_col)
+        row = row_at(minutes, time, index)
+        f, c = self.config.features, self.config
+        return plan_points(self.queries_of(row, time), self.store, f.similarity, self.metric(), c.gate, replace(c.matching, allow_fallback_nearest_load=True), f.plan_center_cols)
+
+    def sample_run(self, minutes: DataFrame, days: int, per_day: int) -> tuple[DataFrame, DataFrame]:
+        """(plans, details) of ``per_day`` rows of each of ``days`` dates."""
+        time = time_column(minutes, self.config.time_col)
+        drawn = daily_sample(minutes, time, time, days, per_day, self.config.training.seed)
+        queries = self.queries_of(drawn, F.struct(time, "rank"))  # rows may share a time
+        return self.plan(queries), self.details(queries)
+
+    def validation(self, minutes: DataFrame, days: int, seed: int = 42) -> DataFrame:
+        """Planned against actual values in a window of ``days`` days: qid, column, actual, planned."""
+        time = time_column(minutes, self.config.time_col)
+        plans = self.plan(self.queries_of(random_window(minutes, time, days, seed), time))
+        rows = [F.struct(F.lit(c).alias("column"), (F.col(f"q_{c}") if f"q_{c}" in plans.columns else F.col("q_load")).alias("actual"), F.col(f"plan_{c}").alias("planned")) for c in self.config.features.plan_center_cols]
+        return plans.select("qid", F.explode(F.array(*rows)).alias("r")).select("qid", "r.*")
+
     def details(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """One row per query and matched sample."""
         f, c = self.config.features, self.config

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import days_between, window_midpoint
+
 
 def status_histogram(df: DataFrame, status: str) -> DataFrame:
     counts = df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
@@ -23,3 +25,10 @@ def axis_ranges(tidied: DataFrame, margin: float = 0.1) -> DataFrame:
     """Least and greatest value of each panel, widened by ``margin`` of their distance."""
     lo, hi = F.min("value"), F.max("value")
     return tidied.groupBy("panel").agg((lo - margin * (hi - lo)).alias("axis_min"), (hi + margin * (hi - lo)).alias("axis_max"))
+
+
+def time_distances(ranked: DataFrame, query_time: str, window: str) -> DataFrame:
+    """Per query top1_days and topk_mean_days: how far the matched samples' windows (``start~end``)
+    have their middle from the query's time."""
+    days = days_between(F.col(query_time), window_midpoint(F.col(window)))
+    return ranked.withColumn("__days", days).groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.col("__days"))).alias("top1_days"), F.avg("__days").alias("topk_mean_days"))

@@ -17,6 +17,7 @@ from tessella.functions import stats as S
 from tessella.functions.similarity import cauchy, cosine01, squared_distance
 from tessella.operators import continuity as K
 from tessella.operators import matching as M
+from tessella.operators import models
 from tessella.operators import residuals as R
 from tessella.operators import sampling as P
 from tessella.operators import sequences as D
@@ -384,6 +385,82 @@ def residual_gbt(spark, folder):
     return rounded(S.regression_metrics(out, "f2", "pred_f2", ["split"]))
 
 
+# --- models at query time, positions, windows ------------------------------------------------------
+
+WEIGHTS = {"f1": 2.0, "f2": 0.5, "f5": 1.0}
+WEIGHTED = f"WITH {V}, q AS (SELECT " + ", ".join(f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS q{c}" for c in WEIGHTS) + " FROM v), w AS (SELECT pos, " + ", ".join(f"round(CAST(CAST((coalesce({c}, q{c}[2]) - q{c}[2]) * (sqrt({w!r}::DOUBLE) / (q{c}[3] - q{c}[1])) AS FLOAT) AS DOUBLE), 4) + 0.0 AS {c}" for c, w in WEIGHTS.items()) + " FROM v, q)"
+
+
+def robust(df: DataFrame) -> dict[str, tuple[float, float]]:
+    return {r["feature"]: (r["median"], r["iqr"]) for r in S.robust_stats(df, list(WEIGHTS)).collect()}  # a row per feature
+
+
+@query(WEIGHTED + " SELECT * FROM w")
+def weighted_matrix(spark, folder):
+    store = samples(spark, folder)
+    out = models.weighted_matrix(store, robust(store), WEIGHTS)
+    return out.select("pos", *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in WEIGHTS])
+
+
+@query(WEIGHTED + " SELECT pos, CAST(list_sum(list_transform([f1, f2, f5], lambda x: x * x)) > 1 AS INTEGER) AS far FROM w WHERE pos % 20 = 0 AND abs(f1 * f1 + f2 * f2 + f5 * f5 - 1) > 0.001")
+def weighted_vector(spark, folder):
+    """Whether a query's weighted vector is longer than 1 (not those within rounding of it)."""
+    store = samples(spark, folder)
+    out = models.weighted_vector(store.filter("pos % 20 = 0"), robust(store), WEIGHTS)
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 4) * F.round(x.cast("double"), 4))
+    return out.select("pos", square.alias("square")).filter(F.abs(F.col("square") - 1) > 0.001).select("pos", (F.col("square") > 1).cast("int").alias("far"))
+
+
+@query(f"WITH {V}, m AS (SELECT regr_intercept(f2, f1) AS a, regr_slope(f2, f1) AS b FROM v WHERE pos % 20 <> 0) SELECT pos, round(a + b * f1, 4) AS pred_f2, round(f2 - a - b * f1, 4) AS resid_f2 FROM v, m WHERE pos % 20 = 0")
+def query_residuals(spark, folder):
+    """Residuals of queries by a model that was fitted on the other rows, saved and loaded."""
+    store = samples(spark, folder)
+    path = scratch_path(spark, "models")
+    models.save_models(spark, path, {"f2": models.fit_linear(store.filter("pos % 20 <> 0"), ["f1"], "f2")})
+    queries = models.with_models(store.filter("pos % 20 = 0"), models.load_models(spark, path, ["f2"]))
+    return rounded(queries.select("pos", "pred_f2", "resid_f2"), 4)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events")
+def stable_positions(spark, folder):
+    return P.with_position(table(spark, folder, "events").select("ts", "event_id"), ["ts", "event_id"], "place").select("event_id", "place")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events WHERE event_type = 'click') WHERE place % 7 = 0")
+def step_sample(spark, folder):
+    return P.stepped(table(spark, folder, "events").select("ts", "event_id", "event_type"), "ts", 7, F.col("event_type") == "click").select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events) WHERE place = 1234")
+def row_by_index(spark, folder):
+    return P.row_at(table(spark, folder, "events").select("ts", "event_id"), "ts", 1234).select("event_id")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch, count(*) AS n, min(event_id) AS first_id FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-03', DATE '2024-01-07', DATE '2024-01-09') GROUP BY 1")
+def date_batches(spark, folder):
+    rows = P.date_batches(table(spark, folder, "events"), "ts", ["2024-01-03", "2024-01-07", "2024-01-09"])
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), w AS (SELECT day, count(*) OVER r AS filled, sum(n) OVER r AS n_rows, max(day) OVER () AS last FROM d WINDOW r AS (ORDER BY day RANGE BETWEEN CURRENT ROW AND INTERVAL 2 DAY FOLLOWING)),
+c AS (SELECT *, md5(CAST(day AS VARCHAR) || '|42') AS h FROM w WHERE day + INTERVAL 2 DAY <= last), t AS (SELECT * FROM c ORDER BY h LIMIT 20),
+x AS (SELECT day FROM (SELECT day, 0 AS p, h AS o FROM t WHERE filled = 3 UNION ALL SELECT day, 1, CAST(999999999 - n_rows AS VARCHAR) FROM c) ORDER BY p, o, day LIMIT 1)
+SELECT event_id FROM events, x WHERE CAST(ts AS DATE) >= day AND CAST(ts AS DATE) < day + INTERVAL 3 DAY""")
+def random_window(spark, folder):
+    return P.random_window(table(spark, folder, "events"), "ts", 3).select("event_id")
+
+
+@query(f"""WITH {V}, {E}, {hits_sql()}, t AS (SELECT r.qid, r.rank, abs(epoch_us(q.date) - (epoch_us(r.date) + 1800000000)) / 86400e6::DOUBLE AS days FROM r JOIN v q ON q.pos = r.qid)
+SELECT qid, round(max(CASE WHEN rank = 1 THEN days END), 6) AS top1_days, round(avg(days), 6) AS topk_mean_days FROM t GROUP BY qid""")
+def topk_time_distance(spark, folder):
+    """Each sample's window is the hour from its order's time."""
+    best = ranked(spark, folder, more=("date",))
+    asked = samples(spark, folder).select(F.col("pos").alias("qid"), F.col("date").alias("q_date"))
+    text = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    window = F.concat(text("date"), F.lit("~"), text(F.col("date") + F.expr("interval 1 hour")))
+    return rounded(report.time_distances(best.join(asked, "qid").withColumn("window", window), "q_date", "window"))
+
+
 # --- time series ---------------------------------------------------------------------------------
 
 H = "h AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS load, " + ", ".join(f"avg(CASE WHEN event_type = '{k}' THEN value END) AS {k}" for k in KINDS) + " FROM events GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM h)"

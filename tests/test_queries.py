@@ -7,9 +7,6 @@ import pytest
 import __spark_entry__ as entry
 from tessella import queries as library
 
-SOME = ["scan_project_alias", "time_range_filter", "load_gate_relative", "outlier_filter", "plan_center_weighted", "low_sim_fallback", "nearest_load_fallback", "strata_split", "oof_residual_ols", "gap_reset", "rate_limit", "dtw_topk", "cosine_topk"]
-
-
 def canon(rows):
     def cell(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -19,7 +16,7 @@ def canon(rows):
     return sorted(tuple(cell(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", library.ORACLES)
 def test_query_equals_sql(spark, data, name):
     import duckdb
 
