@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs``, which the stage before has
 written as Parquet, and returns a DataFrame; all but the last keep the columns of ``documents``.
+
+In every stage a null text counts as empty, null values in other columns pass as they are, and an
+empty table gives an empty table. Rows that repeat an id and a text are one document from the
+second stage on; a row without id is a document of its own, and stays last among equal texts.
 """
 
 from __future__ import annotations
