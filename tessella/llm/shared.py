@@ -96,7 +96,7 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in run(batch):
-                arrays = [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in types]
+                arrays = [c.cast(f.type) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in types]
                 yield from pa.table(arrays, schema=types).to_batches()
 
     return df.mapInArrow(each, schema)
