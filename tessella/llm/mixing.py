@@ -7,13 +7,17 @@
 2. The words of a source, its documents one after the other in a hashed order, are packed into
    blocks of ``block_words``. Places of documents are running sums in two steps, so that no
    source is in one task.
-3. The mix is a row of slots, cut into output shards. Each shard's source counts are multinomial
-   draws under the condition that all shards together meet the targets: a pseudorandom
-   permutation of all slots deals each source's slots to the shards.
+3. Each output shard draws its source counts from the multinomial distribution of the targets
+   (``drawn_counts``), and running sums number each source's slots over the shards. What a source
+   was drawn beyond its target, at places that a permutation of its slots chooses, goes to the
+   sources that were drawn too seldom, so that all shards together meet the targets: given those
+   totals, the counts still have the multinomial law.
 4. The n-th slot of a source takes block ``permutation(n)``, with another permutation for each
    epoch over its blocks. So no block is taken more than ``ceil(target / size)`` times. Slots
    and blocks are joined by (source, block).
 
+Windows over all sources hold one row per source, or one per source and 4,096 shards.
+
 Permutations are swap-or-not networks over exactly the numbers 0 to n - 1, made of hashes of
 columns, so reruns and recomputed tasks agree.
 """
@@ -25,11 +29,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import SPACE, keep, table, text_of
+from tessella.llm.shared import METHOD_LIMIT, SPACE, keep, release, table, text_of
 
 BLOCK_WORDS, SLOTS_PER_SHARD, ROUNDS, SEED = 64, 4096, 12, 20240229
 WEIGHTS, BUDGET, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-ROWS_PER_CHUNK, SLOTS_PER_PIECE = 4096, 4096
+ROWS_PER_CHUNK, RANGE_STEPS = 4096, 8192
+#: A permutation's rounds in one generated method are more bytecode than the JVM compiles; each
+#: round gets a method of its own instead.
+BY_ROUND = {METHOD_LIMIT: "8000"}
 
 
 def words_in(text: str | Column) -> Column:
@@ -95,19 +102,69 @@ def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _owners(rows: DataFrame, value: str, ranges: DataFrame, total: int) -> DataFrame:
+    """Adds to each row the columns of the range [lo, lo + length) that holds its ``value``; the
+    ranges cover 0 to ``total`` - 1. Both are joined by steps of that line."""
+    step = total // RANGE_STEPS + 1
+    cut = ranges.filter("length > 0").withColumn("__step", F.explode(F.sequence(F.expr(f"lo div {step}"), F.expr(f"(lo + length - 1) div {step}"))))
+    return rows.withColumn("__step", F.expr(f"{value} div {step}")).join(cut, "__step").filter((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("lo") + F.col("length"))).drop("__step", "length")
+
+
+def drawn_counts(targets: DataFrame, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """shard, source_no, n: each shard's multinomial draw of ``slots_per_shard`` sources (the last
+    shard's of what is left) with the sources' slots as weights. ``targets`` has a few rows."""
+    spark = targets.sparkSession
+    total = targets.agg(F.max("all_slots")).first()[0] or 0
+    parts = max(1, total >> 20, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SLOTS_PER_SHARD))
+    draws = spark.range(0, total, 1, parts).select(F.expr(f"id div {slots_per_shard}").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 1).cast("long"), "id"), F.lit(max(1, total))).alias("draw"))
+    ranges = targets.select("source_no", F.col("slots_before").alias("lo"), F.col("slots").alias("length"))
+    return _owners(draws, "draw", ranges, total).groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """With ``first``, the source's slots in the shards before, and ``base``, the shard's slots of
+    the sources before."""
+    counts = counts.withColumn("span", F.expr(f"shard div {ROWS_PER_CHUNK}"))
+    before = Window.partitionBy("source_no").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy("source_no", "span").agg(F.sum("n").alias("m")).withColumn("span_first", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
+    inside = Window.partitionBy("source_no", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    in_shard = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    out = counts.join(spans, ["source_no", "span"]).withColumn("first", F.col("span_first") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    whole = Window.partitionBy("shard")
+    return out.select("shard", "source_no", "n", "first", F.coalesce(F.sum("n").over(in_shard), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("shard_slots"))
+
+
 def _slots(targets: DataFrame, slots_per_shard: int) -> DataFrame:
     """One row per slot: shard, slot, source_no, epoch, block."""
-    big = SLOTS_PER_PIECE * SLOTS_PER_PIECE
-    wanted = targets.filter("slots > 0").select("source_no", "blocks", "slots", "slots_before", "all_slots")
-    pieces = wanted.withColumn("big", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {big}"))))
-    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.col("big") * SLOTS_PER_PIECE, F.least((F.col("big") + 1) * SLOTS_PER_PIECE - 1, F.expr(f"(slots - 1) div {SLOTS_PER_PIECE}"))))).drop("big")
+    counts = keep(drawn_counts(targets, slots_per_shard), "counts")
+    every = Window.orderBy("source_no")
+    before = every.rowsBetween(Window.unboundedPreceding, -1)
+    totals = targets.join(counts.groupBy("source_no").agg(F.sum("n").alias("drawn")), "source_no", "left").select("source_no", "blocks", "slots", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    over, lack = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    totals = totals.withColumn("over", over).withColumn("lack", lack).withColumn("over_before", F.coalesce(F.sum("over").over(before), F.lit(0))).withColumn("lack_before", F.coalesce(F.sum("lack").over(before), F.lit(0)))
+    totals = keep(totals, "totals")  # one row per source
+    excess = totals.agg(F.sum("over")).first()[0] or 0
+
+    rows = _numbered(counts).join(totals.select("source_no", "blocks", "slots", "drawn", "over_before"), "source_no")
+    # dealt out first: the counts are few bytes, of which Spark makes few tasks, their slots many
     width = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces.repartition(width, "source_no", "piece").withColumn("rank", F.explode(F.sequence(F.col("piece") * SLOTS_PER_PIECE, F.least((F.col("piece") + 1) * SLOTS_PER_PIECE, F.col("slots")) - 1)))
-    rows = rows.withColumn("epoch", F.expr("rank div blocks")).withColumn("block", F.pmod("rank", "blocks")).withColumn("at", F.col("slots_before") + F.col("rank"))
+    rows = rows.repartition(width, "shard", "source_no").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    rows = rows.withColumn("slot", F.col("base") + F.col("i")).withColumn("rank", F.col("first") + F.col("i"))
+    rows = permuted(rows, "slot", "shard_slots", [F.col("shard")], SEED + 2)
+    rows = permuted(rows, "rank", "drawn", [F.col("source_no")], SEED + 3)
+    # tables, as a filter or join right above would push its conditions down through, and multiply them by, all rounds
+    drawn = keep(rows.select("shard", "slot", "source_no", "rank", "blocks", "slots", "over_before"), "drawn", BY_ROUND)
+    fits = drawn.filter("rank < slots").select("shard", "slot", "source_no", "rank", "blocks")
+    moved = drawn.filter("rank >= slots").select("shard", "slot", (F.col("over_before") + F.col("rank") - F.col("slots")).alias("e"), F.lit(excess).cast("long").alias("excess"))
+    moved = keep(permuted(moved, "e", "excess", [], SEED + 4), "moved", BY_ROUND)
+    lacking = totals.select("source_no", "blocks", "drawn", F.col("lack_before").alias("lo"), F.col("lack").alias("length"))
+    moved_to = _owners(moved, "e", lacking, excess).select("shard", "slot", "source_no", (F.col("drawn") + F.col("e") - F.col("lo")).alias("rank"), "blocks")
+
+    rows = fits.unionByName(moved_to).withColumn("epoch", F.expr("rank div blocks")).withColumn("block", F.pmod("rank", "blocks"))
     rows = permuted(rows, "block", "blocks", [F.col("source_no"), F.col("epoch")], SEED)
-    rows = permuted(rows, "at", "all_slots", [], SEED + 1)
-    rows = rows.select(F.expr(f"at div {slots_per_shard}").alias("shard"), F.pmod("at", F.lit(slots_per_shard)).alias("slot"), "source_no", "epoch", "block")
-    return keep(rows, "slots")  # a join right above would push null checks down through, and multiply them by, all rounds
+    out = keep(rows.select("shard", "slot", "source_no", "epoch", "block"), "slots", BY_ROUND)
+    release(counts, totals, drawn, moved)
+    return out
 
 
 def _mixed(placed: DataFrame, targets: DataFrame, block_words: int, slots_per_shard: int) -> DataFrame:
@@ -122,10 +179,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float =
     """The mix as spans: shard, slot, source, block, epoch, doc_id, first_word, n_words, one row
     per document that has words in the slot's block. See ``mix_counts`` for the edge cases."""
     sized = keep(_sized(docs), "sizes")
-    targets = _targets(sized, weights, budget, most, block_words)
+    targets = keep(_targets(sized, weights, budget, most, block_words), "targets")
     return _mixed(_placed(sized, targets), targets, block_words, slots_per_shard).select("shard", "slot", "source", "block", "epoch", "doc_id", "first_word", "n_words")
 
 
+def shard_counts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The slots that each output shard has of each source: shard, source, n_slots."""
+    targets = keep(_targets(keep(_sized(docs), "sizes"), weights, budget, most, block_words), "targets")
+    counts = _slots(targets, slots_per_shard).groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n_slots"))
+    return counts.join(targets.select("source_no", "source"), "source_no").select("shard", "source", "n_slots")
+
+
 def mix_counts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken (words in the mix).
 
@@ -134,7 +198,7 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: f
     source's taken words are within one block of its target. No rows give none.
     """
     sized = keep(_sized(docs), "sizes")
-    targets = _targets(sized, weights, budget, most, block_words)
+    targets = keep(_targets(sized, weights, budget, most, block_words), "targets")
     placed = keep(_placed(sized, targets), "places")
     taken = _mixed(placed, targets, block_words, slots_per_shard).groupBy(F.col("source_no").alias("s"), F.col("first").alias("f")).agg(F.sum("n_words").alias("taken"))
     joined = placed.join(taken, (F.col("source_no") == F.col("s")) & (F.col("first") == F.col("f")) & (F.col("size") > 0), "left")
@@ -147,7 +211,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
     words stay, joined by spaces, and n_chars, where there is such a column, follows. Documents
     without words stay as they are."""
     sized = keep(_sized(docs), "sizes")
-    targets = _targets(sized, weights, budget, most, block_words)
+    targets = keep(_targets(sized, weights, budget, most, block_words), "targets")
     placed = keep(_placed(sized, targets), "places")
     spans = _mixed(placed, targets, block_words, slots_per_shard).groupBy("source_no", "first", "epoch", "doc_id", "source", "text_key", "size").agg(
         F.sum("n_words").alias("__taken"), F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__spans")

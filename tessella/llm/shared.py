@@ -18,6 +18,7 @@ from pyspark.sql.types import DataType
 #: White space of every word rule here, as a Java/RE2/Python character class body.
 SPACE = r"\x20\x09-\x0D"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -50,18 +51,22 @@ def importable(spark: SparkSession) -> None:
     sc.addPyFile(archive)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Writes a table to the shared scratch folder and reads it back: recovery after a lost
     executor starts from there, and what reads it twice isn't computed twice. The write's own
-    shuffle files go when it is done, not when the driver next collects its garbage."""
+    shuffle files go when it is done, not when the driver next collects its garbage. ``settings``
+    hold for this write alone."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/tessella/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", **(settings or {})}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

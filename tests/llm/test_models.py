@@ -42,6 +42,12 @@ def test_base_score_and_counts(documents):
     assert pitman_yor.score(documents([]), pitman_yor.fit(documents([]).select("text"))).count() == 0
 
 
+def test_frequent_words_keep_to_their_limit(spark):
+    words = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 500 + [2] * 30 + [3] * 9 + [100, 1000])], "word long, n long")
+    for limit, want in ((0, 0), (1, 1), (2, 2), (10, 2), (11, 11), (60, 41), (10_000, 541)):
+        assert pitman_yor.most_frequent(words, limit).count() == want
+
+
 def test_order_of_words_counts(documents):
     docs = documents(["alpha beta gamma delta"] * 30 + ["delta beta"] * 2)
     model = pitman_yor.fit(docs.select("text"))
@@ -147,6 +153,27 @@ def test_mix(documents):
     assert {k: v for k, v in got.items() if v} == {k: v for k, v in by_id.items() if v}
 
 
+def test_shards_draw_multinomial_counts_that_meet_the_targets(spark, documents):
+    share = ("b", "c", "hot")  # weights 3, 1, 2
+    docs = documents(["w " * 400] * 60, sources=[["hot", "b", "c"][i % 3] for i in range(60)])
+    setting = dict(block_words=2, slots_per_shard=50)
+    counts = mixing.shard_counts(docs, **setting).collect()
+    assert sorted(map(str, counts)) == sorted(map(str, mixing.shard_counts(docs.repartition(5), **setting).collect()))
+    total = {s: sum(r["n_slots"] for r in counts if r["source"] == s) for s in share}
+    assert total == {"b": 8000, "c": 3333, "hot": 6667}  # b stops at twice its 4000 blocks
+    shards = {}
+    for r in counts:
+        shards.setdefault(r["shard"], {})[r["source"]] = r["n_slots"]
+    n = sum(total.values())
+    assert {sum(c.values()) for k, c in shards.items() if k < n // 50} == {50} and len(shards) == -(-n // 50)
+    for s in share:
+        own, p = [c.get(s, 0) for k, c in shards.items() if k < n // 50], total[s] / n
+        assert abs(np.var(own) / (50 * p * (1 - p)) - 1) < 0.25  # of a multinomial draw; even shares would have none
+    slots = mixing.mix(docs, **setting).select("shard", "slot", "source", "epoch", "block").distinct().collect()
+    assert len(slots) == n and len({(r["shard"], r["slot"]) for r in slots}) == n and len({(r["source"], r["epoch"], r["block"]) for r in slots}) == n
+    assert {r["slot"] for r in slots} == set(range(50))
+
+
 def test_mix_stays_in_the_jvm(documents):
     plan = mixing.mix_counts(documents(["a b", "c"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
