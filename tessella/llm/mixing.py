@@ -155,7 +155,7 @@ def _slots(targets: DataFrame, slots_per_shard: int) -> DataFrame:
     # tables, as a filter or join right above would push its conditions down through, and multiply them by, all rounds
     drawn = keep(rows.select("shard", "slot", "source_no", "rank", "blocks", "slots", "over_before"), "drawn", BY_ROUND)
     fits = drawn.filter("rank < slots").select("shard", "slot", "source_no", "rank", "blocks")
-    moved = drawn.filter("rank >= slots").select("shard", "slot", (F.col("over_before") + F.col("rank") - F.col("slots")).alias("e"), F.lit(excess).cast("long").alias("excess"))
+    moved = drawn.filter("rank >= slots").select("shard", "slot", (F.col("over_before") + F.col("rank") - F.col("slots")).alias("e"), F.lit(max(1, excess)).cast("long").alias("excess"))
     moved = keep(permuted(moved, "e", "excess", [], SEED + 4), "moved", BY_ROUND)
     lacking = totals.select("source_no", "blocks", "drawn", F.col("lack_before").alias("lo"), F.col("lack").alias("length"))
     moved_to = _owners(moved, "e", lacking, excess).select("shard", "slot", "source_no", (F.col("drawn") + F.col("e") - F.col("lo")).alias("rank"), "blocks")
