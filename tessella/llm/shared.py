@@ -19,6 +19,8 @@ from pyspark.sql.types import DataType
 SPACE = r"\x20\x09-\x0D"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+#: Bytes of a batch between Spark and a Python worker: with it a worker's memory is bounded.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -40,8 +42,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def importable(spark: SparkSession) -> None:
-    """Ships this package to Python workers, once per application."""
+    """Ships this package to Python workers, once per application, and has the session send
+    them small batches, however long the texts are."""
     sc = spark.sparkContext
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     if any("tessella-package" in f for f in sc.listFiles):
         return
     archive = f"{tempfile.mkdtemp()}/tessella-package.zip"  # the driver serves it to executors from here
