@@ -25,23 +25,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components, joined_components
-from tessella.llm.shared import arrow_map, joined_bytes, keep, mixed, release, slices, table
+from tessella.llm.shared import SPACE, arrow_map, joined_bytes, keep, mixed, release, slices, table, text_of, unused
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction of whole numbers: 75 of 100.
 PART, WHOLE = 75, 100
 #: Of each set's size: what prefixes have beyond the first quarter, and what rows may leave out.
 LONGER, LEFT_OUT = 10, 3.75
-FAN, BUCKET_ROWS = 16, 2048
+#: Rows, and shingles of all of them, that one task compares at once, if there is more than one row.
+FAN, BUCKET_ROWS, BUCKET_SHINGLES = 16, 2048, 4 << 20
 #: Step 2: its turns, rows of each component, and rows of the buckets it is for; ratio of sizes of a band.
 TURNS, PICKED, MANY, BAND = 2, 6, 64, 3.2
 SAMPLE_ROWS, HOT_IN_SAMPLE, HOT_AT_MOST = 5_000, 10, 200_000
@@ -123,9 +125,9 @@ def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return cold[:p] if len(cold) >= p else np.concatenate((cold, tokens[is_hot][: p - len(cold)]))
 
 
-def links_of(overlap, n, m):
+def links_of(overlap, n, m, part: int = PART):
     """Whether sets of ``n`` and ``m`` with that overlap are similar enough."""
-    return WHOLE * overlap >= PART * (n + m - overlap)
+    return WHOLE * overlap >= part * (n + m - overlap)
 
 
 class SignatureTree:
@@ -403,81 +405,128 @@ def _summaries(docs: DataFrame, hot: Broadcast) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n long, key1 long, key2 long, prefix array<long>")
 
 
-def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = batch["text"].tolist()
-        for lo, hi in slices(texts):
-            sets = shingle_sets(texts[lo:hi])
-            yield pd.DataFrame({"rep": batch["rep"].iloc[lo:hi].array, "tokens": [t.tobytes() for t in sets], **{k: batch[k].iloc[lo:hi].array for k in batch.columns if k not in ("rep", "text")}})
+def _whole_sets(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in slices(texts):
+                sets = shingle_sets(texts[lo:hi], k)
+                yield pd.DataFrame({"rep": batch["rep"].iloc[lo:hi].array, "tokens": [t.tobytes() for t in sets], **{c: batch[c].iloc[lo:hi].array for c in batch.columns if c not in ("rep", "text")}})
 
+    return run
 
-def _bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in _whole_sets(batches):
-        sets = [np.frombuffer(t, np.uint64) for t in batch["tokens"]]
-        yield pd.DataFrame({"rep": batch["rep"], "n": [len(t) for t in sets], "bitmap": [bitmap(t, bits_for(len(t))).tobytes() for t in sets]})
 
+def _bitmaps(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _whole_sets(k)(batches):
+            sets = [np.frombuffer(t, np.uint64) for t in batch["tokens"]]
+            yield pd.DataFrame({"rep": batch["rep"], "n": [len(t) for t in sets], "bitmap": [bitmap(t, bits_for(len(t))).tobytes() for t in sets]})
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        hit = [links_of(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), len(x) // 8, len(y) // 8) for x, y in zip(batch["tokens_a"], batch["tokens_b"])]
-        yield batch[["a", "b"]][np.array(hit, bool)]
+    return run
+
+
+def _verified(part: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hit = [links_of(len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)), len(x) // 8, len(y) // 8, part) for x, y in zip(batch["tokens_a"], batch["tokens_b"])]
+            yield batch[["a", "b"]][np.array(hit, bool)]
 
+    return run
 
-def _with_bitmaps(own: DataFrame, placed: DataFrame) -> DataFrame:
-    marks = own.join(placed.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_bitmaps, "rep long, n long, bitmap binary")
+
+def _with_bitmaps(own: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    marks = own.join(placed.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_bitmaps(k), "rep long, n long, bitmap binary")
     return placed.join(marks, "rep")
 
 
 def _open(buckets: DataFrame, components: DataFrame, least: int) -> DataFrame:
-    """(rep, h, band, component, components) of the buckets' bands of sizes that have ``least`` or
+    """(rep, size, h, band, component, components) of the buckets' bands of sizes that have ``least`` or
     more rows, of two or more components. Rows at a band's edge are in the next band too. Of bands with the same
     rows under several shingles one stays."""
     edge = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
     banded = F.explode(F.array_distinct(F.array(edge(F.col("n")), edge(F.col("n") * (WHOLE / PART + 0.01))))).alias("band")
-    placed = buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", "h", banded, F.coalesce("component", "rep").alias("component"))
+    placed = buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").alias("size"), "h", banded, F.coalesce("component", "rep").alias("component"))
     rows = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
     several = placed.groupBy("h", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("components"), *rows).filter((F.col("m") >= least) & (F.col("low") != F.col("high")))
-    one = several.groupBy("band", "m", "x", "y").agg(F.min("h").alias("of"), F.min("components").alias("components")).withColumnRenamed("band", "in")
-    return placed.join(one, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("rep", "h", "band", "component", "components")
+    one = keep(several.groupBy("band", "m", "x", "y").agg(F.min("h").alias("of"), F.min("components").alias("components")).withColumnRenamed("band", "in"), "several")
+    return placed.join(one, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("rep", "size", "h", "band", "component", "components")
+
+
+def _blocks(rows: str, shingles: str) -> Column:
+    """Blocks to deal rows to, so that none has many rows or shingles."""
+    return F.greatest(F.floor(F.col(rows) / BUCKET_ROWS), F.floor(F.col(shingles) / BUCKET_SHINGLES)).cast("long") + 1
 
 
-def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int) -> DataFrame:
+def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int, k: int) -> DataFrame:
     """(a, b): per bucket pairs that would join its components, of a few rows of each."""
     picks = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PICKED + i)).alias("x"), "rep"))["rep"] for i in range(PICKED)]
     salt = F.pmod(F.xxhash64("component", F.lit(turn)), F.expr(f"components div {BUCKET_ROWS} + 1")).alias("salt")
     few = left.groupBy("h", "band", "component", "components").agg(F.array_distinct(F.array(*picks)).alias("reps")).select("h", "band", "component", salt, F.explode("reps").alias("rep"))
     few = keep(few, "picked")
-    met = _with_bitmaps(own, few).repartition(width, "h", "band", "salt").sortWithinPartitions("h", "band", "salt")
+    met = _with_bitmaps(own, few, k).repartition(width, "h", "band", "salt").sortWithinPartitions("h", "band", "salt")
     out = keep(met.mapInPandas(_spanning_pairs, "a long, b long").distinct(), "likely")
     release(few)
     return out
 
 
-def _all_candidates(own: DataFrame, left: DataFrame, width: int) -> DataFrame:
+def _all_candidates(own: DataFrame, left: DataFrame, width: int, k: int) -> DataFrame:
     """(a, b): per bucket all pairs of rows of different components that the bitmaps leave.
 
     The rows of a bucket's largest component and all others are dealt to blocks; a block of others
     meets every block, blocks of the largest component don't meet each other.
     """
-    per = left.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("m"))
-    per = per.groupBy("h", "band").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"))
-    per = keep(per.select(F.col("h").alias("of"), F.col("band").alias("in"), F.col("top.component").alias("top"), F.expr(f"(all - top.m) div {BUCKET_ROWS} + 1").alias("others"), F.expr(f"top.m div {BUCKET_ROWS} + 1").alias("tops")), "bands")
+    per = left.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    per = per.groupBy("h", "band").agg(F.sum("m").alias("all"), F.sum("s").alias("sizes"), F.max(F.struct("m", "component", "s")).alias("top"))
+    per = per.select(F.col("h").alias("of"), F.col("band").alias("in"), F.col("top.component").alias("top"), F.col("top.m").alias("m"), F.col("top.s").alias("s"), F.expr("all - top.m").alias("rest"), F.expr("sizes - top.s").alias("rest_s"))
+    per = keep(per.select("of", "in", "top", _blocks("rest", "rest_s").alias("others"), _blocks("m", "s").alias("tops")), "bands")
     rows = left.join(per, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).withColumn("major", F.col("component") == F.col("top"))
     rows = rows.withColumn("block", F.when(F.col("major"), F.col("others") + F.pmod(F.xxhash64("rep"), "tops")).otherwise(F.pmod(F.xxhash64("rep"), "others")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("major"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))))
     rows = rows.select("rep", "h", "band", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("other") < F.col("block")).cast("int").alias("side"))
-    met = _with_bitmaps(own, rows).repartition(width, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
+    met = _with_bitmaps(own, rows, k).repartition(width, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
     out = keep(met.mapInPandas(_all_pairs, "a long, b long").distinct(), "candidates")
     release(per)
     return out
 
 
-def _verify(own: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(own: DataFrame, pairs: DataFrame, k: int, part: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    tokens = keep(own.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_whole_sets, "rep long, tokens binary"), "tokens")
+    tokens = keep(own.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_whole_sets(k), "rep long, tokens binary"), "tokens")
     checked = pairs.join(tokens.withColumnsRenamed({"rep": "ra", "tokens": "tokens_a"}), F.col("a") == F.col("ra")).join(tokens.withColumnsRenamed({"rep": "rb", "tokens": "tokens_b"}), F.col("b") == F.col("rb"))
-    return checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified, "a long, b long")
+    return checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified(part), "a long, b long")
+
+
+def alike_buckets(meetings: DataFrame) -> DataFrame:
+    """Of buckets (rep, n, h) those with several rows; of buckets with exactly the same rows one."""
+    alike = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("size > 1")
+    alike = keep(alike.groupBy("size", "x", "y").agg(F.min("h").alias("bucket")).select("bucket"), "alike")
+    return meetings.join(alike, F.col("h") == F.col("bucket"), "left_semi")
+
+
+def joined_in_buckets(own: DataFrame, buckets: DataFrame, components: DataFrame, k: int = SHINGLE_WORDS, part: int = PART) -> DataFrame:
+    """``components`` after all links between rows of ``own`` (doc_id, text) that share a bucket
+    (rep, n, h): steps 2 and 3."""
+    width = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for turn in range(TURNS + 1):
+        left = keep(_open(buckets, components, 2 if turn == TURNS else MANY), "open")
+        if not left.head(1):
+            continue
+        tried = _all_candidates(own, left, width, k) if turn == TURNS else _likely_candidates(own, left, width, turn, k)
+        more = keep(_verify(own, tried, k, part), "found")
+        release(left, tried)
+        if more.head(1):
+            components = keep(joined_components(components, more), "components")
+    return components
+
+
+def named_rows(rows: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows (doc_id, n, key1, key2), whose classes are a table
+    of their own, so that Spark can split one with many rows."""
+    sets = classes.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("n").alias("size"), "rep")
+    members = rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "key1", "key2").join(sets, (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") == F.col("size")))
+    named = members.join(components, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return named.unionByName(rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -495,50 +544,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = spark.sparkContext.broadcast(np.sort(np.array([h for h, _ in found_hot], np.int64).view(np.uint64)))
     hot_rows = F.broadcast(spark.createDataFrame(found_hot, "hot_h long, hot_members long"))  # HOT_AT_MOST at most
     rows = keep(_summaries(own, hot), "sets")
-    linkable = rows.filter("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
+    classes = keep(rows.filter("n > 0 and doc_id is not null").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
     entries = classes.select("rep", "n", F.explode("prefix").alias("h")).join(hot_rows, F.col("h") == F.col("hot_h"), "left")
-    # hot shingles have many rows anyway; of the others no task gets more than a few in a thousand rows
-    cold = entries.filter("hot_h is null").select("rep", "n", "h", F.count(F.lit(1)).over(Window.partitionBy("h")).alias("members")).filter("members > 1")
-    shared = cold.unionByName(entries.filter("hot_h is not null").select("rep", "n", "h", F.col("hot_members").alias("members")))
+    cold = entries.filter("hot_h is null").select("rep", "n", "h")
+    counted = keep(cold.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select(F.col("h").alias("of"), "members"), "counted")
+    met = cold.join(counted, F.col("h") == F.col("of")).select("rep", "n", "h", "members")
+    shared = met.unionByName(entries.filter("hot_h is not null").select("rep", "n", "h", F.col("hot_members").alias("members")))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("members"), "h"))
     left_out = F.floor(F.col("n") * LEFT_OUT / WHOLE)
     meetings = keep(shared.withColumn("place", place - left_out).filter("place > 0").select("rep", "n", "h", "members"), "meetings")
-    # shingles that exactly the same rows have are one bucket
-    alike = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("size > 1")
-    alike = alike.groupBy("size", "x", "y").agg(F.min("h").alias("bucket")).select("bucket")
-    buckets = keep(meetings.join(alike, F.col("h") == F.col("bucket"), "left_semi"), "buckets")
+    buckets = keep(alike_buckets(meetings), "buckets")
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = buckets.groupBy("rep").agg(F.max(F.struct("members", "h")).alias("best")).select("rep", "best.h", F.pmod(F.xxhash64("rep"), F.expr(f"best.members div {BUCKET_ROWS} + 1")).alias("salt"))
-    named = named.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))).filter("rows > 1").select("rep", "h", "salt")
-    shipped = own.join(named, F.col("doc_id") == F.col("rep")).select("rep", "text", "h", "salt").mapInPandas(_whole_sets, "rep long, tokens binary, h long, salt long")
+    best = keep(buckets.groupBy("rep", "n").agg(F.max(F.struct("members", "h")).alias("best")).select("rep", "n", F.col("best.h").alias("h")), "best")
+    dealt = keep(best.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("s")).filter("rows > 1").select(F.col("h").alias("of"), _blocks("rows", "s").alias("blocks")), "dealt")
+    named = best.join(dealt, F.col("h") == F.col("of")).select("rep", "h", F.pmod(F.xxhash64("rep"), "blocks").alias("salt"))
+    shipped = own.join(named, F.col("doc_id") == F.col("rep")).select("rep", "text", "h", "salt").mapInPandas(_whole_sets(SHINGLE_WORDS), "rep long, tokens binary, h long, salt long")
     links = keep(shipped.repartition(width, "h", "salt").sortWithinPartitions("h", "salt").mapInPandas(_link_buckets, "a long, b long").distinct(), "found")
-    release(meetings)
-    components = keep(connected_components(links), "components")
-    for turn in range(TURNS + 1):
-        left = keep(_open(buckets, components, 2 if turn == TURNS else MANY), "open")
-        if not left.head(1):
-            continue
-        tried = _all_candidates(own, left, width) if turn == TURNS else _likely_candidates(own, left, width, turn)
-        more = keep(_verify(own, tried), "found")
-        release(left, tried)
-        if more.head(1):
-            components = keep(joined_components(components, more), "components")
-    final = components
-
-    members = linkable.select("doc_id", "n", "key1", "key2").join(classes.select(F.col("key1").alias("k1"), F.col("key2").alias("k2"), F.col("n").alias("size"), "rep"), (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") == F.col("size")))
-    named_rows = members.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    rest = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named_rows.unionByName(rest)
+    release(meetings, counted, best, dealt)
+    components = joined_in_buckets(own, buckets, keep(connected_components(links), "components"))
+    return named_rows(rows, classes, components)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, and rows without id; of
-    rows that share such an id one stays."""
-    leaders = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("leader")).distinct()
-    with_id = docs.join(leaders, docs["doc_id"] == leaders["leader"], "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id is null"))
+    """The rows of ``docs`` whose doc_id is their component's smallest, and rows without id. Of rows
+    that share such an id and the sequence of lower-cased words one stays; unlike texts under one id
+    all stay."""
+    leader, row = unused(docs, "leader"), unused(docs, "row")
+    leaders = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(leader)).distinct()
+    words = F.trim(F.regexp_replace(F.translate(text_of("text"), ascii_uppercase, ascii_lowercase), f"[{SPACE}]+", " "))
+    own = docs.filter("doc_id is not null").withColumn(row, F.struct(F.col("doc_id").cast("long"), F.sha2(words, 256)))
+    return own.join(leaders, own["doc_id"] == leaders[leader], "left_semi").dropDuplicates([row]).drop(row).unionByName(docs.filter("doc_id is null"))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import byte_bpe, byte_cnn, exact_dedup, filter_audit, jaccard_join, line_dedup, matroska, mixing, pitman_yor, suffix_dedup, warc, whitening
+from tessella.llm import byte_bpe, byte_cnn, exact_dedup, filter_audit, jaccard_join, line_dedup, matroska, minhash_dedup, mixing, pitman_yor, suffix_dedup, warc, whitening
 from tessella.llm.shared import importable
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_cnn_quality": byte_cnn.op8_query,
     "op9_matroska": matroska.op9_query,
     "op10_byte_bpe": byte_bpe.op10_query,
+    "op11_minhash_dedup": minhash_dedup.op11_query,
     "op12_filter_audit": filter_audit.op12_query,
     "op13_whitening": whitening.op13_query,
 }
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op6_warc_round_trip": warc.OP6_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
+    "op11_minhash_dedup": minhash_dedup.OP11_SQL,
     "op12_filter_audit": filter_audit.OP12_SQL,
 }
 

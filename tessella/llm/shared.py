@@ -83,6 +83,14 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str | Column) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

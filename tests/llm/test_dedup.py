@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup
+from tessella.llm import exact_dedup, jaccard_join, line_dedup, minhash_dedup, suffix_dedup
 
 AWKWARD = [None, "", " ", "\n\t", "word", "Word", "a b c d e", "a b c d e", "a  b c\td e", "é ü 漢字 🙂 x y", "z" * 3000]
 
@@ -107,11 +108,11 @@ def test_exact_edge_cases(documents):
 # --- op7 ---------------------------------------------------------------------------------------
 
 
-def components_by_force(texts):
+def components_by_force(texts, k=5, part=75):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
     up = list(range(len(texts)))
 
     def root(i):
@@ -120,7 +121,7 @@ def components_by_force(texts):
         return i
 
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= part * len(sets[a] | sets[b]):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
@@ -170,6 +171,55 @@ def test_jaccard_edge_cases(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 6]
 
 
+def test_unlike_texts_under_one_id_stay(documents):
+    rows = documents(["a b c d e f g h", "totally other words are here", "A b c d  e f g h", "totally other words are here"], ids=[1, 1, 1, 2])
+    kept = jaccard_join.drop_near_copies(rows.withColumnRenamed("h", "leader").withColumnRenamed("n", "row"))
+    assert sorted((r["doc_id"], r["text"].split()[0].lower()) for r in kept.collect()) == [(1, "a"), (1, "totally")]
+    assert kept.columns == ["doc_id", "text", "source", "key", "leader", "row"]
+
+
+# --- op11 --------------------------------------------------------------------------------------
+
+
+def test_minhash_components(documents):
+    texts = near_copies()
+    rows = minhash_dedup.minhash_components(documents(texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == components_by_force(texts, 4, 80)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+
+
+def test_minhash_in_large_groups(documents, monkeypatch):
+    """Links that the pivots don't make are found in the buckets, by blocks."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(minhash_dedup, "pivot_pairs", lambda buckets: buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    rng = np.random.default_rng(2)
+    base, texts = passage(rng, 120).split(), []
+    for i in range(120):
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"w{i}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.minhash_components(documents(texts)).collect()}
+    assert got == components_by_force(texts, 4, 80)
+
+
+def test_half_keys_agree_as_often_as_sets():
+    """A half key of three minima is shared with probability J cubed."""
+    rng, hits, tries = np.random.default_rng(8), 0, 0
+    for _ in range(120):
+        pool = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
+        a, b = minhash_dedup.half_keys([pool[:108], pool[12:]])
+        hits, tries = hits + int((a == b).sum()), tries + len(a)
+    assert abs(hits / tries - 0.8**3) < 0.03
+
+
+def test_minhash_edge_cases(documents):
+    assert minhash_dedup.minhash_components(documents([])).count() == 0
+    rows = minhash_dedup.minhash_components(documents(["a b", "A b", "a  b", None, "", " ", "x " * 300_000], ids=[None, 5, 5, 6, 7, 8, 9])).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in rows) == [(0, 1, None, True), (5, 1, 5, True), (5, 1, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 1, 9, True)]
+    kept = minhash_dedup.drop_copies(documents(["a b", "a b", "A b", "c", None], ids=[3, 5, 9, 3, None])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (3, "a b"), (3, "c")]
+
+
 def test_signature_trees_keep_similar_pairs():
     rng = np.random.default_rng(4)
     pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, line_dedup, matroska, mixing, pitman_yor, suffix_dedup, warc
+from tessella.llm import byte_bpe, byte_cnn, exact_dedup, jaccard_join, line_dedup, matroska, minhash_dedup, mixing, pitman_yor, suffix_dedup, warc
 
 BIG = 2**60 + 1
 TEXTS = ["one text of six words here"] * 2 + ["another text", "another text", None, "y" * 300, "y" * 300]
@@ -25,6 +25,7 @@ PER_ROW = {
     "op9": lambda docs: matroska.media_digest(matroska.mux_texts(docs)),
     "op10": byte_bpe.bpe_digest,
     "op10 ids": lambda docs: byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs)),
+    "op11": minhash_dedup.minhash_components,
     "rejected": lambda docs: byte_cnn.drop_rejected(docs, network(), 0.0),
 }
 
