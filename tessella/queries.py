@@ -431,9 +431,9 @@ def step_sample(spark, folder):
     return P.stepped(table(spark, folder, "events").select("ts", "event_id", "event_type"), "ts", 7, F.col("event_type") == "click").select("event_id")
 
 
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events) WHERE place = 1234")
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events) WHERE place = 123")
 def row_by_index(spark, folder):
-    return P.row_at(table(spark, folder, "events").select("ts", "event_id"), "ts", 1234).select("event_id")
+    return P.row_at(table(spark, folder, "events").select("ts", "event_id"), "ts", 123).select("event_id")
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch, count(*) AS n, min(event_id) AS first_id FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-03', DATE '2024-01-07', DATE '2024-01-09') GROUP BY 1")
