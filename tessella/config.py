@@ -87,6 +87,7 @@ class Sequence:
     query_len: int = 5
     candidate_len: int = 6
     slide_step: int = 1
+    prefilter_step: int = 1
     top_k: int = 5
     band: int = 2
     min_coverage: int = 4

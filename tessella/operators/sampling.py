@@ -90,19 +90,20 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "pos") -> Dat
     """Adds positions from 0 in the order of columns, the same in every run (rows that agree in all
     of them are alike). Rows are sorted in ranges, whose sizes are summed first; never in one task."""
     placed = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()), "ordered")
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__in").alias("__low"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sizes = sizes.select(F.col("__part").alias("__p"), "__low", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    out = placed.join(F.broadcast(sizes), F.col("__part") == F.col("__p"))
-    return out.withColumn(name, F.col("__first") + F.col("__in") - F.col("__low")).drop("__part", "__p", "__in", "__low", "__first")
+    firsts, at = [], 0
+    for r in sorted(placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__in").alias("low")).collect()):  # a row per range
+        firsts.append((r["__part"], at - r["low"]))
+        at += r["n"]
+    out = placed.join(F.broadcast(df.sparkSession.createDataFrame(firsts, "__p int, __first long")), F.col("__part") == F.col("__p"))
+    return out.withColumn(name, F.col("__first") + F.col("__in")).drop("__part", "__p", "__in", "__first")
 
 
 def row_at(df: DataFrame, time: str, index: int) -> DataFrame:
     """The row at ``index`` from 0 in the order of time; raises ValueError if there is none."""
-    row = with_position(df.filter(F.col(time).isNotNull()), [time, *[c for c in df.columns if c != time]], "__pos").filter(F.col("__pos") == index).drop("__pos")
-    if not row.head(1):
+    placed = settled(with_position(df.filter(F.col(time).isNotNull()), [time, *[c for c in df.columns if c != time]], "__pos").filter(F.col("__pos") == index).drop("__pos"), "row")
+    if not placed.head(1):
         raise ValueError(f"no row {index}")
-    return row
+    return placed
 
 
 def stepped(df: DataFrame, time: str, step: int, wanted: Column | None = None) -> DataFrame:

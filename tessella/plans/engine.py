@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from tessella.config import Config, feature_weights, weight_vector
 from tessella.functions.columns import features, in_range, numeric, renamed, require, time_column
 from tessella.functions.stats import covariance, weighted_inverse, with_percentile_rank
+from tessella.operators.blocks import numbered
 from tessella.operators.continuity import apply_continuity
 from tessella.operators.matching import gate_join, match_details, plan_points, scored, top_k
 from tessella.operators.models import Model, with_models
 from tessella.operators.sampling import daily_sample, random_window, row_at, with_position
-from tessella.operators.sequences import numbered, query_sequences, sequence_centers
+from tessella.operators.sequences import planned_sequences
+from tessella.sources.tables import settled
 
 
 class PlanningEngine:
@@ -131,10 +133,11 @@ class PlanningEngine:
             raise ValueError("no presets")
         return out
 
-    def plan_sequences(self, minutes: DataFrame, queries: Column, columns: Sequence[str] | None = None) -> DataFrame:
-        """Sequence plans for the rows that ``queries`` marks as a query's end."""
+    def plan_sequences(self, minutes: DataFrame, queries: Column, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+        """Sequence plans for the rows that ``queries`` marks as a query's end, a row each: those that
+        fail have a status that tells why. Series by ``keys``."""
         f = self.config.features
         time = time_column(minutes, self.config.time_col)
         center = list(columns or f.plan_center_cols)
-        grid = numbered(minutes, time).withColumn("load", F.col(f.load_col))
-        return sequence_centers(query_sequences(grid, f.similarity, center, self.config.sequence, queries, time), center)
+        grid = settled(numbered(minutes, time, keys).withColumn("load", F.col(f.load_col)), "grid")
+        return planned_sequences(grid, f.similarity, center, self.config.sequence, queries, time, keys=keys)

@@ -514,22 +514,23 @@ def load_runs(spark, folder):
     return rounded(D.load_runs(grid, F.abs(F.col("load") - 50) <= 15, min_length=3).select(F.col("first_rn").cast("long").alias("first_rn"), F.col("last_rn").cast("long").alias("last_rn"), "length", "mean_load"))
 
 
-def sequence_sql() -> str:
-    q, m, t = SEQUENCE.query_len, SEQUENCE.candidate_len, SEQUENCE.load_threshold
+def sequence_sql(config: Sequence = SEQUENCE, grid: str = H, key: str = "true", every: int = 20) -> str:
+    """Candidates (c) of the queries of a numbered grid (n), of series by ``key``."""
+    q, m, t = config.query_len, config.candidate_len, config.load_threshold
     vector = "[" + ", ".join(f"coalesce({k} * {w!r}::DOUBLE, 0)" for k, w in SCALES.items()) + "]"
-    parts = [H, f"""w AS (SELECT *, list({vector}) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND {q - 1} FOLLOWING) AS short, list({vector}) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING) AS long,
- list({vector}) OVER b AS query, avg(load) OVER b AS mean_load, min(rn) OVER b AS first_rn, min(load) OVER a AS low, max(load) OVER a AS high, count(load) OVER a AS loads, lag(load) OVER (ORDER BY rn) AS before
- FROM n WINDOW b AS (ORDER BY rn ROWS BETWEEN {q - 1} PRECEDING AND CURRENT ROW), a AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND {q - 1} FOLLOWING))""",
-    f"j AS (SELECT e.rn AS qid, e.ts AS q_ts, e.query, e.mean_load AS q_load, e.first_rn AS q_first, r.* EXCLUDE (query, mean_load, first_rn) FROM w e JOIN w r ON e.rn % 20 = 0 AND len(e.query) = {q} AND r.rn < e.first_rn AND r.ts >= e.ts - INTERVAL 3 DAY)",
-    f"k AS (SELECT *, min(rn) OVER p AS ref_first, count(*) OVER p AS ref_rows, bool_and(abs(load - q_load) <= {t}) OVER p AS all_near FROM j WINDOW p AS (PARTITION BY qid))",
-    f"l AS (SELECT *, rn + {q} <= q_first AND loads = {q} AND abs(low - q_load) <= {t} AND abs(high - q_load) <= {t} AS in_run FROM k)",
-    f"u AS (SELECT *, in_run AND (rn = ref_first OR abs(before - q_load) > {t}) AS run_start, in_run AND (SELECT avg(1 / (1 + power(list_distance(query[i], short[i]), 2))) FROM range(1, {q} + 1) g(i)) >= {SEQUENCE.sim_threshold} AS passes FROM l)",
-    "o AS (SELECT *, bool_or(in_run) OVER (PARTITION BY qid) AS any_run, bool_or(passes) OVER (PARTITION BY qid) AS any_pass FROM u)",
-    f"c AS (SELECT qid, q_ts, query, rn AS start, long AS candidate FROM o WHERE ref_rows >= {m} AND rn + {m} <= q_first AND CASE WHEN NOT any_run OR all_near THEN true WHEN any_pass THEN passes ELSE run_start END)"]
+    parts = [grid, f"""w AS (SELECT *, list({vector}) OVER (PARTITION BY {key} ORDER BY rn ROWS BETWEEN CURRENT ROW AND {q - 1} FOLLOWING) AS short, list({vector}) OVER (PARTITION BY {key} ORDER BY rn ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING) AS long,
+ list({vector}) OVER b AS query, avg(load) OVER b AS mean_load, min(rn) OVER b AS first_rn, min(load) OVER a AS low, max(load) OVER a AS high, count(load) OVER a AS loads
+ FROM n WINDOW b AS (PARTITION BY {key} ORDER BY rn ROWS BETWEEN {q - 1} PRECEDING AND CURRENT ROW), a AS (PARTITION BY {key} ORDER BY rn ROWS BETWEEN CURRENT ROW AND {q - 1} FOLLOWING))""",
+    f"j AS (SELECT e.rn AS qid, e.ts AS q_ts, e.query, e.mean_load AS q_load, e.first_rn AS q_first, r.* EXCLUDE (query, mean_load, first_rn) FROM w e JOIN w r ON e.rn % {every} = 0 AND len(e.query) = {q} AND r.rn < e.first_rn AND r.ts >= e.ts - INTERVAL 3 DAY AND ({'true' if key == 'true' else f'e.{key} = r.{key}'}))",
+    f"k AS (SELECT *, min(rn) OVER p AS ref_first, count(*) OVER p AS ref_rows, bool_and(abs(load - q_load) <= {t}) OVER p AS all_near, max(CASE WHEN abs(load - q_load) <= {t} THEN NULL ELSE rn END) OVER (PARTITION BY {key}, qid ORDER BY rn) AS last_far FROM j WINDOW p AS (PARTITION BY {key}, qid))",
+    f"l AS (SELECT *, rn - coalesce(last_far + 1, ref_first) AS into_run FROM k), v AS (SELECT *, rn + {q} <= q_first AND loads = {q} AND abs(low - q_load) <= {t} AND abs(high - q_load) <= {t} AND into_run % {config.prefilter_step} = 0 AS in_run FROM l)",
+    f"u AS (SELECT *, in_run AND into_run = 0 AS run_start, in_run AND (SELECT avg(1 / (1 + power(list_distance(query[i], short[i]), 2))) FROM range(1, {q} + 1) g(i)) >= {config.sim_threshold} AS passes FROM v)",
+    f"o AS (SELECT *, bool_or(in_run) OVER (PARTITION BY {key}, qid) AS any_run, bool_or(passes) OVER (PARTITION BY {key}, qid) AS any_pass FROM u)",
+    f"c AS (SELECT * EXCLUDE (rn, long), rn AS start, long AS candidate FROM o WHERE ref_rows >= {m} AND rn + {m} <= q_first AND CASE WHEN NOT any_run OR all_near THEN (rn - ref_first) % {config.slide_step} = 0 WHEN any_pass THEN passes ELSE run_start END)"]
     return ", ".join(parts)
 
 
-def warp_sql(source: str = "c") -> str:
+def warp_sql(source: str = "c", more: str = "") -> str:
     """The alignment, cell after cell, each as a further step."""
     q, m, band = SEQUENCE.query_len, SEQUENCE.candidate_len, max(SEQUENCE.band, 1)
     steps, last = [], source
@@ -547,7 +548,7 @@ def warp_sql(source: str = "c") -> str:
         steps.append(f"{name} AS (SELECT *, {c} + {d} AS c{i}_{j}, {s} + 1 / (1 + {d} * {d}) AS s{i}_{j}, {n} + 1 AS n{i}_{j} FROM {last})")
         last = name
     end = f"{q - 1}_{m - 1}"
-    steps.append(f"al AS (SELECT qid, q_ts, start, c{end} AS path_cost, s{end} / n{end} AS similarity, n{end} AS path_length FROM {last})")
+    steps.append(f"al AS (SELECT qid, q_ts, start, {more}c{end} AS path_cost, s{end} / n{end} AS similarity, n{end} AS path_length FROM {last})")
     return ", ".join(steps)
 
 
@@ -573,6 +574,33 @@ def dtw_topk(spark, folder):
     return rounded(D.sequence_centers(ranked_, ["load"]).select(F.col("qid").cast("long").alias("qid"), "topk_count", "s_topk_mean", "path_cost", "n_candidates", "time_offset_days", "plan_load"))
 
 
+STEPPED = Sequence(ref_days=3.0, load_threshold=8.0, sim_threshold=0.35, prefilter_step=2, slide_step=3)
+
+
+@query(f"WITH {sequence_sql(STEPPED)} SELECT qid, start FROM c")
+def stepped_windows(spark, folder):
+    """Windows every second row of a run of near loads, every third row where there is no run."""
+    c = D.candidates(settled(scaled_grid(spark, folder), "grid"), KINDS, STEPPED, F.col("rn") % 20 == 0)
+    return c.select(F.col("qid").cast("long").alias("qid"), F.col("start").cast("long").alias("start"))
+
+
+KEYED = "h AS (SELECT user_id % 3 AS series, date_trunc('hour', ts) AS ts, avg(value) AS load, " + ", ".join(f"avg(CASE WHEN event_type = '{k}' THEN value END) AS {k}" for k in KINDS) + " FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM h)"
+
+
+@query(f"""WITH {sequence_sql(STEPPED, KEYED, "series", 9)}, {warp_sql(more="series, ")}, rk AS (SELECT *, count(*) OVER (PARTITION BY series, qid) AS n_candidates, row_number() OVER (PARTITION BY series, qid ORDER BY similarity DESC, start) AS rank FROM al QUALIFY rank <= 5),
+la AS (SELECT rk.*, n.load FROM rk JOIN n ON n.rn = start + {STEPPED.candidate_len - 1} AND n.series = rk.series),
+g AS (SELECT series, qid, count(*) AS topk_count, max(n_candidates) AS n_candidates, round(avg(similarity), 6) AS s_topk_mean, round(sum(load * greatest(similarity, 0.001)) / sum(greatest(similarity, 0.001)), 6) AS plan_load FROM la GROUP BY series, qid),
+a AS (SELECT e.series, e.rn AS qid, (SELECT count(*) FROM n r WHERE r.series = e.series AND r.rn <= e.rn AND r.ts >= e.ts - INTERVAL 3 DAY) AS n_rows FROM n e WHERE e.rn % 9 = 0)
+SELECT series, qid, coalesce(topk_count, 0) AS topk_count, n_candidates, s_topk_mean, plan_load, CASE WHEN topk_count IS NOT NULL THEN 'sequence_matched' WHEN n_rows < {STEPPED.query_len + STEPPED.candidate_len} THEN 'failed:too_few_rows' ELSE 'failed:no_window' END AS match_status FROM a LEFT JOIN g USING (series, qid)""")
+def keyed_sequences(spark, folder):
+    """Three series planned at once; a query that fails is a row that tells why."""
+    found = [F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in KINDS]
+    events = table(spark, folder, "events").select((F.col("user_id") % 3).alias("series"), F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts"), "event_type", "value")
+    grid = settled(D.numbered(events.groupBy("series", "ts").agg(F.avg("value").alias("load"), *found), "ts", ["series"]).withColumns({k: F.col(k) * w for k, w in SCALES.items()}), "grid")
+    out = D.planned_sequences(grid, KINDS, ["load"], STEPPED, F.col("rn") % 9 == 0, keys=["series"])
+    return rounded(out.select("series", F.col("qid").cast("long").alias("qid"), "topk_count", "n_candidates", "s_topk_mean", "plan_load", "match_status"))
+
+
 @query("""WITH e AS (SELECT event_id, ts, value FROM events) SELECT q.event_id AS qid, count(*) AS n_rows, round(sum(r.value), 4) AS sum_value FROM e q JOIN e r ON q.event_id % 20 = 0 AND r.ts >= q.ts - INTERVAL 3 HOUR AND r.ts <= q.ts GROUP BY q.event_id""")
 def trailing_range_join(spark, folder):
     """Rows of the three hours up to each query's time: both sides meet in hour buckets."""
