@@ -44,6 +44,8 @@ PART, WHOLE = 75, 100
 LONGER, LEFT_OUT = 10, 3.75
 #: Rows, and shingles of all of them, that one task compares at once, if there is more than one row.
 FAN, BUCKET_ROWS, BUCKET_SHINGLES = 16, 2048, 4 << 20
+#: Characters hashed at once, with some 50 bytes of arrays each, and bytes of bitmaps compared at once.
+AT_ONCE, COMPARED_BYTES = 1 << 19, 8 << 20
 #: Step 2: its turns, rows of each component, and rows of the buckets it is for; ratio of sizes of a band.
 TURNS, PICKED, MANY, BAND = 2, 6, 64, 3.2
 SAMPLE_ROWS, HOT_IN_SAMPLE, HOT_AT_MOST = 5_000, 10, 200_000
@@ -88,7 +90,7 @@ def shingle_sets(texts, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's ``k``-word shingles; of fewer words the whole
     sequence is one, of none the set is empty."""
     out: list[np.ndarray] = []
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, AT_ONCE):
         words, counts = word_hashes(texts[lo:hi])
         rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for j in range(k):
@@ -170,8 +172,9 @@ class SignatureTree:
         ok = WHOLE * overlap >= part * (lo[a] + lo[b] - overlap)
         return a[ok], b[ok]
 
-    def pairs(self, part: int = PART, chunk: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of leaves a < b that the bounds leave, a chunk of node pairs at a time."""
+        chunk = max(FAN * FAN, min(1 << 14, COMPARED_BYTES // max(1, self.levels[0][0].shape[1] * 8)))
         top = len(self.levels) - 1
         a, b = np.triu_indices(len(self.levels[top][0]))
         stack = [(top, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)][::-1]
@@ -382,7 +385,7 @@ def _hot_shingles(spark: SparkSession, docs: DataFrame) -> list[tuple[int, int]]
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, AT_ONCE):
                 if found := shingle_sets(texts[lo:hi]):
                     h, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pd.DataFrame({"h": h.view(np.int64), "n": n})
@@ -394,7 +397,7 @@ def _hot_shingles(spark: SparkSession, docs: DataFrame) -> list[tuple[int, int]]
 def _summaries(docs: DataFrame, hot: Broadcast) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch["text"].to_pylist()
-        for lo, hi in slices(texts, 1 << 22):
+        for lo, hi in slices(texts, AT_ONCE):
             sets = shingle_sets(texts[lo:hi])
             key = [(np.bitwise_xor.reduce(mixed(s)).view(np.int64), np.add.reduce(mixed(s ^ _BASE)).view(np.int64)) if len(s) else (0, 0) for s in sets]
             yield {
@@ -409,7 +412,7 @@ def _whole_sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, AT_ONCE):
                 sets = shingle_sets(texts[lo:hi], k)
                 yield pd.DataFrame({"rep": batch["rep"].iloc[lo:hi].array, "tokens": [t.tobytes() for t in sets], **{c: batch[c].iloc[lo:hi].array for c in batch.columns if c not in ("rep", "text")}})
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.jaccard_join import _BASE, WHOLE, _verify, alike_buckets, joined_in_buckets, named_rows, shingle_sets
+from tessella.llm.jaccard_join import _BASE, AT_ONCE, WHOLE, _verify, alike_buckets, joined_in_buckets, named_rows, shingle_sets
 from tessella.llm.shared import arrow_map, keep, mixed, release, slices, table
 
 SHINGLE_WORDS, PART = 4, 80
@@ -58,7 +58,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = batch["text"].to_pylist()
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, AT_ONCE):
             sets = shingle_sets(texts[lo:hi], SHINGLE_WORDS)
             key = [(np.bitwise_xor.reduce(mixed(s)).view(np.int64), np.add.reduce(mixed(s ^ _BASE)).view(np.int64)) if len(s) else (0, 0) for s in sets]
             full = [s for s in sets if len(s)]
@@ -82,11 +82,13 @@ def table_keys(classes: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b): each row with the pivot of each of its buckets, if their sizes allow a link. Pivots
-    are the smallest by a hash of the row, so a row mostly has one and the same."""
+    """(a, b): each row with the pivot that it shares most buckets with, if their sizes allow a link.
+    A bucket's pivot is its smallest row by a hash, so that most rows of a group have the same one."""
     pivots = keep(buckets.groupBy("h").agg(F.min(F.struct(F.xxhash64("rep").alias("x"), "rep", "n")).alias("pivot")).select(F.col("h").alias("of"), F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("m")), "pivots")
     fits = (F.col("rep") != F.col("pivot")) & (WHOLE * F.col("n") >= PART * F.col("m")) & (WHOLE * F.col("m") >= PART * F.col("n"))
-    return buckets.join(pivots, F.col("h") == F.col("of")).filter(fits).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    met = buckets.join(pivots, F.col("h") == F.col("of")).filter(fits).groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    best = met.groupBy("rep").agg(F.max(F.struct("shared", "pivot"))["pivot"].alias("pivot"))
+    return best.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
