@@ -228,13 +228,13 @@ def _starts(limits: Sequence[float | None], max_gap: float | None):
     return scan
 
 
-def apply_continuity(df: DataFrame, time: str, columns: Sequence[str], config: Continuity, keys: Sequence[str] = ()) -> DataFrame:
+def apply_continuity(df: DataFrame, time: str, columns: Sequence[str], config: Continuity, keys: Sequence[str] = (), after: Sequence[str] = ()) -> DataFrame:
     """Per row reset, ``final_<column>``, continuity_status and limited_count.
 
     A row without any value passes as it is. After a gap, or without a valid row before, the
     values pass. Otherwise a value that is further than its limit from the last final value moves
-    by the limit only. Rows that share a time keep the order of their values; rows without a time
-    come first and are no gap's end.
+    by the limit only. Rows that share a time are in the order of the columns ``after``, then of their
+    values; rows without a time come first and are no gap's end.
 
     The recurrence is on final values, so it is a fold over time; but its rows' maps compose. The
     rows are sorted in ranges of series, time and values. Each range gives the composition of its
@@ -246,7 +246,7 @@ def apply_continuity(df: DataFrame, time: str, columns: Sequence[str], config: C
     rows = df.select(*keys, time, *[F.col(c).cast("double").alias(c) for c in columns], *others)
     limits = [config.rate_limits.get(c) if config.enable_rate_limit else None for c in columns]
     max_gap = config.max_gap_minutes * 60e6 if config.reset_on_time_gap else None
-    order = list(dict.fromkeys([*keys, time, *columns]))
+    order = list(dict.fromkeys([*keys, time, *after, *columns]))
     kept = StructType([*[StructField(f.name, f.dataType) for f in rows.schema.fields], StructField("__part", IntegerType()), StructField("__at", LongType()), StructField("__summary", BinaryType())])
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

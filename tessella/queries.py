@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.config import Continuity, Gate, Matching, Sequence
+from tessella.config import Config, Continuity, Features, Gate, Matching, Sequence
 from tessella.functions import columns as C
 from tessella.functions import stats as S
 from tessella.functions.similarity import cauchy, cosine01, squared_distance
@@ -22,6 +22,7 @@ from tessella.operators import residuals as R
 from tessella.operators import sampling as P
 from tessella.operators import sequences as D
 from tessella.plans import report
+from tessella.plans.engine import PlanningEngine
 from tessella.sources.tables import hourly_grid, order_store, scratch_path, settled, table
 
 FEATURES = ["f1", "f2", "f3", "f4", "f5"]
@@ -497,7 +498,9 @@ SELECT user_id, ts, round(value, 6) AS value, round(final_value, 6) AS final_val
 def stream_continuity(spark, folder):
     """The rate limit on a stream of each user's events, written as Parquet with a checkpoint."""
     from tessella.streaming.continuity import stream_continuity as on_stream
+    from tessella.streaming.continuity import use_state_store
 
+    use_state_store(spark)
     source = f"{folder}/events.parquet"
     files = spark.read.parquet(source)
     stream = spark.readStream.schema(files.schema).parquet(source if files.inputFiles()[0].rsplit("/", 1)[0].endswith(".parquet") else f"{folder}/events*.parquet")
@@ -508,6 +511,41 @@ def stream_continuity(spark, folder):
     return rounded(spark.read.schema(limited.schema).parquet(out))
 
 
+LIVE_GAP, LIVE_LIMIT = 1200, 4.0
+
+
+@query(f"""WITH RECURSIVE {V}, c AS (SELECT covar_samp(f1, f1) AS a0, covar_samp(f1, f2) AS b, covar_samp(f2, f2) AS d0 FROM v), k AS (SELECT a0 + 1e-6 * (a0 + d0) / 2 AS a, b, d0 + 1e-6 * (a0 + d0) / 2 AS d FROM c),
+m AS (SELECT 0.6 * d / (a * d - b * b) AS m11, -sqrt(0.6 * 0.4) * b / (a * d - b * b) AS m12, 0.4 * a / (a * d - b * b) AS m22 FROM k),
+q AS (SELECT user_id % 10 AS series, ts, 5000 * value AS load, 2 * value AS f1, 40000 + 200 * value AS f2 FROM events WHERE event_id % 20 = 0),
+p AS (SELECT q.series, q.ts, x.pos, x.f1, 1 / (1 + greatest(m11 * (q.f1 - x.f1) * (q.f1 - x.f1) + 2 * m12 * (q.f1 - x.f1) * (q.f2 - x.f2) + m22 * (q.f2 - x.f2) * (q.f2 - x.f2), 0)) AS s FROM q JOIN v x ON abs(q.load - x.load) <= 15000, m),
+t AS (SELECT *, row_number() OVER (PARTITION BY series, ts ORDER BY s DESC, pos) AS rank FROM p QUALIFY rank <= 5),
+g AS (SELECT series, ts, sum(f1 * greatest(s, 0.001)) / sum(greatest(s, 0.001)) AS plan FROM t GROUP BY series, ts), n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM g),
+r AS (SELECT series, rn, ts, plan, plan AS final, 'first_valid_point' AS status FROM n WHERE rn = 1 UNION ALL
+SELECT n.series, n.rn, n.ts, n.plan, CASE WHEN n.ts - r.ts <= INTERVAL {LIVE_GAP} MINUTE AND abs(n.plan - r.final) > {LIVE_LIMIT} THEN r.final + sign(n.plan - r.final) * {LIVE_LIMIT} ELSE n.plan END,
+  CASE WHEN n.ts - r.ts > INTERVAL {LIVE_GAP} MINUTE THEN 'time_gap_reset' WHEN abs(n.plan - r.final) > {LIVE_LIMIT} THEN 'limited' ELSE 'not_limited' END FROM n JOIN r ON n.series = r.series AND n.rn = r.rn + 1)
+SELECT q.series, q.ts, round(r.plan, 4) AS plan_f1, round(r.final, 4) AS final_plan_f1, coalesce(r.status, 'no_valid_center') AS continuity_status FROM q LEFT JOIN r USING (series, ts)""")
+def live_plans(spark, folder):
+    """Every twentieth event is a query row of one of ten series. They come as a stream of five files, a
+    file a batch, restarted after the second; each batch meets the store, and the limits go on."""
+    from tessella.streaming.plans import LivePlans
+
+    features = Features(raw=("f1", "f2"), weights={"f1": 0.6, "f2": 0.4}, plan_center_cols=("f1",))
+    how = Continuity(enable_rate_limit=True, rate_limits={"f1": LIVE_LIMIT}, max_gap_minutes=LIVE_GAP)
+    config = Config(features=features, gate=GATE, matching=Matching(enable_low_sim_fallback=False), continuity=how)
+    live = LivePlans(PlanningEngine(spark, config, order_store(spark, folder)), scratch_path(spark, "live"), "ts", ["series"])
+    value = F.col("value")
+    rows = table(spark, folder, "events").filter("event_id % 20 = 0").select((F.col("user_id") % 10).alias("series"), "ts", (5000 * value).alias("load"), (2 * value).alias("f1"), (40000 + 200 * value).alias("f2"))
+    part = F.floor(F.dayofyear("ts") / 6)
+    source, state = scratch_path(spark, "live-source"), scratch_path(spark, "live-state")
+    for i, number in enumerate(sorted(r["part"] for r in rows.select(part.alias("part")).distinct().collect())):  # a number per six days
+        rows.filter(part == number).coalesce(1).write.mode("append").parquet(source)
+        if i in (1, 5):
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            live.start(stream, state).awaitTermination()
+    live.start(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), state).awaitTermination()
+    return rounded(live.plans().select("series", "ts", "plan_f1", "final_plan_f1", "continuity_status"), 4)
+
+
 @query(f"WITH {H}, i AS (SELECT *, rn - row_number() OVER (ORDER BY rn) AS island FROM n WHERE abs(load - 50) <= 15) SELECT min(rn) AS first_rn, max(rn) AS last_rn, count(*) AS length, round(avg(load), 6) AS mean_load FROM i GROUP BY island HAVING count(*) >= 3")
 def load_runs(spark, folder):
     grid = D.numbered(hourly_grid(spark, folder), "ts")

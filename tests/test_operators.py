@@ -86,8 +86,9 @@ def test_rate_limit_equals_a_loop(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from tessella.streaming.continuity import stream_continuity
+    from tessella.streaming.continuity import stream_continuity, use_state_store
 
+    use_state_store(spark)
     start = datetime(2025, 1, 1)
     rows = [(k, start + timedelta(minutes=m), float(v)) for k in (0, 1) for m, v in zip((0, 1, 2, 3, 20, 21), (1, 9, 9, 2, 50, 40))]
     df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, v double")
