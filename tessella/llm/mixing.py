@@ -90,7 +90,7 @@ def _placed(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Each document's first word in its source's row of words."""
     chunks = max(64, math.ceil(sized.count() / ROWS_PER_CHUNK))
     numbered = sized.join(targets.select(F.col("source").alias("of_source"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(SEED).cast("long")), F.lit(chunks)))
+    numbered = numbered.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_key", F.lit(SEED).cast("long")), F.lit(chunks)))
     sums = numbered.groupBy("source_no", "chunk").agg(F.sum("size").alias("chunk_size"))
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source_no").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).alias("chunk_first"))

@@ -57,29 +57,42 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The inflated content of each gzip member of a stream that arrives in chunks."""
-    inflate, parts = zlib.decompressobj(31), []
+    """The inflated content of each gzip member of a stream that arrives in chunks; ValueError if it
+    ends inside a member, wherever that is."""
+    inflate, parts, begun = zlib.decompressobj(31), [], False
     for chunk in chunks:
         while chunk:
             parts.append(inflate.decompress(chunk))
-            chunk = b""
+            chunk, begun = b"", True
             if inflate.eof:
                 yield b"".join(parts)
-                chunk, inflate, parts = inflate.unused_data, zlib.decompressobj(31), []
-    if parts and any(parts):
+                chunk, inflate, parts, begun = inflate.unused_data, zlib.decompressobj(31), [], False
+    if begun:
         raise ValueError("the archive ends inside a gzip member")
 
 
+def sha1_hex(stated: str | None) -> str | None:
+    """The hex SHA-1 of a digest field in base 32 or hex; None for another algorithm, or none."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
 def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bool]]:
     """(header fields with lower-case names, block, whether framing and block digest hold)."""
     for raw in members(chunks):
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        size = int(fields.get("content-length", -1))
+        size = int(n) if re.fullmatch(r"\d+", n := fields.get("content-length", "")) else -1
         block = rest[: max(0, size)]
         framed = lines[0].startswith("WARC/") and len(block) == size and rest[size:] == b"\r\n\r\n"
-        yield fields, block, framed and fields.get("warc-block-digest", _sha1(block)) == _sha1(block)
+        stated = sha1_hex(fields.get("warc-block-digest"))
+        yield fields, block, framed and stated in (None, hashlib.sha1(block).hexdigest())
 
 
 def _parsed(chunks: Iterable[bytes]) -> Iterator[tuple]:
@@ -89,12 +102,13 @@ def _parsed(chunks: Iterable[bytes]) -> Iterator[tuple]:
         if kind not in ("response", "revisit"):
             continue
         http, _, payload = block.partition(b"\r\n\r\n")
-        digest = fields.get("warc-payload-digest", "sha1:")
+        digest = sha1_hex(fields.get("warc-payload-digest"))
         stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         size = len(payload) if kind == "response" else int(stated[1]) if stated else None
         if kind == "response":
-            valid = valid and digest == _sha1(payload)
-        yield number(fields.get("page-id")), kind, fields.get("warc-target-uri"), number(fields.get("refers-to-page-id")), size, base64.b32decode(digest[5:]).hex(), payload if kind == "response" else None, valid
+            own = hashlib.sha1(payload).hexdigest()
+            valid, digest = valid and digest in (None, own), own
+        yield number(fields.get("page-id")), kind, fields.get("warc-target-uri"), number(fields.get("refers-to-page-id")), size, digest, payload if kind == "response" else None, valid
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:

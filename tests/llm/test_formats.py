@@ -67,6 +67,27 @@ def test_matroska_round_trip(documents):
     assert matroska.media_digest(matroska.mux_texts(documents([]))).count() == 0
 
 
+def test_archives_cut_anywhere_are_an_error():
+    whole = [warc.record(i, f"http://a/{i}", b"p" * (i * 700)) for i in range(2)]
+    for cut in range(1, len(whole[1])):
+        for size in (7, 1 << 16):
+            data = whole[0] + whole[1][:cut]
+            found = warc.records(data[i : i + size] for i in range(0, len(data), size))
+            assert next(found)[2]
+            with pytest.raises(ValueError):
+                next(found)
+    assert len(list(warc.records([b"".join(whole), b""]))) == 2
+
+
+@pytest.mark.parametrize("field,valid", [("", True), ("WARC-Payload-Digest: md5:abc\r\n", True), ("WARC-Payload-Digest: sha1:not base 32\r\n", True), ("WARC-Payload-Digest: sha1:" + "0" * 40 + "\r\n", False), (f"WARC-Payload-Digest: sha1:{hashlib.sha1(b'body').hexdigest()}\r\n", True)])
+def test_foreign_digests(field, valid):
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    raw = f"WARC/1.0\r\nWARC-Type: response\r\n{field}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+    row = next(warc._parsed([deflate.compress(raw) + deflate.flush()]))
+    assert row[5] == hashlib.sha1(b"body").hexdigest() and row[6] == b"body" and row[7] == valid
+
+
 def test_packet_table(documents):
     media = matroska.mux_texts(documents(["q" * 5000, None]))
     data = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
