@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import bin_of, quantile_edges, with_quantile_bins
+from tessella.functions.stats import quantile_table, with_quantile_bins
 from tessella.sources.tables import settled
 
 
@@ -19,22 +19,45 @@ def outliers_removed(df: DataFrame, load: str, columns: Sequence[str], bins: int
     """Rows with at most ``most_bad`` columns outside their load bin's quantiles; rows without load
     go. Adds load_bin and bad_count."""
     binned = with_quantile_bins(df.filter(F.col(load).isNotNull()), {load: bins}).withColumnRenamed(f"{load}_bin", "load_bin")
-    limits = F.broadcast(bin_quantiles(binned, columns, low, high)).withColumnRenamed("load_bin", "__bin")  # ``bins`` rows
+    limits = F.broadcast(bin_limits(binned, columns, low, high)).withColumnRenamed("load_bin", "__bin")  # ``bins`` rows
     bad = sum([F.coalesce((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high")), F.lit(False)).cast("int") for c in columns], F.lit(0))
-    return binned.join(limits, F.col("load_bin") == F.col("__bin")).withColumn("bad_count", bad).filter(F.col("bad_count") <= most_bad).drop("__bin", "n", *[f"{c}_{s}" for c in columns for s in ("low", "high")])
+    return binned.join(limits, F.col("load_bin") == F.col("__bin")).withColumn("bad_count", bad).filter(F.col("bad_count") <= most_bad).drop("__bin", *[f"{c}_{s}" for c in columns for s in ("low", "high")])
+
+
+def bin_limits(binned: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Per load bin the two quantiles of each column."""
+    table = quantile_table(binned, {c: [low, high] for c in columns}, ["load_bin"])
+    return table.select("load_bin", *[F.get(f"{c}_q", F.lit(i)).alias(f"{c}_{s}") for c in columns for i, s in enumerate(("low", "high"))])
 
 
 def bin_quantiles(binned: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    return binned.groupBy("load_bin").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, q).alias(f"{c}_{s}") for c in columns for s, q in (("low", low), ("high", high))])
+    """``bin_limits`` of each bin, and its rows."""
+    counts = binned.groupBy(F.col("load_bin").alias("__bin")).agg(F.count(F.lit(1)).alias("n"))  # a row per bin
+    return counts.join(bin_limits(binned, columns, low, high), F.col("__bin").eqNullSafe(F.col("load_bin")), "left").drop("load_bin").withColumnRenamed("__bin", "load_bin")
 
 
 def with_strata(df: DataFrame, bins: Mapping[str, int]) -> DataFrame:
     """Adds a bin per column and ``strata``, their label; a row without value has <NA> there."""
-    for c, n in bins.items():
-        df = df.crossJoin(F.broadcast(quantile_edges(df, c, n))).withColumn(f"{c}_bin", bin_of(F.col(c), F.col(f"{c}_edges"))).drop(f"{c}_edges")  # one row
+    df = with_quantile_bins(df, bins)
     return df.withColumn("strata", F.concat_ws("|", *[F.coalesce(F.col(f"{c}_bin").cast("string"), F.lit("<NA>")) for c in bins]))
 
 
+def with_group_places(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds __place, from 0 in each group's order of columns, and __n, the group's rows. Rows are sorted
+    in ranges by group and order, and the ranges' counts, a row per group and range, are summed: a group
+    of any size is many tasks."""
+    groups = list(groups)
+    placed = settled(df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id()), "places")
+    per = Window.partitionBy(*groups)  # a row per range
+    sums = placed.groupBy("__part", *groups).agg(F.count(F.lit(1)).alias("__size"), F.min("__in").alias("__low"))
+    sums = sums.withColumns({"__first": F.coalesce(F.sum("__size").over(per.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__n": F.sum("__size").over(per)})
+    sums = sums.select(F.col("__part").alias("__p"), (F.col("__first") - F.col("__low")).alias("__shift"), "__n", *[F.col(g).alias(f"__g_{g}") for g in groups])
+    on = F.col("__part") == F.col("__p")
+    for g in groups:
+        on &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return placed.join(sums, on).withColumn("__place", F.col("__in") + F.col("__shift")).drop("__part", "__in", "__p", "__shift", *[f"__g_{g}" for g in groups])
+
+
 def split_sizes(n: Column, train: float = 0.70, valid: float = 0.15) -> tuple[Column, Column]:
     """Training and validation rows of a stratum of ``n``; the rest are for testing. Halves round
     to even."""
@@ -50,17 +73,15 @@ def split_sizes(n: Column, train: float = 0.70, valid: float = 0.15) -> tuple[Co
 
 def with_split(df: DataFrame, key: str, strata: str = "strata", train: float = 0.70, valid: float = 0.15, seed: int = 42) -> DataFrame:
     """Adds split (train, valid or test), by a shuffled order in each stratum."""
-    per = Window.partitionBy(strata)
-    df = df.withColumn("__n", F.count(F.lit(1)).over(per)).withColumn("__at", F.row_number().over(per.orderBy(shuffled(F.col(key), seed), key)))
+    placed = with_group_places(df.withColumn("__h", shuffled(F.col(key), seed)), [strata], ["__h", key])
     t, v = split_sizes(F.col("__n"), train, valid)
-    return df.withColumn("split", F.when(F.col("__at") <= t, "train").when(F.col("__at") <= t + v, "valid").otherwise("test")).drop("__n", "__at")
+    return placed.withColumn("split", F.when(F.col("__place") < t, "train").when(F.col("__place") < t + v, "valid").otherwise("test")).drop("__n", "__place", "__h")
 
 
 def with_folds(df: DataFrame, key: str, strata: str = "strata", folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds fold, dealt in turn over each stratum's shuffled rows; the only row of a stratum has -1."""
-    per = Window.partitionBy(strata)
-    place = F.row_number().over(per.orderBy(shuffled(F.col(key), seed), key)) - 1
-    return df.withColumn("fold", F.when(F.count(F.lit(1)).over(per) <= 1, F.lit(-1)).otherwise(place % folds).cast("int"))
+    placed = with_group_places(df.withColumn("__h", shuffled(F.col(key), seed)), [strata], ["__h", key])
+    return placed.withColumn("fold", F.when(F.col("__n") <= 1, F.lit(-1)).otherwise(F.col("__place") % folds).cast("int")).drop("__n", "__place", "__h")
 
 
 def split_report(df: DataFrame, strata: str = "strata") -> DataFrame:

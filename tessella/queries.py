@@ -143,9 +143,6 @@ def pct_rank_eff(spark, folder):
     return rounded(S.with_percentile_rank(samples(spark, folder), "eff", "eff_score").select("pos", "eff_score"), 9)
 
 
-EDGES = "list_sort(list_distinct(quantile_cont({c}, [i / {n}::DOUBLE for i in range(0, {n} + 1)])))"
-
-
 def bin_sql(c: str, edges: str) -> str:
     return f"CAST(CASE WHEN {c} IS NOT NULL THEN greatest(len(list_filter({edges}, lambda b: b < {c})) - 1, 0) END AS INTEGER)"
 
@@ -314,9 +311,6 @@ def cosine_topk(spark, folder):
 
 # --- residual models, reports, splits ------------------------------------------------------------
 
-REGR = "regr_intercept({t}, f1) + regr_slope({t}, f1) * f1"
-
-
 @query(f"WITH {V}, m AS (SELECT regr_intercept(f2, f1) AS a, regr_slope(f2, f1) AS b FROM v) SELECT pos, round(a + b * f1, 4) AS pred_f2, round(f2 - a - b * f1, 4) AS resid_f2 FROM v, m")
 def residual_ols(spark, folder):
     return rounded(R.with_residuals(samples(spark, folder), ["f1"], ["f2"]).select("pos", "pred_f2", "resid_f2"), 4)
