@@ -24,10 +24,13 @@ def squared_distance(a: Sequence[Column], b: Sequence[Column], metric: np.ndarra
 
 
 def whitening(metric: np.ndarray) -> np.ndarray:
-    """L with M = L' L, of the rows whose eigenvalue isn't 0: distances become plain sums."""
-    values, vectors = np.linalg.eigh((metric + metric.T) / 2)
-    keep = values > 1e-12 * max(1e-300, values.max())
-    return (vectors[:, keep] * np.sqrt(values[keep])).T
+    """L with M = L' L, a row for each eigenvalue that isn't 0: distances become plain sums. Components
+    are scaled to a diagonal of 1 first, so that those with small weights keep their digits."""
+    scale = np.sqrt(np.maximum(np.diag(metric), 0))
+    inverse = np.divide(1, scale, out=np.zeros_like(scale), where=scale > 0)
+    values, vectors = np.linalg.eigh(inverse[:, None] * (metric + metric.T) / 2 * inverse[None, :])
+    keep = values > 1e-12
+    return (vectors[:, keep] * np.sqrt(values[keep])).T * scale[None, :]
 
 
 def whitened(columns: Sequence[Column], metric: np.ndarray) -> list[Column]:

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from tessella.config import Gate, Matching
 from tessella.functions.columns import zero_filled
-from tessella.functions.similarity import cauchy, squared_distance
+from tessella.functions.similarity import cauchy, squared_distance, whitening
 from tessella.functions.stats import running_sums
+from tessella.sources.tables import settled
 
 #: Status texts of results.
 MATCHED, NEAREST_LOAD, NO_GATE_HIT, LOW_SIMILARITY = "matched", "nearest_load", "no_gate_hit", "low_similarity_fallback"
 
-#: Of samples, one in so many is looked at first; groups that samples are dealt to.
-LOOK, DEAL = 32, 8
+#: Of samples, one in so many is looked at before all are; groups that those are dealt to; cells of
+#: the store along each of its widest axes.
+LOOKS, DEAL, CELLS, CELL_AXES = (32, 4), 8, 32, 2
 
 
 def gate_condition(query_load: Column, load: Column, gate: Gate) -> Column:
@@ -43,16 +45,16 @@ def _zones(load: Column, gate: Gate) -> tuple[Column, Column]:
     return F.when(F.abs(load) <= 2e-9, 0).otherwise(F.signum(load).cast("int")), F.floor(F.log(size) / width)
 
 
-def gate_join(queries: DataFrame, store: DataFrame, gate: Gate, query_load: str = "q_load", load: str = "load", extra: tuple[str, str] | None = None) -> DataFrame:
+def gate_join(queries: DataFrame, store: DataFrame, gate: Gate, query_load: str = "q_load", load: str = "load", extra: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """All pairs that pass the load gate, by an equi-join on load buckets: each query goes to its
-    own bucket and the two next to it. Null and NaN loads pass nothing. ``extra`` names a column
-    of each side that must be equal too. A gate that is off, or a relative one of 1 or more, has
+    own bucket and the two next to it. Null and NaN loads pass nothing. ``extra`` names columns
+    of either side that must be equal too. A gate that is off, or a relative one of 1 or more, has
     no buckets: a stated set of queries then meets all rows, by ``extra`` where there is one."""
     queries = queries.filter(F.col(query_load).isNotNull() & ~F.isnan(query_load))
     store = store.filter(F.col(load).isNotNull() & ~F.isnan(load))
     condition = gate_condition(F.col(query_load), F.col(load), gate)
-    if extra:
-        condition &= F.col(extra[0]) == F.col(extra[1])
+    for a, b in extra:
+        condition &= F.col(a) == F.col(b)
     if not gate.enable or (gate.mode == "relative" and gate.rel_threshold >= 0.999999):
         return queries.join(store, condition)
     q_side, q_bucket = _zones(F.col(query_load), gate)
@@ -86,39 +88,101 @@ def top_k(pairs: DataFrame, k: int, query: str | Sequence[str] = "qid", score: s
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _axes(store: DataFrame, features: Sequence[str], metrics: dict) -> dict:
+    """Per metric its whitening (a row per axis; distances are plain sums of squares along them), the
+    axes along which the store is widest first, and the least and largest value on the first ``CELL_AXES``."""
+    rows = {name: whitening(m) for name, m in metrics.items()}
+    filled = store.select([zero_filled(F.col(c)).alias(c) for c in features])
+    value = lambda row: sum((F.lit(float(w)) * F.col(c) for w, c in zip(row, features)), F.lit(0.0))
+    figures = [f(value(r)).alias(f"{f.__name__}{n}_{i}") for n, (_, w) in enumerate(rows.items()) for i, r in enumerate(w) for f in (F.stddev_pop, F.min, F.max)]
+    found = filled.agg(*figures).first() if figures else None
+    out = {}
+    for n, (name, w) in enumerate(rows.items()):
+        spread = [found[f"stddev_pop{n}_{i}"] or 0.0 for i in range(len(w))]
+        order = sorted(range(len(w)), key=lambda i: -spread[i])
+        out[name] = (w[order], [(found[f"min{n}_{i}"] or 0.0, found[f"max{n}_{i}"] or 0.0) for i in order[:CELL_AXES]])
+    return out
+
+
 def best_pairs(queries: DataFrame, store: DataFrame, features: Sequence[str], metric: np.ndarray | dict[str, np.ndarray], gate: Gate, matching: Matching, k: int | None = None) -> DataFrame:
     """The ``k`` best samples inside the gate of each query, ranked: qid, q_load, ``q_<feature>``,
     pos, load, the features, eff_score, s, e, d and rank. With a dict of metrics the queries have
     a column preset, which names theirs.
 
-    Only these columns go through the join, and the features without value as 0. A first look at
-    one in ``LOOK`` samples gives each query a score that its k-th best reaches; of all pairs only
-    those at least as good are ranked, a few hundred a query instead of the whole gate. Samples are
-    dealt to ``DEAL`` groups, so that a load that many have isn't one task.
+    Samples and queries are points of a whitened space. ``LOOKS`` at more and more of the samples
+    give each query a score that its k-th best reaches, and so a distance that no better sample exceeds. The
+    store is dealt to cells along its widest axes; a query meets the cells within its distance,
+    inside its load gate, and of those pairs only the ones within the distance are ranked.
     """
     k = k or matching.top_k
     several = isinstance(metric, dict)
-    keys, size = ["qid", "preset"] if several else ["qid"], range(len(features))
-    cells = [(i, j) for i in size for j in size if i <= j and any(m[i, j] or m[j, i] for m in (metric.values() if several else [metric]))]
-    weight = lambda m, i, j: F.lit(float(m[i, j] if i == j else m[i, j] + m[j, i]))
+    keys = ["qid", "preset"] if several else ["qid"]
+    axes = _axes(store, features, metric if several else {"": metric})
+    size = max((len(w) for w, _ in axes.values()), default=0)
+    pick = lambda of: F.coalesce(*[F.when(F.col("preset") == n, v) for n, v in of.items()]) if several else of[""]
+    point = lambda w, i, prefix: sum((F.lit(float(x)) * F.col(f"{prefix}{c}") for x, c in zip(w[i], features) if x), F.lit(0.0)) if i < len(w) else F.lit(0.0)
+    along = lambda prefix: [pick({n: point(w, i, prefix) for n, (w, _) in axes.items()}) for i in range(size)]
+
     asked = queries.select(*keys, "q_load", *[zero_filled(F.col(f"q_{c}")).alias(f"q_{c}") for c in features])
+    asked = asked.select(*keys, "q_load", *[v.alias(f"__q{i}") for i, v in enumerate(along("q_"))])
+    held = store.select("pos", "load", "eff_score", *[zero_filled(F.col(c)).alias(c) for c in features])
     if several:
-        for i, j in cells:
-            asked = asked.withColumn(f"__w{i}_{j}", F.coalesce(*[F.when(F.col("preset") == n, weight(m, i, j)) for n, m in metric.items()]))
-    asked = asked.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-    held = store.select("pos", "load", *[zero_filled(F.col(c)).alias(f"__x_{c}") for c in features], "eff_score", F.pmod(F.xxhash64("pos"), F.lit(DEAL)).cast("int").alias("__of"))
-    apart = [F.col(f"q_{c}") - F.col(f"__x_{c}") for c in features]
-    terms = [(F.col(f"__w{i}_{j}") if several else weight(metric, i, j)) * apart[i] * apart[j] for i, j in cells]
-    s = cauchy(F.greatest(sum(terms[1:], terms[0]) if terms else F.lit(0.0), F.lit(0.0)))
-
-    def pairs(some: DataFrame, asked: DataFrame) -> DataFrame:
-        return blended(gate_join(asked, some, gate, extra=("__deal", "__of")).withColumn("s", s), matching).drop("__deal", "__of", *[f"__w{i}_{j}" for i, j in cells])
-
-    look = top_k(pairs(held.filter(F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(LOOK)) == 0), asked), k, keys)
-    bar = look.filter(F.col("d").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("__bar")).filter(F.col("n") >= k).drop("n")
-    whole = pairs(held, asked.join(bar, keys, "left"))
-    best = top_k(whole.filter(F.col("__bar").isNull() | (F.col("d") >= F.col("__bar"))).drop("__bar"), k, keys)
-    return best.withColumnsRenamed({f"__x_{c}": c for c in features})
+        held = held.withColumn("preset", F.explode(F.array(*[F.lit(n) for n in axes])))
+    held = held.select(*keys[1:], "pos", "load", "eff_score", *[v.alias(f"__x{i}") for i, v in enumerate(along(""))])
+    own = [("preset", "__preset")] if several else []
+    held = held.withColumnRenamed("preset", "__preset")
+    squares = [(F.col(f"__q{i}") - F.col(f"__x{i}")) * (F.col(f"__q{i}") - F.col(f"__x{i}")) for i in range(size)]
+    square = sum(squares[1:], squares[0]) if squares else F.lit(0.0)
+    extra_columns = ["__preset", "__deal", "__of", *[f"__{c}{i}" for c in "qx" for i in range(size)], *[f"__{c}cell{j}" for c in "qx" for j in range(CELL_AXES)]]
+
+    def ranked(some: DataFrame, asked: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+        """The best of the pairs that meet, by what ``asked`` knows of its k-th best."""
+        pairs = gate_join(asked, some, gate, extra=[*own, *on])
+        if "__bar" in asked.columns:
+            pairs = pairs.filter(square <= F.col("__reach"))
+        pairs = blended(pairs.withColumn("s", cauchy(square)), matching).drop(*extra_columns)
+        if "__bar" in asked.columns:
+            pairs = pairs.filter(F.col("__bar").isNull() | (F.col("d") >= F.col("__bar"))).drop("__bar", "__reach")
+        return top_k(pairs, k, keys)
+
+    def informed(asked: DataFrame, best: DataFrame) -> DataFrame:
+        """``asked`` with the score that the k-th best reaches, and how far such a sample may be."""
+        bar = best.filter(F.col("d").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"), F.min("d").alias("__bar")).filter(F.col("__k") >= k).drop("__k")
+        if matching.d_weight_s > 0:
+            most = F.lit(matching.d_weight_e) * (F.lit(1.0) if matching.d_weight_e > 0 else F.lit(0.0))  # e is between 0 and 1
+            least = (F.col("__bar") - most) / F.lit(matching.d_weight_s)
+            reach = F.when(least > 0, F.greatest((1 / least - 1) * (1 + 1e-9), F.lit(0.0)) + 1e-12)
+        else:
+            reach = F.lit(None).cast("double")
+        old = asked.drop("__bar", "__reach")
+        return settled(old.join(bar.withColumn("__reach", reach), keys, "left").withColumn("__reach", F.coalesce("__reach", F.lit(float("inf")))), "asked")
+
+    dealt = held.withColumn("__of", F.pmod(F.xxhash64("pos"), F.lit(DEAL)).cast("int"))
+    for one_in in LOOKS:
+        spread = asked.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+        asked = informed(asked, ranked(dealt.filter(F.pmod(F.xxhash64("pos", F.lit(1)), F.lit(one_in)) == 0), spread, [("__deal", "__of")]))
+
+    # cells as wide as the usual distance, at most CELLS along an axis
+    reach = {r[-1] if several else "": r[0] for r in asked.filter(F.col("__reach") < float("inf")).groupBy(*keys[1:]).agg(F.percentile_approx(F.sqrt("__reach"), 0.5).alias("r")).select("r", *keys[1:]).collect()}  # a row per metric
+    usual = {n: reach.get(n) or 0.0 for n in axes}
+    on = []
+    for j in range(min(CELL_AXES, size)):
+        ends = {n: (e[j] if j < len(e) else (0.0, 0.0)) for n, (_, e) in axes.items()}
+        low, width = pick({n: F.lit(e[0]) for n, e in ends.items()}), pick({n: F.lit(max(usual[n], (e[1] - e[0]) / CELLS, 1e-12)) for n, e in ends.items()})
+        last = pick({n: F.lit(math.floor((e[1] - e[0]) / max(usual[n], (e[1] - e[0]) / CELLS, 1e-12))) for n, e in ends.items()})
+        cell = lambda v: F.greatest(F.lit(0), F.least(F.floor((v - low) / width), last)).cast("int")
+        radius = F.least(F.sqrt("__reach"), F.lit(1e150))
+        asked = asked.withColumn(f"__qcell{j}", F.explode(F.sequence(cell(F.col(f"__q{j}") - radius), cell(F.col(f"__q{j}") + radius))))
+        held = held.withColumnRenamed("__preset", "preset").withColumn(f"__xcell{j}", cell(F.col(f"__x{j}"))).withColumnRenamed("preset", "__preset")
+        on.append((f"__qcell{j}", f"__xcell{j}"))
+    best = ranked(held, asked, on)
+
+    values = queries.select(*[F.col(c).alias(f"__k_{c}") for c in keys], *[zero_filled(F.col(f"q_{c}")).alias(f"q_{c}") for c in features])
+    at = F.lit(True)
+    for c in keys:
+        at &= F.col(c) == F.col(f"__k_{c}")
+    best = best.join(values, at).drop(*[f"__k_{c}" for c in keys])
+    return best.join(store.select(F.col("pos").alias("__pos"), *[zero_filled(F.col(c)).alias(c) for c in features]), F.col("pos") == F.col("__pos")).drop("__pos")
 
 
 def nearest_by_load(queries: DataFrame, store: DataFrame, k: int, query_load: str = "q_load", load: str = "load", near_rows: int = 512) -> DataFrame:

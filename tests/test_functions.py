@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella import config
 from tessella.functions import columns as C
 from tessella.functions import similarity, stats
-from tessella.operators.sampling import split_sizes
+from tessella.operators.sampling import split_sizes, with_folds, with_group_places
 
 
 def values(df, column):
@@ -113,3 +113,41 @@ def test_config_merges_and_checks(tmp_path):
     for bad in ({"matching": {"d_weight_s": 0.0}}, {"features": {"plan_center_cols": ["z"]}}, {"gate": {"mode": "?"}}, {"what": 1}):
         with pytest.raises(ValueError):
             config.load_config(None, bad)
+
+
+def test_quantiles_and_places_in_groups(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 3 else int(g), i, float(v) if rng.random() > 0.1 else None, float(np.round(w, 1))) for i, (g, v, w) in enumerate(zip(rng.integers(0, 4, 400), rng.normal(size=400), rng.normal(size=400)))]
+    df = spark.createDataFrame([*rows, (9, 400, None, 1.0)], "g int, id int, v double, w double").repartition(6)
+    table = {r["g"]: r for r in stats.quantile_table(df, {"v": [0.02, 0.5, 0.98], "w": [0.25]}, ["g"]).collect()}
+    for g in (0, 1, 2, None):
+        own = [r for r in rows if r[0] == g]
+        assert np.allclose(table[g]["v_q"], np.quantile([r[2] for r in own if r[2] is not None], [0.02, 0.5, 0.98]))
+        assert np.allclose(table[g]["w_q"], np.quantile([r[3] for r in own], [0.25]))
+    assert table[9]["v_q"] is None and table[9]["w_q"] == [1.0]
+    placed = with_group_places(df, ["g"], ["w", "id"])
+    for g in (0, 1, 2, None, 9):
+        own = sorted((r["w"], r["id"], r["__place"], r["__n"]) for r in placed.collect() if r["g"] == g)
+        assert [o[2] for o in own] == list(range(len(own))) and {o[3] for o in own} == {len(own)}
+
+
+def test_one_stratum_is_many_tasks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(3000).select(F.lit("all").alias("strata"), "id")
+        folds = with_folds(df, "id")
+        sizes = [r["count"] for r in folds.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 3 and max(sizes) < 1500
+        assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [600] * 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_whitening_keeps_small_weights():
+    m = np.diag([1e-10, 4e3, 1.0])
+    m[0, 2] = m[2, 0] = 5e-6
+    w = similarity.whitening(m)
+    assert np.allclose(w.T @ w, m, rtol=1e-12, atol=0) or np.max(np.abs(w.T @ w - m) / np.sqrt(np.outer(np.diag(m), np.diag(m)))) < 1e-12
