@@ -44,6 +44,8 @@ PART, WHOLE = 75, 100
 LONGER, LEFT_OUT = 10, 3.75
 #: Rows, and shingles of all of them, that one task compares at once, if there is more than one row.
 FAN, BUCKET_ROWS, BUCKET_SHINGLES = 16, 2048, 4 << 20
+#: The more bits, the nearer to the threshold are the pairs that have to be compared exactly.
+BITS_PER_SHINGLE = 8
 #: Characters hashed at once, with some 50 bytes of arrays each, and bytes of bitmaps compared at once.
 AT_ONCE, COMPARED_BYTES = 1 << 19, 8 << 20
 #: Step 2: its turns, rows of each component, and rows of the buckets it is for; ratio of sizes of a band.
@@ -194,9 +196,9 @@ class SignatureTree:
                 stack.append((level - 1, x[fine], y[fine]))
 
 
-def bits_for(n: int) -> int:
-    """Bits of the bitmaps for sets up to ``n``: a power of two of 8 per shingle, 256 at least."""
-    return max(256, 1 << (8 * max(1, n) - 1).bit_length())
+def bits_for(n: int, per: int = BITS_PER_SHINGLE) -> int:
+    """Bits of the bitmaps for sets up to ``n``: a power of two of ``per`` a shingle, 256 at least."""
+    return max(256, 1 << (per * max(1, n) - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -214,7 +216,7 @@ def folded(raw: bytes, bits: int) -> np.ndarray:
     return x
 
 
-def trees(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray) -> Iterator[tuple[SignatureTree, np.ndarray]]:
+def trees(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, per: int = BITS_PER_SHINGLE) -> Iterator[tuple[SignatureTree, np.ndarray]]:
     """Trees that together hold all pairs of sets whose sizes allow the similarity: one for each
     two neighbouring bands of sizes, with bitmaps for sets of that size. With each tree come the
     places of its leaves; a component's sets stand together, and sets with equal first bits."""
@@ -222,7 +224,7 @@ def trees(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray) -> I
     for k in np.unique(band):
         own = np.flatnonzero((band == k) | (band == k + 1))
         if len(own) > 1 and labels[own].min() != labels[own].max():
-            bits = bits_for(int(sizes[own].min()))
+            bits = bits_for(int(sizes[own].min()), per)
             maps = np.stack([folded(bitmaps[i], bits) for i in own])
             _, of, count = np.unique(labels[own], return_inverse=True, return_counts=True)
             order = np.lexsort((*maps.T[3::-1], np.where(count[of] > 1, labels[own], -1)))
@@ -354,25 +356,48 @@ def _both_ways(found: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": out.min(1), "b": out.max(1)})
 
 
-def _all_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_shared(group: dict[str, np.ndarray]):
+    """Whether a group's bucket is the first that a pair of its rows shares: of a numbered table whose
+    key is a pair of half keys, the one with the smallest numbers of equal half keys. So a pair is
+    compared in one bucket, however many it shares. None where there are no such tables."""
+    if "halves" not in group:
+        return None
+    halves = np.stack([np.frombuffer(x, np.uint32) for x in group["halves"]])
+    count = halves.shape[1] // 2
+    i, j = divmod(int(group["slot"][0]), count)
+
+    def first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        earlier = (halves[a, :i] == halves[b, :i]).any(1)
+        return ~(earlier | (halves[a, count : count + j] == halves[b, count : count + j]).any(1))
+
+    return first
+
+
+def _all_pairs(per: int):
     """Of two blocks of a bucket, or one with itself, all candidates of different components."""
-    found = []
-    for group in _grouped(batches, ["h", "band", "i", "j"]):
-        sizes, ids, comps, sides, raw = group["n"], group["rep"], group["component"], group["side"], group["bitmap"]
-        alone = group["i"][0] == group["j"][0]
-        few = None
-        if len(ids) < len(_TRIANGLES):
-            few = few_pairs(sizes, raw, (comps[:, None] != comps[None, :]) & (alone | (sides[:, None] != sides[None, :])))
-        if few is not None:
-            found += [(ids[i], ids[j]) for _, i, j in few]
-            continue
-        for tree, place in trees(sizes, [np.frombuffer(m, np.uint64) for m in raw], comps):
-            for a, b in tree.pairs():
-                x, y = place[a], place[b]
-                other = (comps[x] != comps[y]) & (alone | (sides[x] != sides[y]))
-                if other.any():
-                    yield pd.DataFrame({"a": np.minimum(ids[x[other]], ids[y[other]]), "b": np.maximum(ids[x[other]], ids[y[other]])})
-    yield _both_ways(found)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
+        for group in _grouped(batches, ["h", "band", "i", "j"]):
+            sizes, ids, comps, sides, raw = group["n"], group["rep"], group["component"], group["side"], group["bitmap"]
+            alone, first, few = group["i"][0] == group["j"][0], _first_shared(group), None
+            if len(ids) < len(_TRIANGLES):
+                few = few_pairs(sizes, raw, (comps[:, None] != comps[None, :]) & (alone | (sides[:, None] != sides[None, :])))
+            if few is not None:
+                found += [(ids[i], ids[j]) for _, i, j in few if first is None or first(np.array([i]), np.array([j]))[0]]
+                continue
+            for tree, place in trees(sizes, [np.frombuffer(m, np.uint64) for m in raw], comps, per):
+                for a, b in tree.pairs():
+                    x, y = place[a], place[b]
+                    other = (comps[x] != comps[y]) & (alone | (sides[x] != sides[y]))
+                    if first is not None:
+                        x, y = x[other], y[other]
+                        other = first(x, y)
+                    if other.any():
+                        yield pd.DataFrame({"a": np.minimum(ids[x[other]], ids[y[other]]), "b": np.maximum(ids[x[other]], ids[y[other]])})
+        yield _both_ways(found)
+
+    return run
 
 
 def _hot_shingles(spark: SparkSession, docs: DataFrame) -> list[tuple[int, int]]:
@@ -419,11 +444,11 @@ def _whole_sets(k: int):
     return run
 
 
-def _bitmaps(k: int):
+def _bitmaps(k: int, per: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _whole_sets(k)(batches):
             sets = [np.frombuffer(t, np.uint64) for t in batch["tokens"]]
-            yield pd.DataFrame({"rep": batch["rep"], "n": [len(t) for t in sets], "bitmap": [bitmap(t, bits_for(len(t))).tobytes() for t in sets]})
+            yield pd.DataFrame({"rep": batch["rep"], "n": [len(t) for t in sets], "bitmap": [bitmap(t, bits_for(len(t), per)).tobytes() for t in sets], **{c: batch[c] for c in ("halves",) if c in batch.columns}})
 
     return run
 
@@ -437,22 +462,33 @@ def _verified(part: int):
     return run
 
 
-def _with_bitmaps(own: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    marks = own.join(placed.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_bitmaps(k), "rep long, n long, bitmap binary")
+def _with_bitmaps(own: DataFrame, placed: DataFrame, k: int, per: int) -> DataFrame:
+    more, kind = (["halves"], ", halves binary") if "halves" in own.columns else ([], "")
+    marks = own.join(placed.select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text", *more).mapInPandas(_bitmaps(k, per), f"rep long, n long, bitmap binary{kind}")
     return placed.join(marks, "rep")
 
 
+def _slot(buckets: DataFrame) -> list[str]:
+    """The column that numbers tables, where buckets are of numbered tables."""
+    return ["slot"] if "slot" in buckets.columns else []
+
+
+def _first_bucket(slot: list[str]) -> Column:
+    return F.min_by("h", "slot") if slot else F.min("h")
+
+
 def _open(buckets: DataFrame, components: DataFrame, least: int) -> DataFrame:
     """(rep, size, h, band, component, components) of the buckets' bands of sizes that have ``least`` or
     more rows, of two or more components. Rows at a band's edge are in the next band too. Of bands with the same
-    rows under several shingles one stays."""
+    rows under several shingles one stays, that of the smallest slot if there are slots."""
+    slot = _slot(buckets)
     edge = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
     banded = F.explode(F.array_distinct(F.array(edge(F.col("n")), edge(F.col("n") * (WHOLE / PART + 0.01))))).alias("band")
-    placed = buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").alias("size"), "h", banded, F.coalesce("component", "rep").alias("component"))
-    rows = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    placed = buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").alias("size"), "h", *slot, banded, F.coalesce("component", "rep").alias("component"))
+    rows = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), *[F.min(c).alias(c) for c in slot]]
     several = placed.groupBy("h", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("components"), *rows).filter((F.col("m") >= least) & (F.col("low") != F.col("high")))
-    one = keep(several.groupBy("band", "m", "x", "y").agg(F.min("h").alias("of"), F.min("components").alias("components")).withColumnRenamed("band", "in"), "several")
-    return placed.join(one, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("rep", "size", "h", "band", "component", "components")
+    one = keep(several.groupBy("band", "m", "x", "y").agg(_first_bucket(slot).alias("of"), F.min("components").alias("components")).withColumnRenamed("band", "in"), "several")
+    return placed.join(one, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("rep", "size", "h", *slot, "band", "component", "components")
 
 
 def _blocks(rows: str, shingles: str) -> Column:
@@ -460,54 +496,58 @@ def _blocks(rows: str, shingles: str) -> Column:
     return F.greatest(F.floor(F.col(rows) / BUCKET_ROWS), F.floor(F.col(shingles) / BUCKET_SHINGLES)).cast("long") + 1
 
 
-def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int, k: int) -> DataFrame:
+def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int, k: int, per: int) -> DataFrame:
     """(a, b): per bucket pairs that would join its components, of a few rows of each."""
     picks = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PICKED + i)).alias("x"), "rep"))["rep"] for i in range(PICKED)]
     salt = F.pmod(F.xxhash64("component", F.lit(turn)), F.expr(f"components div {BUCKET_ROWS} + 1")).alias("salt")
     few = left.groupBy("h", "band", "component", "components").agg(F.array_distinct(F.array(*picks)).alias("reps")).select("h", "band", "component", salt, F.explode("reps").alias("rep"))
     few = keep(few, "picked")
-    met = _with_bitmaps(own, few, k).repartition(width, "h", "band", "salt").sortWithinPartitions("h", "band", "salt")
+    met = _with_bitmaps(own, few, k, per).repartition(width, "h", "band", "salt").sortWithinPartitions("h", "band", "salt")
     out = keep(met.mapInPandas(_spanning_pairs, "a long, b long").distinct(), "likely")
     release(few)
     return out
 
 
-def _all_candidates(own: DataFrame, left: DataFrame, width: int, k: int) -> DataFrame:
+def _all_candidates(own: DataFrame, left: DataFrame, width: int, k: int, per: int) -> DataFrame:
     """(a, b): per bucket all pairs of rows of different components that the bitmaps leave.
 
     The rows of a bucket's largest component and all others are dealt to blocks; a block of others
     meets every block, blocks of the largest component don't meet each other.
     """
-    per = left.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
-    per = per.groupBy("h", "band").agg(F.sum("m").alias("all"), F.sum("s").alias("sizes"), F.max(F.struct("m", "component", "s")).alias("top"))
-    per = per.select(F.col("h").alias("of"), F.col("band").alias("in"), F.col("top.component").alias("top"), F.col("top.m").alias("m"), F.col("top.s").alias("s"), F.expr("all - top.m").alias("rest"), F.expr("sizes - top.s").alias("rest_s"))
-    per = keep(per.select("of", "in", "top", _blocks("rest", "rest_s").alias("others"), _blocks("m", "s").alias("tops")), "bands")
-    rows = left.join(per, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).withColumn("major", F.col("component") == F.col("top"))
+    sums = left.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+    sums = sums.groupBy("h", "band").agg(F.sum("m").alias("all"), F.sum("s").alias("sizes"), F.max(F.struct("m", "component", "s")).alias("top"))
+    sums = sums.select(F.col("h").alias("of"), F.col("band").alias("in"), F.col("top.component").alias("top"), F.col("top.m").alias("m"), F.col("top.s").alias("s"), F.expr("all - top.m").alias("rest"), F.expr("sizes - top.s").alias("rest_s"))
+    sums = keep(sums.select("of", "in", "top", _blocks("rest", "rest_s").alias("others"), _blocks("m", "s").alias("tops")), "bands")
+    rows = left.join(sums, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).withColumn("major", F.col("component") == F.col("top"))
     rows = rows.withColumn("block", F.when(F.col("major"), F.col("others") + F.pmod(F.xxhash64("rep"), "tops")).otherwise(F.pmod(F.xxhash64("rep"), "others")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("major"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))))
-    rows = rows.select("rep", "h", "band", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("other") < F.col("block")).cast("int").alias("side"))
-    met = _with_bitmaps(own, rows, k).repartition(width, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
-    out = keep(met.mapInPandas(_all_pairs, "a long, b long").distinct(), "candidates")
-    release(per)
+    rows = rows.select("rep", "h", *_slot(left), "band", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("other") < F.col("block")).cast("int").alias("side"))
+    met = _with_bitmaps(own, rows, k, per).repartition(width, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
+    out = keep(met.mapInPandas(_all_pairs(per), "a long, b long").distinct(), "candidates")
+    release(sums)
     return out
 
 
 def _verify(own: DataFrame, pairs: DataFrame, k: int, part: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+    """The pairs (a, b) whose whole sets are similar, as a table of their own."""
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     tokens = keep(own.join(ends, F.col("doc_id") == F.col("rep")).select("rep", "text").mapInPandas(_whole_sets(k), "rep long, tokens binary"), "tokens")
     checked = pairs.join(tokens.withColumnsRenamed({"rep": "ra", "tokens": "tokens_a"}), F.col("a") == F.col("ra")).join(tokens.withColumnsRenamed({"rep": "rb", "tokens": "tokens_b"}), F.col("b") == F.col("rb"))
-    return checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified(part), "a long, b long")
+    out = keep(checked.select("a", "b", "tokens_a", "tokens_b").mapInPandas(_verified(part), "a long, b long"), "found")
+    release(tokens)
+    return out
 
 
 def alike_buckets(meetings: DataFrame) -> DataFrame:
-    """Of buckets (rep, n, h) those with several rows; of buckets with exactly the same rows one."""
-    alike = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("size > 1")
-    alike = keep(alike.groupBy("size", "x", "y").agg(F.min("h").alias("bucket")).select("bucket"), "alike")
+    """Of buckets (rep, n, h) those with several rows; of buckets with exactly the same rows one, that
+    of the smallest slot if there are slots."""
+    slot = _slot(meetings)
+    alike = meetings.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), *[F.min(c).alias(c) for c in slot]).filter("size > 1")
+    alike = keep(alike.groupBy("size", "x", "y").agg(_first_bucket(slot).alias("bucket")).select("bucket"), "alike")
     return meetings.join(alike, F.col("h") == F.col("bucket"), "left_semi")
 
 
-def joined_in_buckets(own: DataFrame, buckets: DataFrame, components: DataFrame, k: int = SHINGLE_WORDS, part: int = PART) -> DataFrame:
+def joined_in_buckets(own: DataFrame, buckets: DataFrame, components: DataFrame, k: int = SHINGLE_WORDS, part: int = PART, per: int = BITS_PER_SHINGLE) -> DataFrame:
     """``components`` after all links between rows of ``own`` (doc_id, text) that share a bucket
     (rep, n, h): steps 2 and 3."""
     width = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -515,8 +555,8 @@ def joined_in_buckets(own: DataFrame, buckets: DataFrame, components: DataFrame,
         left = keep(_open(buckets, components, 2 if turn == TURNS else MANY), "open")
         if not left.head(1):
             continue
-        tried = _all_candidates(own, left, width, k) if turn == TURNS else _likely_candidates(own, left, width, turn, k)
-        more = keep(_verify(own, tried, k, part), "found")
+        tried = _all_candidates(own, left, width, k, per) if turn == TURNS else _likely_candidates(own, left, width, turn, k, per)
+        more = _verify(own, tried, k, part)
         release(left, tried)
         if more.head(1):
             components = keep(joined_components(components, more), "components")

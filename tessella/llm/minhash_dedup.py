@@ -11,8 +11,8 @@
    of rows of different components that a bucket holds has been ruled out or compared.
 
 Two sets of similarity J share a table unless one collection has no equal half key: they are missed
-with a probability of 2 * (1 - J ** ROWS) ** HALVES at most, 5 in a million at J = 0.8 and 2 in a
-hundred million at 0.9. Every link that is returned is exact.
+with a probability of 2 * (1 - J ** ROWS) ** HALVES at most, 7 in a million at J = 0.8 and 2 in ten
+billion at 0.9. Every link that is returned is exact.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ from tessella.llm.jaccard_join import _BASE, AT_ONCE, WHOLE, _verify, alike_buck
 from tessella.llm.shared import arrow_map, keep, mixed, release, slices, table
 
 SHINGLE_WORDS, PART = 4, 80
-HALVES, ROWS = 18, 3
+HALVES, ROWS = 24, 4
+#: Bits of the bitmaps that rule pairs out.
+BITS_PER_SHINGLE = 16
 
 _SEEDS = np.random.default_rng(20_080).integers(1, 1 << 63, (2, 2 * HALVES * ROWS), dtype=np.uint64)
 
@@ -71,14 +73,29 @@ def _summaries(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n long, key1 long, key2 long, halves array<long>")
 
 
+def _with_halves(own: DataFrame) -> DataFrame:
+    """(doc_id, text, halves): half keys as 32 bits each, which tell the first table that two texts share."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        texts = batch["text"].to_pylist()
+        for lo, hi in slices(texts, AT_ONCE):
+            sets = shingle_sets(texts[lo:hi], SHINGLE_WORDS)
+            full = [s for s in sets if len(s)]
+            halves = iter(half_keys(full).astype(np.uint32) if full else ())
+            yield {"doc_id": batch["doc_id"][lo:hi], "text": texts[lo:hi], "halves": [next(halves).tobytes() if len(s) else bytes(8 * HALVES) for s in sets]}
+
+    return arrow_map(own, run, "doc_id long, text string, halves binary")
+
+
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(rep, n, h) for classes (rep, n, halves): a row for each table whose key may be shared."""
+    """(rep, n, h, slot) for classes (rep, n, halves): a row for each table whose key may be shared,
+    and the table's number."""
     halves = classes.select("rep", "n", F.posexplode("halves").alias("at", "half"))
     shared = keep(halves.groupBy("half").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("half").alias("of")), "halves")
     left = halves.join(shared, F.col("half") == F.col("of"), "left_semi").groupBy("rep", "n")
-    sides = left.agg(*[F.collect_list(F.when(c, F.col("half"))).alias(a) for a, c in (("first", F.col("at") < HALVES), ("second", F.col("at") >= HALVES))])
-    pairs = F.flatten(F.transform("first", lambda a: F.transform("second", lambda b: F.xxhash64(a, b))))
-    return sides.select("rep", "n", F.explode(pairs).alias("h"))
+    sides = left.agg(*[F.collect_list(F.when(c, F.struct("half", "at"))).alias(a) for a, c in (("first", F.col("at") < HALVES), ("second", F.col("at") >= HALVES))])
+    pairs = F.flatten(F.transform("first", lambda a: F.transform("second", lambda b: F.struct(F.xxhash64(a["half"], b["half"]).alias("h"), (a["at"] * HALVES + b["at"] - HALVES).alias("slot")))))
+    return sides.select("rep", "n", F.explode(pairs).alias("key")).select("rep", "n", "key.h", "key.slot")
 
 
 def pivot_pairs(buckets: DataFrame) -> DataFrame:
@@ -107,9 +124,12 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = keep(alike_buckets(keys), "buckets")
     release(keys)
     pairs = keep(pivot_pairs(buckets), "pairs")
-    links = keep(_verify(own, pairs, SHINGLE_WORDS, PART), "found")
+    # from here on only texts that share a table with another one
+    met = buckets.select(F.col("rep").alias("met")).distinct()
+    own = keep(_with_halves(own.join(met, F.col("doc_id") == F.col("met"), "left_semi")), "texts")
+    links = _verify(own, pairs, SHINGLE_WORDS, PART)
     release(pairs)
-    components = joined_in_buckets(own, buckets, keep(connected_components(links), "components"), SHINGLE_WORDS, PART)
+    components = joined_in_buckets(own, buckets, keep(connected_components(links), "components"), SHINGLE_WORDS, PART, BITS_PER_SHINGLE)
     return named_rows(rows, classes, components).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
