@@ -79,6 +79,7 @@ class Training:
     learning_rate: float = 0.05
     max_depth: int = 6
     min_samples_leaf: int = 20
+    l2: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -131,8 +132,44 @@ def _build(kind: type, values: Mapping[str, Any]):
     return kind(**made)
 
 
+# The names that shipped configuration files use for sections and keys, by ours. A key
+# with "" and a section of SKIPPED hold nothing that a plan depends on: paths, worker counts, weight searches.
+SECTIONS = {"flow_gate": "gate", "train": "training", "dtw_query": "sequence"}
+SKIPPED = ("paths", "optimize", "optimize_genetic", "optimize_v2")
+KEYS = {
+    "features": {"raw_features": "raw", "heat_value_col": ""},
+    "training": {"filter_n_bins": "filter_bins", "filter_max_bad_features": "max_bad_features", "test_ratio": "", "input_parquet": "", "output_dir": "", "enable_stratified_split": "", "l2_regularization": "l2", "random_state": "seed"},
+    "sequence": {"query_seq_len": "query_len", "dtw_max_len": "candidate_len", "dtw_min_len": "", "sakoe_chiba_w": "band", "resid_cache_parquet": "", "dtw_feature_weights": "", "n_workers": ""},
+}
+
+
+def translated(values: Mapping[str, Any]) -> dict[str, Any]:
+    """A configuration with our names for one with the shipped names; our own names stay."""
+    out: dict[str, Any] = {}
+    for section, content in values.items():
+        if section in SKIPPED:
+            continue
+        name = SECTIONS.get(section, section)
+        if isinstance(content, Mapping):
+            content = dict(content)
+            if name == "training":
+                content |= content.pop("residual_model_params", None) or {}
+                if not content.pop("enable_filter", True):
+                    content["filter_cols"] = ()
+            if name == "sequence" and isinstance(before := content.get("prefilter"), Mapping):
+                content |= {"prefilter": before.get("enable", True), "prefilter_step": before.get("slide_step", 1)} | {k: before[k] for k in ("load_threshold", "sim_threshold") if k in before}
+            if name == "continuity" and "rate_limit_abs" in content:
+                limits = content.pop("rate_limit_abs") or {}
+                content["rate_limits"] = {c: limits[c] for c in content.pop("rate_limit_features", limits) if c in limits}
+            names = KEYS.get(name, {})
+            content = {names.get(k, k): v for k, v in content.items() if names.get(k, k)}
+        out[name] = content
+    return out
+
+
 def load_config(path: str | None = None, override: Mapping[str, Any] | None = None) -> Config:
-    """Reads YAML (needs PyYAML) or JSON; without a path the defaults. ``override`` wins."""
+    """Reads YAML (needs PyYAML) or JSON, with our names or the shipped ones; without a path the defaults.
+    ``override`` wins. A section or key that is neither known nor listed as skipped is an error."""
     values: dict[str, Any] = {}
     if path:
         text = Path(path).read_text(encoding="utf-8")
@@ -142,7 +179,7 @@ def load_config(path: str | None = None, override: Mapping[str, Any] | None = No
             import yaml
 
             values = yaml.safe_load(text) or {}
-    config = _build(Config, deep_merge(values, override or {}))
+    config = _build(Config, deep_merge(translated(values), translated(override or {})))
     validate(config)
     return config
 

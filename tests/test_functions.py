@@ -151,3 +151,19 @@ def test_whitening_keeps_small_weights():
     m[0, 2] = m[2, 0] = 5e-6
     w = similarity.whitening(m)
     assert np.allclose(w.T @ w, m, rtol=1e-12, atol=0) or np.max(np.abs(w.T @ w - m) / np.sqrt(np.outer(np.diag(m), np.diag(m)))) < 1e-12
+
+
+def test_shipped_names_of_a_configuration(tmp_path):
+    shipped = tmp_path / "shipped.json"
+    shipped.write_text("""{"features": {"raw_features": ["a", "b"], "residual_targets": ["b"], "plan_center_cols": ["a", "load"], "load_col": "load", "heat_value_col": "h", "weights": {"a": 1.0}},
+      "flow_gate": {"enable": true, "mode": "relative", "rel_threshold": 0.1}, "paths": {"cache_path": null}, "optimize": {"x": 1}, "time_col": null,
+      "continuity": {"enable_rate_limit": true, "rate_limit_features": ["a"], "rate_limit_abs": {"a": 2.0, "b": 3.0}, "max_gap_minutes": 7},
+      "train": {"enable_filter": false, "filter_cols": ["a"], "filter_n_bins": 9, "test_ratio": 0.15, "residual_model_params": {"max_iter": 50, "l2_regularization": 2.0, "random_state": 7}},
+      "dtw_query": {"query_seq_len": 4, "dtw_max_len": 5, "n_workers": 4, "slide_step": 3, "prefilter": {"enable": false, "slide_step": 2, "sim_threshold": 0.6}}}""")
+    c = config.load_config(str(shipped), {"flow_gate": {"rel_threshold": 0.2}, "matching": {"top_k": 3}})
+    assert c.features.raw == ("a", "b") and c.gate == config.Gate(mode="relative", rel_threshold=0.2) and c.matching.top_k == 3
+    assert c.continuity.rate_limits == {"a": 2.0} and c.continuity.max_gap_minutes == 7
+    assert (c.training.filter_cols, c.training.filter_bins, c.training.max_iter, c.training.l2, c.training.seed) == ((), 9, 50, 2.0, 7)
+    assert (c.sequence.query_len, c.sequence.candidate_len, c.sequence.slide_step, c.sequence.prefilter, c.sequence.prefilter_step, c.sequence.sim_threshold) == (4, 5, 3, False, 2, 0.6)
+    with pytest.raises(ValueError, match="unheard"):
+        config.load_config(None, {"unheard": 1})
