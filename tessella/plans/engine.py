@@ -14,10 +14,11 @@ from tessella.functions.columns import features, in_range, numeric, renamed, req
 from tessella.functions.stats import covariance, weighted_inverse, with_percentile_rank
 from tessella.operators.blocks import numbered
 from tessella.operators.continuity import apply_continuity
-from tessella.operators.matching import gate_join, match_details, plan_points, scored, top_k
+from tessella.operators.matching import best_pairs, match_details, plan_points
 from tessella.operators.models import Model, with_models
 from tessella.operators.sampling import daily_sample, random_window, row_at, with_position
 from tessella.operators.sequences import planned_sequences
+from tessella.plans.report import time_distances
 from tessella.sources.tables import settled
 
 
@@ -42,6 +43,7 @@ class PlanningEngine:
         df = numeric(require(renamed(self._samples, f.column_aliases), own, "the store"), own).dropna(subset=own)
         if "pos" not in df.columns:
             df = with_position(df, own)
+        self.windows = settled(df.select("pos", F.col("window").cast("string")), "windows") if "window" in df.columns else None
         df = df.withColumn("load", F.col(f.load_col)).withColumn("eff", F.col(f.eff_col))
         self.store = with_percentile_rank(df, "eff", "eff_score").select("pos", "load", "eff", "eff_score", *dict.fromkeys([*f.similarity, *[c for c in f.plan_center_cols if c != "load"]]))
         if self._inverse is None:
@@ -97,17 +99,26 @@ class PlanningEngine:
         return self.plan(queries), self.details(queries)
 
     def validation(self, minutes: DataFrame, days: int, seed: int = 42) -> DataFrame:
-        """Planned against actual values in a window of ``days`` days: qid, column, actual, planned."""
+        """Planned against actual values in a window of ``days`` days: qid, column, actual, planned, and the
+        plan's match_status, s_topk_mean, and how many days its samples' windows are away (top1_days,
+        topk_mean_days; null unless the samples have the column window, ``start~end``)."""
         time = time_column(minutes, self.config.time_col)
-        plans = self.plan(self.queries_of(random_window(minutes, time, days, seed), time))
+        queries = settled(self.queries_of(random_window(minutes, time, days, seed), time), "validation")
+        plans = self.plan(queries)
+        if self.windows is not None:
+            f, c = self.config.features, self.config
+            best = best_pairs(queries, self.store, f.similarity, self.metric(), c.gate, c.matching)
+            away = time_distances(best.select("qid", "rank", "pos").join(self.windows, "pos"), "qid", "window")
+            plans = plans.join(away.withColumnRenamed("qid", "__qid"), F.col("qid") == F.col("__qid"), "left").drop("__qid")
+        else:
+            plans = plans.withColumns({c: F.lit(None).cast("double") for c in ("top1_days", "topk_mean_days")})
         rows = [F.struct(F.lit(c).alias("column"), (F.col(f"q_{c}") if f"q_{c}" in plans.columns else F.col("q_load")).alias("actual"), F.col(f"plan_{c}").alias("planned")) for c in self.config.features.plan_center_cols]
-        return plans.select("qid", F.explode(F.array(*rows)).alias("r")).select("qid", "r.*")
+        return plans.select("qid", F.explode(F.array(*rows)).alias("r"), "match_status", "s_topk_mean", "top1_days", "topk_mean_days").select("qid", "r.*", "match_status", "s_topk_mean", "top1_days", "topk_mean_days")
 
     def details(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """One row per query and matched sample."""
         f, c = self.config.features, self.config
-        hits = scored(gate_join(queries, self.store, c.gate), f.similarity, self.metric(), c.matching)
-        return match_details(top_k(hits, k or c.matching.top_k), f.similarity)
+        return match_details(best_pairs(queries, self.store, f.similarity, self.metric(), c.gate, c.matching, k), f.similarity)
 
     def run_batch(self, minutes: DataFrame, start=None, end=None, keys: Sequence[str] = (), output: str | None = None) -> DataFrame:
         """Plans for all rows of a time range, with continuity per series; written if ``output``."""

@@ -148,3 +148,7 @@ def test_training_and_engine_end_to_end(spark):
     both = engine.presets(engine.queries_of(minutes.limit(5), "id"), dict(zip("xy", weights)))
     assert both.groupBy("preset").count().count() == 2
     assert engine.details(engine.queries_of(minutes.limit(2), "id"), 3).count() == 6
+    checked = PlanningEngine(spark, config, trained.store.withColumnRenamed("id", "pos").withColumn("window", F.lit("2025-01-01 00:00:00~2025-01-01 02:00:00")), trained.cov_reg_inverse).validation(minutes, 1)
+    rows = checked.collect()
+    assert {r["column"] for r in rows} == {"a", "b"} and len(rows) == 400 and all(r["match_status"].startswith("matched") and abs(r["top1_days"] - r["topk_mean_days"]) < 1e-9 for r in rows)
+    assert all(abs(r["top1_days"] - abs((r["qid"] - datetime(2025, 1, 1, 1)).total_seconds()) / 86400) < 1e-9 for r in rows)
