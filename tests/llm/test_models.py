@@ -70,6 +70,20 @@ def test_probabilities_sum_to_one_in_every_context(documents):
         assert np.allclose(sums + model.opened[s] * model.unknown[s] / model.below, 1)
 
 
+def test_scores_do_not_depend_on_batches(documents, spark):
+    rng = np.random.default_rng(6)
+    docs = documents([" ".join(f"w{int(k)}" for k in rng.zipf(1.4, 60) % 300) for _ in range(50)])
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(setting)
+    for rows in ("7", before):
+        spark.conf.set(setting, rows)
+        try:
+            seen.append({r["doc_id"]: r["score"] for r in pitman_yor.score(docs, pitman_yor.fit(docs.select("text"))).collect()})
+        finally:
+            spark.conf.set(setting, before)
+    assert len(seen[0]) == 50 and all(abs(seen[0][i] - seen[1][i]) < 1e-9 * abs(seen[0][i]) for i in seen[0])
+
+
 def test_seating_agrees_with_a_customer_by_customer_sampler():
     rng, discount = np.random.default_rng(4), 0.8
     for n, a in ((2, 0.5), (7, 1.0), (30, 4.0), (60, 0.2)):
@@ -88,7 +102,7 @@ def test_seating_agrees_with_a_customer_by_customer_sampler():
                 if len(seen) > 40_000:
                     break
             seen.append(len(sizes))
-        at_once = pitman_yor.seating(discount).draw(np.full(20_000, n), np.full(20_000, a), rng)
+        at_once = pitman_yor.seating(discount).draw(np.full(20_000, n), np.full(20_000, a), rng.random(20_000))
         assert abs(np.mean(seen) - at_once.mean()) < 0.05 * np.mean(seen) + 0.03, (n, a)
 
 
@@ -96,9 +110,9 @@ def test_seating_of_many_customers_follows_the_recurrence():
     short, long = pitman_yor.Seating(0.8, 256), pitman_yor.Seating(0.8, 1024)
     rng = np.random.default_rng(5)
     for n, a in ((600, 0.5), (1000, 5.0), (1000, 60.0)):
-        one, other = (s.draw(np.full(20_000, n), np.full(20_000, a), rng) for s in (short, long))
+        one, other = (s.draw(np.full(20_000, n), np.full(20_000, a), rng.random(20_000)) for s in (short, long))
         assert abs(one.mean() - other.mean()) < 0.02 * other.mean() + 0.02, (n, a)
-    assert long.draw(np.array([10_000_000]), np.array([50.0]), rng)[0] > 20
+    assert long.draw(np.array([10_000_000]), np.array([50.0]), rng.random(1))[0] > 20
 
 
 # --- op4 ---------------------------------------------------------------------------------------
