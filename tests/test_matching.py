@@ -50,3 +50,50 @@ def test_no_samples_and_no_queries(spark):
     run = lambda q, s: M.best_pairs(asked(q), s, ["a"], np.eye(1), Gate(), Matching()).collect()
     assert run(some, empty) == [] and run(empty, some) == []
     assert sorted((r["qid"], r["pos"], r["rank"]) for r in run(some, some)) == [(1, 1, 1), (1, 3, 2), (3, 1, 2), (3, 3, 1)]
+
+
+def test_rows_that_share_a_qid_are_one_query(spark):
+    store = spark.createDataFrame([(i, 5.0, float(i // 8), 0.5) for i in range(64)], "pos long, load double, a double, eff_score double")
+    asked = spark.createDataFrame([(1, 5.0, 0.2), (1, 5.0, 0.2), (1, 5.0, 3.1), (2, 5.0, 2.0), (2, 5.0, 2.0)], "qid long, q_load double, q_a double")
+    rows = M.best_pairs(asked, store, ["a"], np.eye(1), Gate(), Matching(top_k=5)).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["rank"], r["pos"]) for r in rows] == [(1, i + 1, p) for i, p in enumerate([24, 25, 26, 27, 28])] + [(2, i + 1, p) for i, p in enumerate([16, 16, 17, 17, 18])]
+
+
+def test_pairs_in_question_dont_grow_with_copies(spark):
+    """Copies of samples and of queries, and queries far from all loads, add no pairs to what is ranked."""
+    copies = 40
+    rng = np.random.default_rng(5)
+    base = [(float(l), float(a), float(b)) for l, a, b in zip(rng.uniform(0, 100, 200), rng.normal(size=200), rng.normal(size=200))]
+    store = spark.createDataFrame([(i + 200 * c, l, a, b, 0.5) for c in range(copies) for i, (l, a, b) in enumerate(base)], "pos long, load double, a double, b double, eff_score double")
+    asked = store.filter("pos % 10 = 0").select(F.col("pos").alias("qid"), F.col("load").alias("q_load"), F.col("a").alias("q_a"), F.col("b").alias("q_b"))
+    far = asked.withColumn("qid", F.col("qid") + 1_000_000).withColumn("q_load", F.lit(1e9) + F.col("q_load"))
+    rows = M.best_pairs(asked.unionByName(far), store, ["a", "b"], np.eye(2), Gate(abs_threshold=20.0), Matching(top_k=5))
+    got = rows.collect()
+    assert len(got) == 5 * asked.count() and all(r["s"] == 1.0 and r["pos"] == r["qid"] % 200 + 200 * (r["rank"] - 1) for r in got)
+    joins, todo = [], [rows._jdf.queryExecution().executedPlan()]
+    while todo:  # rows made by the plan's joins
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        if name.endswith("JoinExec"):
+            joins.append(node.metrics().apply("numOutputRows").value())
+    assert joins and max(joins) <= 5 * asked.count()
+
+
+def test_nearest_by_load_ranks_few_pairs(spark):
+    """Queries above all loads, and loads with more samples than a block, against all pairs."""
+    loads = [1.0] * 700 + [2.0] * 3 + [float(x) for x in range(10, 900)]
+    store = spark.createDataFrame([(i, l) for i, l in enumerate(loads)], "pos long, load double")
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate([1e6, 1e6, -5.0, 1.5, 6.0, 455.5, 899.0, 899.0])], "qid long, q_load double")
+    rows = M.nearest_by_load(asked, store, 4, near_rows=64)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["pos"]
+    for i, q in enumerate([1e6, 1e6, -5.0, 1.5, 6.0, 455.5, 899.0, 899.0]):
+        assert [got[i][r] for r in range(1, 5)] == sorted(range(len(loads)), key=lambda p: (abs(q - loads[p]), p))[:4]
