@@ -46,7 +46,8 @@ class LivePlans:
     """Plans for each batch of a stream of query rows (what ``PlanningEngine.queries_of`` takes), with
     continuity from batch to batch.
 
-    A batch joins the store by load buckets as a batch query does. It writes its plans, its late
+    A batch joins the store by load buckets as a batch query does; rows of a series that share a time
+    have one plan, of the best samples of all of them, which the limits see once. It writes its plans, its late
     rows and the state after it to folders of its own, which it replaces when it runs again: after a
     crash at any point the restarted query gives the same tables. A series that has been silent
     for ``expire_minutes`` before the newest row leaves the state.
@@ -71,8 +72,12 @@ class LivePlans:
 
     def run_batch(self, batch: DataFrame, number: int) -> None:
         key = F.struct(*self.keys, self.time)
-        plans = self.engine.plan(self.engine.queries_of(batch, key)).withColumns({c: F.col("qid")[c] for c in [*self.keys, self.time]}).drop("qid")
+        plans = self.engine.plan(self.engine.queries_of(batch, key))
+        one = [c for c in plans.columns if c != "qid"]  # rows that share series and time are one plan, which each of them gets
+        plans = plans.groupBy("qid").agg(F.min(F.struct(*one)).alias("one"), F.count(F.lit(1)).cast("int").alias("__rows")).select("qid", "one.*", "__rows")
+        plans = plans.withColumns({c: F.col("qid")[c] for c in [*self.keys, self.time]}).drop("qid")
         out, last = limited_after(plans, self._state(number - 1), self.time, self.columns, self.limits, self.keys)
+        out = out.withColumn("__row", F.explode(F.array_repeat(F.lit(0), F.col("__rows")))).drop("__row", "__rows")
         done = f"{self.path}/all/batch={number}"
         out.write.mode("overwrite").parquet(done)  # once: plans and late rows are read from here
         if self.expire_minutes is not None:

@@ -104,3 +104,12 @@ def test_live_state_is_bounded_and_late_rows_are_kept(spark, tmp_path):
     mine.start(files(spark, str(tmp_path / "in"), parts, schema), str(tmp_path / "state")).awaitTermination()
     assert [(r["s"], r["ts"], r["final_plan_a"]) for r in mine.late().collect()] == [("3", at(50), None)] and mine.plans().count() == 5
     assert sorted(r["s"] for r in spark.read.parquet(str(tmp_path / "out" / "state" / "batch=4")).collect()) == ["2", "3"]
+
+
+def test_rows_of_a_series_that_share_a_time_have_one_plan(spark, tmp_path):
+    schema = "s string, ts timestamp_ntz, load double, a double, b double"
+    parts = [[("x", at(0), 100.0, 9.0, 0.0)], [("x", at(10), 100.0, -9.0, 0.0), ("x", at(10), 100.0, -9.0, 0.0), ("x", at(10), 100.0, 4.0, 1.0)]]
+    mine = live.LivePlans(engine(spark), str(tmp_path / "out"), "ts", ["s"])
+    mine.start(files(spark, str(tmp_path / "in"), parts, schema), str(tmp_path / "state")).awaitTermination()
+    rows = mine.plans().filter(f"ts = timestamp_ntz'{at(10)}'").select("plan_a", "final_plan_a", "continuity_status").collect()
+    assert len(rows) == 3 and len(set(rows)) == 1 and rows[0]["continuity_status"] == "limited"
