@@ -477,18 +477,32 @@ def _first_bucket(slot: list[str]) -> Column:
     return F.min_by("h", "slot") if slot else F.min("h")
 
 
-def _open(buckets: DataFrame, components: DataFrame, least: int) -> DataFrame:
-    """(rep, size, h, band, component, components) of the buckets' bands of sizes that have ``least`` or
-    more rows, of two or more components. Rows at a band's edge are in the next band too. Of bands with the same
-    rows under several shingles one stays, that of the smallest slot if there are slots."""
-    slot = _slot(buckets)
+def _placed(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """(rep, size, h, band, component): the rows of the buckets' bands of sizes. Rows at a band's edge are
+    in the next band too."""
     edge = lambda n: F.floor(F.log(n) / math.log(BAND)).cast("int")
     banded = F.explode(F.array_distinct(F.array(edge(F.col("n")), edge(F.col("n") * (WHOLE / PART + 0.01))))).alias("band")
-    placed = buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").alias("size"), "h", *slot, banded, F.coalesce("component", "rep").alias("component"))
-    rows = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), *[F.min(c).alias(c) for c in slot]]
-    several = placed.groupBy("h", "band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.approx_count_distinct("component").alias("components"), *rows).filter((F.col("m") >= least) & (F.col("low") != F.col("high")))
-    one = keep(several.groupBy("band", "m", "x", "y").agg(_first_bucket(slot).alias("of"), F.min("components").alias("components")).withColumnRenamed("band", "in"), "several")
-    return placed.join(one, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("rep", "size", "h", *slot, "band", "component", "components")
+    return buckets.join(components, F.col("rep") == F.col("node"), "left").select("rep", F.col("n").alias("size"), "h", *_slot(buckets), banded, F.coalesce("component", "rep").alias("component"))
+
+
+def _per_component(placed: DataFrame, turn: int) -> DataFrame:
+    """Of each bucket's band a row for each component: how many rows (m) of which sizes (s), hashes of
+    them all (x, y) and a few of them (reps), others in each turn."""
+    rows = [F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), *[F.min(c).alias(c) for c in _slot(placed)]]
+    picks = [F.min_by("rep", F.xxhash64("rep", F.lit(turn * PICKED + i))) for i in range(PICKED)]
+    return placed.groupBy("h", "band", "component").agg(*rows, F.array_distinct(F.array(*picks)).alias("reps"))
+
+
+def _open(members: DataFrame, least: int) -> DataFrame:
+    """(of, in, components, top, others, tops): a row for each bucket's band that has ``least`` or more rows, of
+    two or more components; top is the largest, and others and tops are the blocks for the rest and for it. Of
+    bands with the same rows under several shingles one stays, that of the smallest slot if there are slots."""
+    slot = _slot(members)
+    rows = [F.sum("m").alias("m"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), *[F.min(c).alias(c) for c in slot]]
+    several = members.groupBy("h", "band").agg(*rows, F.count(F.lit(1)).alias("components"), F.max(F.struct("m", "component", "s")).alias("top")).filter((F.col("m") >= least) & (F.col("components") > 1))
+    one = several.groupBy("band", "m", "x", "y").agg(_first_bucket(slot).alias("of"), F.max(F.struct("components", "s", "top")).alias("t"))
+    own = one.select("of", F.col("band").alias("in"), "t.components", F.col("t.top.component").alias("top"), F.col("t.top.m").alias("top_m"), F.col("t.top.s").alias("top_s"), (F.col("m") - F.col("t.top.m")).alias("rest"), (F.col("t.s") - F.col("t.top.s")).alias("rest_s"))
+    return own.select("of", "in", "components", "top", _blocks("rest", "rest_s").alias("others"), _blocks("top_m", "top_s").alias("tops"))
 
 
 def _blocks(rows: str, shingles: str) -> Column:
@@ -496,11 +510,10 @@ def _blocks(rows: str, shingles: str) -> Column:
     return F.greatest(F.floor(F.col(rows) / BUCKET_ROWS), F.floor(F.col(shingles) / BUCKET_SHINGLES)).cast("long") + 1
 
 
-def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int, k: int, per: int) -> DataFrame:
-    """(a, b): per bucket pairs that would join its components, of a few rows of each."""
-    picks = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PICKED + i)).alias("x"), "rep"))["rep"] for i in range(PICKED)]
+def _likely_candidates(own: DataFrame, members: DataFrame, bands: DataFrame, width: int, turn: int, k: int, per: int) -> DataFrame:
+    """(a, b): per open band pairs that would join its components, of a few rows of each."""
     salt = F.pmod(F.xxhash64("component", F.lit(turn)), F.expr(f"components div {BUCKET_ROWS} + 1")).alias("salt")
-    few = left.groupBy("h", "band", "component", "components").agg(F.array_distinct(F.array(*picks)).alias("reps")).select("h", "band", "component", salt, F.explode("reps").alias("rep"))
+    few = members.join(bands, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).select("h", "band", "component", salt, F.explode("reps").alias("rep"))
     few = keep(few, "picked")
     met = _with_bitmaps(own, few, k, per).repartition(width, "h", "band", "salt").sortWithinPartitions("h", "band", "salt")
     out = keep(met.mapInPandas(_spanning_pairs, "a long, b long").distinct(), "likely")
@@ -508,24 +521,18 @@ def _likely_candidates(own: DataFrame, left: DataFrame, width: int, turn: int, k
     return out
 
 
-def _all_candidates(own: DataFrame, left: DataFrame, width: int, k: int, per: int) -> DataFrame:
-    """(a, b): per bucket all pairs of rows of different components that the bitmaps leave.
+def _all_candidates(own: DataFrame, placed: DataFrame, bands: DataFrame, width: int, k: int, per: int) -> DataFrame:
+    """(a, b): per open band all pairs of rows of different components that the bitmaps leave.
 
-    The rows of a bucket's largest component and all others are dealt to blocks; a block of others
+    The rows of a band's largest component and all others are dealt to blocks; a block of others
     meets every block, blocks of the largest component don't meet each other.
     """
-    sums = left.groupBy("h", "band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
-    sums = sums.groupBy("h", "band").agg(F.sum("m").alias("all"), F.sum("s").alias("sizes"), F.max(F.struct("m", "component", "s")).alias("top"))
-    sums = sums.select(F.col("h").alias("of"), F.col("band").alias("in"), F.col("top.component").alias("top"), F.col("top.m").alias("m"), F.col("top.s").alias("s"), F.expr("all - top.m").alias("rest"), F.expr("sizes - top.s").alias("rest_s"))
-    sums = keep(sums.select("of", "in", "top", _blocks("rest", "rest_s").alias("others"), _blocks("m", "s").alias("tops")), "bands")
-    rows = left.join(sums, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).withColumn("major", F.col("component") == F.col("top"))
+    rows = placed.join(bands, (F.col("h") == F.col("of")) & (F.col("band") == F.col("in"))).withColumn("major", F.col("component") == F.col("top"))
     rows = rows.withColumn("block", F.when(F.col("major"), F.col("others") + F.pmod(F.xxhash64("rep"), "tops")).otherwise(F.pmod(F.xxhash64("rep"), "others")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("major"), F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1))))
-    rows = rows.select("rep", "h", *_slot(left), "band", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("other") < F.col("block")).cast("int").alias("side"))
+    rows = rows.select("rep", "h", *_slot(placed), "band", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("other") < F.col("block")).cast("int").alias("side"))
     met = _with_bitmaps(own, rows, k, per).repartition(width, "h", "band", "i", "j").sortWithinPartitions("h", "band", "i", "j")
-    out = keep(met.mapInPandas(_all_pairs(per), "a long, b long").distinct(), "candidates")
-    release(sums)
-    return out
+    return keep(met.mapInPandas(_all_pairs(per), "a long, b long").distinct(), "candidates")
 
 
 def _verify(own: DataFrame, pairs: DataFrame, k: int, part: int) -> DataFrame:
@@ -552,12 +559,15 @@ def joined_in_buckets(own: DataFrame, buckets: DataFrame, components: DataFrame,
     (rep, n, h): steps 2 and 3."""
     width = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for turn in range(TURNS + 1):
-        left = keep(_open(buckets, components, 2 if turn == TURNS else MANY), "open")
-        if not left.head(1):
+        placed = _placed(buckets, components)
+        members = keep(_per_component(placed, turn), "members")
+        bands = keep(_open(members, 2 if turn == TURNS else MANY), "open")
+        if not bands.head(1):
+            release(members, bands)
             continue
-        tried = _all_candidates(own, left, width, k, per) if turn == TURNS else _likely_candidates(own, left, width, turn, k, per)
+        tried = _all_candidates(own, placed, bands, width, k, per) if turn == TURNS else _likely_candidates(own, members, bands, width, turn, k, per)
         more = _verify(own, tried, k, part)
-        release(left, tried)
+        release(members, bands, tried)
         if more.head(1):
             components = keep(joined_components(components, more), "components")
     return components

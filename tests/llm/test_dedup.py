@@ -202,6 +202,25 @@ def test_minhash_in_large_groups(documents, monkeypatch):
     assert got == components_by_force(texts, 4, 80)
 
 
+def test_turns_take_a_row_of_each_component_and_bucket(documents, monkeypatch):
+    """A large group that is one component already isn't brought to its open buckets row by row."""
+    kept, keep = [], jaccard_join.keep
+    monkeypatch.setattr(jaccard_join, "keep", lambda df, name, *more: kept.append((name, keep(df, name, *more))) or kept[-1][1])
+    monkeypatch.setattr(jaccard_join, "release", lambda *tables: None)
+    rng = np.random.default_rng(2)
+    base, texts = passage(rng, 120).split(), []
+    for i in range(100):
+        words = list(base)
+        for at in rng.integers(0, 120, 1 if i < 90 else 10):
+            words[int(at)] = f"w{i}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.minhash_components(documents(texts)).collect()}
+    assert got == components_by_force(texts, 4, 80) and len({c for _, c in got.values()}) > 1
+    opened = [t for name, t in kept if name == "open"]
+    assert opened and all(t.groupBy("of", "in").count().filter("count > 1").count() == 0 for t in opened if t.head(1))
+    assert all(t.groupBy("h", "band", "component").count().filter("count > 1").count() == 0 for name, t in kept if name == "members")
+
+
 def test_half_keys_agree_as_often_as_sets():
     """A half key is shared with probability J to the power of its minima."""
     rng, hits, tries = np.random.default_rng(8), 0, 0
