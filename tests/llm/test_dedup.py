@@ -303,6 +303,17 @@ def test_fuzzy_lines_of_a_large_bucket_are_all_compared(documents, monkeypatch):
     assert got == {d: int(d < 60) for d in range(100)}
 
 
+def test_only_lines_that_meet_others_are_brought_to_comparisons(documents, monkeypatch):
+    seen, linked = [], line_dedup._linked
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, lines, signed: seen.append((lines.count(), signed.count())) or linked(pairs, lines, signed))
+    rng = np.random.default_rng(11)
+    texts = [passage(rng, 14) for _ in range(40)]
+    texts += [t[:-2] + "#" for t in texts[:2]]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_dedup(documents(texts)).collect()}
+    assert got == {d: int(d < 40) for d in range(42)}
+    assert seen and all(2 <= n <= 8 for counts in seen for n in counts)
+
+
 def test_recall_of_links_under_a_shared_header(documents):
     """Pairs of a similarity just over 3/4 whose lines all begin alike."""
     rng, header = np.random.default_rng(8), passage(np.random.default_rng(1), 8)[:40]
