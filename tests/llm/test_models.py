@@ -70,6 +70,47 @@ def test_probabilities_sum_to_one_in_every_context(documents):
         assert np.allclose(sums + model.opened[s] * model.unknown[s] / model.below, 1)
 
 
+def test_each_word_is_a_context_of_its_own(documents):
+    """Every context has a follower of its own: no other context's follower is as likely there."""
+    model = pitman_yor.fit(documents([f"c{i} f{i}" for i in range(300)] * 3).select("text"))
+    pairs = [(i, (i + j) % 300) for i in range(300) for j in range(8)]
+    rows = pitman_yor.score(documents([f"c{i} f{j}" for i, j in pairs]), model).orderBy("doc_id").collect()
+    scores = {pair: r["score"] for pair, r in zip(pairs, rows)}
+    assert all(scores[i, i] > scores[i, j] + 0.5 for i, j in pairs if i != j)
+
+
+def test_scores_by_bucket_are_the_models(documents, monkeypatch):
+    """Many buckets and few frequent words, against sums over the tables of pairs."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_CHARS", 400)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 50) % 400) for _ in range(80)]
+    model = pitman_yor.fit(documents(texts[:60]).select("text"), hot_words=15)
+    assert model.buckets > 5 and 1 <= len(model.hot) <= 15
+    pairs, parent, below, opened = {}, {}, {}, {}
+    for r in model.table().collect():
+        tables = np.array([r[f"tables{s}"] for s in range(pitman_yor.SAMPLES)])
+        pairs[r["before"], r["word"]] = r["count"], tables
+        parent[r["word"]] = np.array([r[f"parent{s}"] for s in range(pitman_yor.SAMPLES)])
+        below[r["before"]] = below.get(r["before"], pitman_yor.STRENGTH) + r["count"]
+        opened[r["before"]] = opened.get(r["before"], pitman_yor.STRENGTH) + pitman_yor.DISCOUNT * tables
+        assert (1 <= tables).all() and (tables <= r["count"]).all()
+    assert len(parent) == model.vocabulary and np.allclose(sum(parent.values()) + model.unknown, 1)
+
+    def probability(word, before):
+        n, tables = pairs.get((before, word), (0, np.zeros(pitman_yor.SAMPLES)))
+        rest = opened.get(before, pitman_yor.STRENGTH) * parent.get(word, model.unknown)
+        return (n - pitman_yor.DISCOUNT * tables + rest) / below.get(before, pitman_yor.STRENGTH)
+
+    for before in list(below)[::40]:
+        assert np.allclose(sum(probability(w, before) for w in parent) + probability(None, before), 1)
+    for frequent in (0, 1000):
+        for r in pitman_yor.score(documents(texts), model, frequent=frequent).collect():
+            word, before, _ = pitman_yor.tokens([texts[r["doc_id"]]], model.hot)
+            want = sum(math.log10(probability(w, u).mean()) for w, u in zip(word.view(np.int64).tolist(), before.view(np.int64).tolist()))
+            assert math.isclose(r["score"], want, rel_tol=1e-9)
+    assert sum(u < 0 and w < 0 for u, w in pairs) > 100  # two rare words
+
+
 def test_scores_do_not_depend_on_batches(documents, spark):
     rng = np.random.default_rng(6)
     docs = documents([" ".join(f"w{int(k)}" for k in rng.zipf(1.4, 60) % 300) for _ in range(50)])
