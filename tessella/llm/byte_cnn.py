@@ -85,7 +85,7 @@ def pooled(net: ByteCNN, texts) -> np.ndarray:
     # a filter that starts near the end of a text's last block would see the next text
     per = BLOCK // STRIDE
     blocks = np.empty((int(first[-1]), FILTERS), np.float32)
-    step = 1 << 12
+    step = 1 << 11
     for lo in range(0, int(first[-1]), step):
         hi = min(lo + step, int(first[-1]))
         before = min(lo * BLOCK, BLOCK)
@@ -118,7 +118,7 @@ def probability(net: ByteCNN, features: np.ndarray) -> np.ndarray:
 def score_texts(net: ByteCNN, texts) -> np.ndarray:
     """Probability that each text is good; empty and null texts are scored as zero bytes."""
     out = np.empty(len(texts))
-    for lo, hi in slices(texts, 1 << 20):
+    for lo, hi in slices(texts, 1 << 19):
         out[lo:hi] = probability(net, pooled(net, texts[lo:hi]))
     return out
 

@@ -43,11 +43,11 @@ PART, WHOLE = 75, 100
 #: Of each set's size: what prefixes have beyond the first quarter, and what rows may leave out.
 LONGER, LEFT_OUT = 10, 3.75
 #: Rows, and shingles of all of them, that one task compares at once, if there is more than one row.
-FAN, BUCKET_ROWS, BUCKET_SHINGLES = 16, 2048, 4 << 20
+FAN, BUCKET_ROWS, BUCKET_SHINGLES = 16, 2048, 2 << 20
 #: The more bits, the nearer to the threshold are the pairs that have to be compared exactly.
 BITS_PER_SHINGLE = 8
 #: Characters hashed at once, with some 50 bytes of arrays each, and bytes of bitmaps compared at once.
-AT_ONCE, COMPARED_BYTES = 1 << 19, 8 << 20
+AT_ONCE, COMPARED_BYTES = 1 << 18, 4 << 20
 #: Step 2: its turns, rows of each component, and rows of the buckets it is for; ratio of sizes of a band.
 TURNS, PICKED, MANY, BAND = 2, 6, 64, 3.2
 SAMPLE_ROWS, HOT_IN_SAMPLE, HOT_AT_MOST = 5_000, 10, 200_000

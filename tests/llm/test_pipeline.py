@@ -59,3 +59,23 @@ def test_run_equals_a_plain_version(spark, tmp_path, monkeypatch):
 def test_run_of_empty_and_null_tables(spark, tmp_path, rows):
     folder = tables(spark, tmp_path, rows, [])
     assert {r["n_tokens"] for r in corpus_pipeline.run(spark, folder).collect()} <= {0}
+
+
+def test_python_steps_expand_a_bounded_part_of_a_batch():
+    """Two workers share an executor's memory with its JVM."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tessella.llm import byte_cnn, jaccard_join
+
+    rng = np.random.default_rng(0)
+    net = byte_cnn.ByteCNN(*(rng.normal(size=s).astype(np.float32) for s in ((8, 256, 16), (17, 16), (16,))), rng.normal(size=16), 0.1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 400)) for _ in range(1000)]
+    for step, most in ((lambda: byte_cnn.score_texts(net, texts), 20e6), (lambda: jaccard_join.shingle_sets(texts), 16e6)):
+        tracemalloc.start()
+        try:
+            step()
+            assert tracemalloc.get_traced_memory()[1] < most
+        finally:
+            tracemalloc.stop()
