@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -331,6 +332,32 @@ def test_recall_of_links_under_a_shared_header(documents):
     assert all(got[2 * k + 1] == 1 for k in range(150) if k not in linked)
 
 
+def test_fine_signatures_keep_links_and_leave_out_lines_half_alike(documents):
+    """Similarities near 3/4 pass, of those near 1/2 few do; short lines have empty parts."""
+    rng = np.random.default_rng(13)
+    texts, similarity = [], []
+    for i in range(200):
+        letters = rng.integers(97, 123, 60 if i % 4 == 0 else 600, dtype=np.uint8).tobytes().decode()
+        tail = len(letters) // (8 if i % 2 else 3)
+        texts += [letters, letters[:-tail] + rng.integers(97, 123, tail, dtype=np.uint8).tobytes().decode()]
+        a, b = ({t[j : j + 8] for j in range(len(t) - 7)} for t in texts[-2:])
+        similarity.append(len(a & b) / len(a | b))
+    signed = line_dedup.fine_signatures(documents(texts).selectExpr("doc_id AS line_id", "text AS key")).localCheckpoint()
+    left, right = line_dedup._marked(signed, "_a"), line_dedup._marked(signed, "_b")
+    met = {r["line_id_a"] // 2 for r in left.join(right, (left.line_id_a % 2 == 0) & (left.line_id_a + 1 == right.line_id_b) & line_dedup._finely_near("_a", "_b")).select("line_id_a").collect()}
+    links, halves = ({i for i, x in enumerate(similarity) if low <= x < high} for low, high in ((0.75, 1), (0.4, 0.55)))
+    assert len(links) > 90 and links <= met
+    assert len(halves) > 45 and len({i for i in halves if len(texts[2 * i]) > 100} & met) <= 5
+
+
+def test_shingles_of_a_long_line_take_time_in_proportion(documents):
+    line = np.random.default_rng(14).integers(97, 123, 600_000, dtype=np.uint8).tobytes().decode()
+    docs = documents([line]).coalesce(1)
+    began = time.monotonic()
+    assert docs.select(F.size(line_dedup.shingle_set("text"))).first()[0] == len({line[i : i + 8] for i in range(len(line) - 7)})
+    assert time.monotonic() - began < 12  # a copy of the line for each shingle is 360 GB
+
+
 def test_lines_run_without_python(documents):
     plan = line_dedup.line_bands(line_dedup.signatures(documents(["a"]).selectExpr("doc_id AS line_id", "text AS key")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
