@@ -14,7 +14,7 @@ from tessella.functions.columns import features, in_range, numeric, renamed, req
 from tessella.functions.stats import covariance, weighted_inverse, with_percentile_rank
 from tessella.operators.blocks import numbered
 from tessella.operators.continuity import apply_continuity
-from tessella.operators.matching import best_pairs, match_details, plan_points
+from tessella.operators.matching import PointIndex, best_pairs, match_details, plan_points
 from tessella.operators.models import Model, with_models
 from tessella.operators.sampling import daily_sample, random_window, row_at, with_position
 from tessella.operators.sequences import planned_sequences
@@ -45,7 +45,8 @@ class PlanningEngine:
             df = with_position(df, own)
         self.windows = settled(df.select("pos", F.col("window").cast("string")), "windows") if "window" in df.columns else None
         df = df.withColumn("load", F.col(f.load_col)).withColumn("eff", F.col(f.eff_col))
-        self.store = with_percentile_rank(df, "eff", "eff_score").select("pos", "load", "eff", "eff_score", *dict.fromkeys([*f.similarity, *[c for c in f.plan_center_cols if c != "load"]]))
+        store = with_percentile_rank(df, "eff", "eff_score").select("pos", "load", "eff", "eff_score", *dict.fromkeys([*f.similarity, *[c for c in f.plan_center_cols if c != "load"]]))
+        self.store, self._indexes = settled(store, "store"), {}
         if self._inverse is None:
             self._inverse = np.linalg.pinv(covariance(self.store, f.similarity, self.config.training.reg_lambda))
 
@@ -54,6 +55,13 @@ class PlanningEngine:
         w = weight_vector(f.similarity, weights or feature_weights(f))
         return weighted_inverse(np.linalg.pinv(self._inverse), w)
 
+    def index(self, weights: dict[str, float] | None = None) -> PointIndex:
+        """The store placed for queries, once for each weighting until it is built again."""
+        f, c, metric = self.config.features, self.config, self.metric(weights)
+        if metric.tobytes() not in self._indexes:
+            self._indexes[metric.tobytes()] = PointIndex(self.store, f.similarity, metric, c.gate, c.matching)
+        return self._indexes[metric.tobytes()]
+
     def queries_of(self, minutes: DataFrame, qid: str | Column, lenient: bool = False) -> DataFrame:
         """Query rows of a table that has the features; residuals that it lacks come from the
         engine's models. A missing column is an error unless ``lenient``."""
@@ -68,7 +76,7 @@ class PlanningEngine:
     def plan(self, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
         """A plan row for each query, without continuity."""
         f, c = self.config.features, self.config
-        return plan_points(queries, self.store, f.similarity, self.metric(weights), c.gate, c.matching, f.plan_center_cols)
+        return plan_points(queries, self.store, f.similarity, self.metric(weights), c.gate, c.matching, f.plan_center_cols, self.index(weights))
 
     def plan_one(self, values: Mapping[str, float | None], previous: Mapping[str, float | None] | None = None) -> DataFrame:
         """The plan of one row of features, as one row. With ``previous``, the last final centre
@@ -106,8 +114,7 @@ class PlanningEngine:
         queries = settled(self.queries_of(random_window(minutes, time, days, seed), time), "validation")
         plans = self.plan(queries)
         if self.windows is not None:
-            f, c = self.config.features, self.config
-            best = best_pairs(queries, self.store, f.similarity, self.metric(), c.gate, c.matching)
+            best = self.index().best(queries)
             away = time_distances(best.select("qid", "rank", "pos").join(self.windows, "pos"), "qid", "window")
             plans = plans.join(away.withColumnRenamed("qid", "__qid"), F.col("qid") == F.col("__qid"), "left").drop("__qid")
         else:

@@ -12,6 +12,7 @@ from tessella.config import Continuity
 from tessella.operators.blocks import same
 from tessella.operators.continuity import apply_continuity
 from tessella.plans.engine import PlanningEngine
+from tessella.sources.tables import release, settled
 from tessella.streaming.continuity import LATE
 
 #: Batches whose states are kept; only the one before the current batch is ever read.
@@ -46,7 +47,7 @@ class LivePlans:
     """Plans for each batch of a stream of query rows (what ``PlanningEngine.queries_of`` takes), with
     continuity from batch to batch.
 
-    A batch joins the store by load buckets as a batch query does; rows of a series that share a time
+    A batch meets the store as a batch query does, by the engine's index, which is built once; rows of a series that share a time
     have one plan, of the best samples of all of them, which the limits see once. It writes its plans, its late
     rows and the state after it to folders of its own, which it replaces when it runs again: after a
     crash at any point the restarted query gives the same tables. A series that has been silent
@@ -75,7 +76,8 @@ class LivePlans:
         plans = self.engine.plan(self.engine.queries_of(batch, key))
         one = [c for c in plans.columns if c != "qid"]  # rows that share series and time are one plan, which each of them gets
         plans = plans.groupBy("qid").agg(F.min(F.struct(*one)).alias("one"), F.count(F.lit(1)).cast("int").alias("__rows")).select("qid", "one.*", "__rows")
-        plans = plans.withColumns({c: F.col("qid")[c] for c in [*self.keys, self.time]}).drop("qid")
+        batch_plans = settled(plans, "batch-plans")  # rows in time and late ones are read from here
+        plans = batch_plans.withColumns({c: F.col("qid")[c] for c in [*self.keys, self.time]}).drop("qid")
         out, last = limited_after(plans, self._state(number - 1), self.time, self.columns, self.limits, self.keys)
         out = out.withColumn("__row", F.explode(F.array_repeat(F.lit(0), F.col("__rows")))).drop("__row", "__rows")
         done = f"{self.path}/all/batch={number}"
@@ -83,6 +85,7 @@ class LivePlans:
         if self.expire_minutes is not None:
             last = last.crossJoin(F.broadcast(last.agg(F.max(self.time).alias("__now")))).filter(F.col(self.time) >= F.col("__now") - F.expr(f"interval {round(self.expire_minutes * 60)} seconds")).drop("__now")  # one row
         last.write.mode("overwrite").parquet(f"{self.path}/state/batch={number}")
+        release(batch_plans)
         old = self.engine.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/batch={number - STATES_KEPT}")
         old.getFileSystem(self.engine.spark._jsc.hadoopConfiguration()).delete(old, True)
 

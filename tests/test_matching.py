@@ -1,10 +1,12 @@
 """The best pairs by cells of a whitened space against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.config import Gate, Matching
+from tessella.operators import leaves
 from tessella.operators import matching as M
 
 METRIC = np.array([[1.0, 0.4, 0.0], [0.4, 2.0, 0.0], [0.0, 0.0, 0.0]])
@@ -42,6 +44,67 @@ def test_best_pairs_equal_all_pairs(spark, gate, matching):
                 assert np.allclose([v for _, v in mine], d[order]) and sorted(p for p, _ in mine if abs(_ - d[order[-1]]) > 1e-9) == sorted(i for i in order if abs(d[i] - d[order[-1]]) > 1e-9)
 
 
+@pytest.mark.parametrize("gate,matching", [
+    (Gate(abs_threshold=8.0), Matching(d_weight_s=0.8, d_weight_e=0.2)), (Gate(mode="relative", rel_threshold=0.1), Matching()),
+    (Gate(enable=False), Matching(d_weight_s=0.5, d_weight_e=0.5)), (Gate(abs_threshold=30.0), Matching(d_weight_s=-0.4, d_weight_e=-0.3)),
+])
+def test_best_pairs_of_many_regions(spark, monkeypatch, gate, matching):
+    """As above, with regions of about 16 points, dealt ones among them, and crowds of 8 queries."""
+    monkeypatch.setattr(M, "REGION", 8)
+    monkeypatch.setattr(M, "FEW", 16)
+    monkeypatch.setattr(M, "CROWD", 8)
+    test_best_pairs_equal_all_pairs(spark, gate, matching)
+
+
+@pytest.mark.parametrize("gate,matching", [(Gate(abs_threshold=8.0), Matching(d_weight_s=0.8, d_weight_e=0.2)), (Gate(mode="relative", rel_threshold=0.1), Matching()), (Gate(enable=False), Matching(d_weight_s=0.0, d_weight_e=1.0))])
+@pytest.mark.parametrize("same", [False, True])
+def test_leaves_find_the_best(gate, matching, same):
+    """Leaf by leaf against all points: ties by first position, scores without value last."""
+    rng = np.random.default_rng(11)
+    n, m, k = 3000, 200, 5
+    x, q = rng.normal(size=(3, n)), rng.normal(size=(3, m))
+    load, q_load, e = rng.uniform(80, 120, n), rng.uniform(75, 125, m), np.round(rng.random(n), 2)
+    if same:
+        x[:], q[:] = 1.0, 1.0
+    first, adds = rng.permutation(n), matching.d_weight_e * e
+    adds[rng.random(n) < 0.05] = leaves.NONE
+    if gate.mode == "relative":
+        adds[:] = 0.0
+    bar = np.where(np.arange(m) % 3 == 0, 0.5, leaves.NONE)
+    own, point, s = leaves.Leaves(x, load, adds, first, 1, gate, matching).best(x, q, q_load, bar, k)
+    for i in range(m):
+        alike = 1 / (1 + ((x - q[:, i : i + 1]) ** 2).sum(0))
+        score = matching.d_weight_s * alike + adds
+        inside = np.flatnonzero(leaves.passes(gate)(q_load[i], load) & (score >= bar[i]))
+        want = sorted(inside, key=lambda p: (-score[p], first[p]))[:k]
+        assert sorted(point[own == i]) == sorted(want) and np.allclose(s[own == i], alike[point[own == i]])
+
+
+def test_queries_are_not_spread_over_cells(spark):
+    """With blended scores a query is a row for each region that it meets; no step has rows per query and cell."""
+    rng = np.random.default_rng(7)
+    n = 40_000
+    store = spark.createDataFrame(pd.DataFrame({"pos": range(n), "load": rng.uniform(0, 100, n), **{c: rng.normal(size=n) for c in "abcd"}, "eff_score": rng.random(n)}))
+    asked = store.filter("pos % 100 = 0").select(F.col("pos").alias("qid"), F.col("load").alias("q_load"), *[F.col(c).alias(f"q_{c}") for c in "abcd"])
+    rows = M.best_pairs(asked, store, list("abcd"), np.eye(4), Gate(abs_threshold=50.0), Matching(d_weight_s=0.8, d_weight_e=0.2))
+    assert rows.count() == 5 * 400
+    rows.collect()
+    most, todo = 0, [rows._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        if name == "GenerateExec":
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    assert 0 < most <= 400 * 30
+
+
 def test_no_samples_and_no_queries(spark):
     schema = "pos long, load double, a double, eff_score double"
     empty = spark.createDataFrame([], schema)

@@ -113,3 +113,14 @@ def test_rows_of_a_series_that_share_a_time_have_one_plan(spark, tmp_path):
     mine.start(files(spark, str(tmp_path / "in"), parts, schema), str(tmp_path / "state")).awaitTermination()
     rows = mine.plans().filter(f"ts = timestamp_ntz'{at(10)}'").select("plan_a", "final_plan_a", "continuity_status").collect()
     assert len(rows) == 3 and len(set(rows)) == 1 and rows[0]["continuity_status"] == "limited"
+
+
+def test_the_store_is_placed_once_for_all_batches(spark, tmp_path, monkeypatch):
+    from tessella.operators import matching
+
+    placed, settle = [], matching.settled
+    monkeypatch.setattr(matching, "settled", lambda df, name: placed.append(name) or settle(df, name))
+    schema = "s string, ts timestamp_ntz, load double, a double, b double"
+    mine = live.LivePlans(engine(spark), str(tmp_path / "out"), "ts", ["s"])
+    mine.start(files(spark, str(tmp_path / "in"), [[("x", at(10 * i), 100.0, float(i), 0.0)] for i in range(3)], schema), str(tmp_path / "state")).awaitTermination()
+    assert mine.plans().count() == 3 and placed.count("points") == 1
